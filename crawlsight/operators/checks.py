@@ -510,6 +510,17 @@ def _page_issue_rows(facts: DataFrame, rules: list[tuple[int, str, PageRule]]) -
     )
 
 
+def page_issues(
+    facts: DataFrame, options: AuditOptions, registry: CheckRegistry | None = None
+) -> DataFrame:
+    """Issues of the page rules only; needs no other page, so it also runs on a stream."""
+    checks = (registry or CheckRegistry()).checks
+    return _page_issue_rows(
+        facts,
+        [(n, check.name, rule) for n, check in enumerate(checks) for rule in check.page_rules(options)],
+    )
+
+
 def _site_issue_rows(df: DataFrame, ord_: int, name: str) -> DataFrame:
     return df.selectExpr(
         *AUDIT, f"{lit(name)} as analyzer", f"{ord_} as analyzer_ord", "1 as phase", "page_ord",
