@@ -7,7 +7,7 @@ one pass stays linear and cannot exhaust the regex stack on hostile pages.
 from __future__ import annotations
 
 from crawlsight.functions.sql import NO_STRINGS, let, lit, strings
-from crawlsight.functions.text import SPACE, decode_entities, strip
+from crawlsight.functions.text import SPACE, decode_entities
 
 # Marks a place where markup stood; removed from the source beforehand.
 MARK = "\x01"
@@ -17,6 +17,13 @@ _START = rf"[A-Za-z]{_ATTRS}"
 _ANY_MARKUP = rf"<(?:{_START}|[/!?][^>]*+)(?:>|\z)"
 
 
+# Blanks around marks. A blank run is only followed from its first character, so
+# long runs stay linear.
+_AFTER_MARK = rf"{MARK}[{SPACE}{MARK}]*+"
+_BEFORE_MARK = rf"[{SPACE}](?<![{SPACE}][{SPACE}])[{SPACE}]*+{MARK}"
+_INNER = rf"(?s)^[{SPACE}{MARK}]*+(.*[^{SPACE}{MARK}])"
+
+
 def _element(names: str) -> str:
     """An element up to its end tag or the end of the page; ``/>`` ends it at once."""
     return rf"<({names})(?=[\s/>]){_ATTRS}(?<!/)>(?s:.*?)(?:</\1\s*+>|\z)"
@@ -26,7 +33,7 @@ _BLOCK = rf"(?i)<!--(?s:.*?)(?:-->|\z)|{_element('script|style')}"
 _HIDDEN = rf"(?i){_element('noscript|svg|template')}"
 _NOSCRIPT = rf"(?i){_element('noscript')}"
 _PICTURE = rf"(?i){_element('picture')}"
-_FACT_TAGS = rf"(?i)<(?:html|meta|link|img|a)(?=[\s/>]){_ATTRS}>"
+_FACT_TAGS = rf"(?i)<(?:html|meta|link|img|picture|a)(?=[\s/>]){_ATTRS}>"
 _SOURCE_TAG = rf"(?i)<source(?=[\s/>]){_ATTRS}>"
 _ALL_TAGS = rf"<{_START}>"
 _SCRIPT_TAG = rf"(?i)^<script{_ATTRS}>"
@@ -89,9 +96,9 @@ def parsed_tags(tags: str) -> str:
 
 
 def fact_tags(dom_: str) -> str:
-    """Start tags of html, meta, link, img and a, in document order.
+    """Start tags of html, meta, link, img, picture and a, in document order.
 
-    The first letter tells the five kinds apart.
+    The first letter tells the six kinds apart.
     """
     return parsed_tags(f"regexp_extract_all({dom_}, {lit(_FACT_TAGS)}, 0)")
 
@@ -105,12 +112,12 @@ def attr(tag: str, name: str) -> str:
     return f"get({tag}.v, cast(array_position({tag}.n, '{name}') as int) - 1)"
 
 
-def picture_sources(dom_: str) -> str:
-    """srcset values of the sources inside picture elements."""
+def picture_sources(dom_: str, tags_: str) -> str:
+    """srcset values of the sources inside picture elements, if the page has any."""
     blocks = f"regexp_extract_all({dom_}, {lit(_PICTURE)}, 0)"
     tags = f"flatten(transform({blocks}, b -> regexp_extract_all(b, {lit(_SOURCE_TAG)}, 0)))"
     sets = f"transform({parsed_tags(tags)}, t -> {attr('t', 'srcset')})"
-    return f"if({dom_} rlike '(?i)<picture', {sets}, {NO_STRINGS})"
+    return f"if(exists({tags_}, t -> t.k = 'p'), {sets}, {NO_STRINGS})"
 
 
 def has_app_root(dom_: str) -> str:
@@ -139,10 +146,9 @@ def json_ld_texts(src: str) -> str:
 def _text(fragment: str, joiner: str) -> str:
     """Stripped, non-empty text nodes of a fragment, joined."""
     decoded = let("mk", _cut(fragment, _ANY_MARKUP), decode_entities("mk"))
-    runs = f"regexp_replace({decoded}, {lit(f'{MARK}[{SPACE}{MARK}]*+')}, {lit(MARK)})"
-    runs = f"regexp_replace({runs}, {lit(f'(?<![{SPACE}])[{SPACE}]++{MARK}')}, {lit(MARK)})"
-    edges = f"trim({lit(MARK)} from {strip(runs)})"
-    return f"replace({strip(edges)}, {lit(MARK)}, '{joiner}')"
+    after = f"regexp_replace({decoded}, {lit(_AFTER_MARK)}, {lit(MARK)})"
+    runs = f"regexp_replace({after}, {lit(_BEFORE_MARK)}, {lit(MARK)})"
+    return f"replace(regexp_extract({runs}, {lit(_INNER)}, 1), {lit(MARK)}, '{joiner}')"
 
 
 def node_text(fragment: str) -> str:

@@ -10,15 +10,14 @@ from crawlsight.functions.sql import lit
 SPACE = r"\s\x0B\x1c-\x1f\x85\p{Z}"
 WORD = r"[\p{L}\p{N}_]++"
 
-# A run is only tried at its first character, so long blank runs stay linear.
-_STRIP = rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"
+_STRIP = rf"(?s)^[{SPACE}]*+(.*[^{SPACE}])"
 # HTML 4 names; one literal that the optimizer folds into a map.
 _NAMED = "\x02".join(f"{n}\x03{chr(cp)}" for n, cp in [*name2codepoint.items(), ("apos", 39)])
 _ENTITY_NAME = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31})"
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(_STRIP)}, '')"
+    return f"regexp_extract({x}, {lit(_STRIP)}, 1)"
 
 
 def blank_to_null(x: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlsight.functions.sql import let, lit
-from crawlsight.functions.text import strip
+from crawlsight.functions.text import SPACE, strip
 
 # Link prefixes that are no page links.
 SKIPPED_SCHEMES = ("javascript:", "mailto:", "tel:", "sms:", "data:", "blob:")
@@ -15,6 +15,9 @@ _HOST = r"^[^:/?#]+://([^/?#]*)"
 _SKIP = r"(?i)^(?:#|" + "|".join(SKIPPED_SCHEMES) + ")"
 _UNRESOLVED = "^(?:" + "|".join(UNRESOLVED_PREFIXES) + ")"
 _PARAMS = r";[^/]*+\z"
+# Most links: a plain path from the root, or a plain absolute address.
+_PLAIN_PATH = rf"^/(?!/)[^?#;{SPACE}]*+$"
+_PLAIN_ADDRESS = rf"(?i)^https?://[^/?#;{SPACE}]++(?:/[^?#;{SPACE}]*+)?$"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 
 
@@ -71,6 +74,11 @@ def is_page_href(href: str) -> str:
     return f"({href} <> '' and not {href} rlike {lit(_SKIP)})"
 
 
+def normal_host(u: str) -> str:
+    """Host of an address in normal form, without a regular expression."""
+    return f"substring_index(substring_index(substring_index({u}, '/', 3), '/', -1), '?', 1)"
+
+
 def sitemap_url(seed: str) -> str:
     return f"concat({origin(seed)}, '/sitemap.xml')"
 
@@ -84,7 +92,7 @@ def base_parts(base: str) -> str:
     return let(
         "bp",
         _split(base),
-        f"named_struct('origin', bp.o, 'scheme', lower(regexp_extract(bp.o, {lit(_SCHEME)}, 0)),"
+        f"named_struct('origin', bp.o, 'web', bp.o rlike '(?i)^https?:', 'lower', lower(bp.o), 'scheme', lower(regexp_extract(bp.o, {lit(_SCHEME)}, 0)),"
         f" 'path', {_path('bp.t')}, 'dir', regexp_replace({_path('bp.t')}, '[^/]*+\\\\z', ''),"
         f" 'query', {_query('bp.t')})",
     )
@@ -119,4 +127,12 @@ def resolve_url(base: str, href: str) -> str:
         f" when startswith(rh.h, '/') then {bound}"
         f" else {joined} end"
     )
-    return let("rh", f"named_struct('h', {_clean(href)})", body)
+    general = let("rh", f"named_struct('h', {_clean(href)})", body)
+    tidy = f"if({href} = '/', '/', rtrim('/', {href}))"
+    parts = f"named_struct('o', {origin(href)}, 'p', regexp_replace({href}, {lit(_ORIGIN)}, ''))"
+    address = let("pa", parts, "concat(lower(pa.o), if(pa.p in ('', '/'), '/', rtrim('/', pa.p)))")
+    return (
+        f"case when {base}.web and {href} rlike {lit(_PLAIN_PATH)} and not contains({href}, '/.')"
+        f" then concat({base}.lower, {tidy})"
+        f" when {base}.web and {href} rlike {lit(_PLAIN_ADDRESS)} then {address} else {general} end"
+    )

@@ -503,7 +503,8 @@ def _page_issue_rows(facts: DataFrame, rules: list[tuple[int, str, PageRule]]) -
         for ord_, name, rule in rules
     )
     return (
-        facts.selectExpr(*AUDIT, "page_ord", f"posexplode(concat({found})) as (item_ord, f)")
+        facts.selectExpr(*AUDIT, "page_ord", f"posexplode_outer(concat({found})) as (item_ord, f)")
+        .filter("f is not null")
         .selectExpr(
             *AUDIT, "f.analyzer", "f.analyzer_ord", "0 as phase", "page_ord", "item_ord", "f.issue.*"
         )

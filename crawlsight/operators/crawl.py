@@ -23,10 +23,15 @@ _SALTS = 64
 
 
 def link_edges(fetches: DataFrame) -> DataFrame:
-    """Every link of every page with its place, against the final address."""
+    """Every link of every page with its place, against the final address.
+
+    The outer form of explode keeps the optimizer from testing the link list a
+    second time in front of the page parsing.
+    """
     return (
         page_links(fetches.filter(X.filled("html")))
-        .selectExpr("url as src", "posexplode(links) as (pos, dst)")
+        .selectExpr("url as src", "posexplode_outer(links) as (pos, dst)")
+        .filter("dst is not null")
     )
 
 
@@ -141,11 +146,11 @@ def crawl_stats(records: DataFrame, options: AuditOptions | None = None) -> Data
     counts = pages.groupBy(*SITE).agg(
         F.count("*").alias("pages_crawled"),
         F.expr(f"count_if({BROKEN}) as broken_count"),
-        F.expr(f"count_if(size(redirect_chain) > 0) as redirect_count"),
+        F.expr("count_if(size(redirect_chain) > 0) as redirect_count"),
         F.expr(f"count_if({_TRANSPORT_ERROR}) as error_count"),
     )
     expanded = pages.filter(f"{X.filled('html')} and depth < {options.max_depth}")
-    links = page_links(expanded).selectExpr(*SITE, "explode(links) as url")
+    links = page_links(expanded).selectExpr(*SITE, "explode_outer(links) as url").filter("url is not null")
     seeds = pages.selectExpr(*SITE, f"coalesce({U.normalize_url('seed_url')}, seed_url) as url")
     discovered = (
         links.union(seeds).distinct().groupBy(*SITE).agg(F.count("*").alias("pages_discovered"))
@@ -168,7 +173,8 @@ def external_worklist(records: DataFrame, cap: int | None = None) -> DataFrame:
     cap = AuditOptions().max_external_checks if cap is None else cap
     links = (
         page_links(records.filter(f"depth >= 0 and {X.filled('html')}"))
-        .selectExpr(*SITE, "page_ord", "posexplode(links) as (pos, url)")
+        .selectExpr(*SITE, "page_ord", "posexplode_outer(links) as (pos, url)")
+        .filter("url is not null")
         .filter(f"not {U.same_host('seed_url', 'url')}")
     )
     first = links.groupBy(*SITE, "url").agg(F.min(F.struct("page_ord", "pos")).alias("first_ord"))

@@ -85,7 +85,6 @@ def _tags(df: DataFrame) -> DataFrame:
                 "title_text": H.title_text("dom"),
                 "headings": H.headings("dom"),
                 "tags": H.fact_tags("dom"),
-                "source_sets": H.picture_sources("dom"),
                 "visible_text": H.node_text(H.visible_source("dom")),
                 "base": U.base_parts("final_url"),
                 "seed_host": U.host("seed_url"),
@@ -100,20 +99,17 @@ def _elements(df: DataFrame) -> DataFrame:
         [X.blank_to_null(H.attr("t", a)) for a in H.IMAGE_SOURCES]
         + [H.first_srcset_url(H.attr("t", "srcset"))]
     )
-    images = (
-        f"concat(transform({H.of_kind('tags', 'i')},"
-        f" t -> named_struct('src', coalesce({address}), 'alt', {H.attr('t', 'alt')})),"
-        f" transform(source_sets, s -> named_struct('src', {H.first_srcset_url('s')}, 'alt', cast(null as string))))"
-    )
+    images = f"transform({H.of_kind('tags', 'i')}, t -> named_struct('src', coalesce({address}), 'alt', {H.attr('t', 'alt')}))"
     links = f"transform({H.of_kind('tags', 'l')}, t -> named_struct('rel', {H.attr('t', 'rel')}, 'href', {X.strip(H.attr('t', 'href'))}))"
     html_tag = f"get({H.of_kind('tags', 'h')}, 0)"
     return df.selectExpr(
-        "* except (tags, headings, source_sets)",
+        "* except (tags, headings)",
         *_named(
             {
+                "source_sets": H.picture_sources("dom", "tags"),
                 "metas": f"transform({H.of_kind('tags', 'm')}, t -> named_struct({meta}))",
                 "hrefs": _hrefs(),
-                "found_images": f"filter({images}, i -> i.src is not null)",
+                "img_tags": images,
                 "canonical_href": f"get(filter({links}, l -> l.href <> '' and"
                 f" array_contains({X.split_blank('lower(l.rel)')}, 'canonical')), 0).href",
                 "own_lang": H.attr(html_tag, "lang"),
@@ -126,12 +122,16 @@ def _elements(df: DataFrame) -> DataFrame:
 
 def _values(df: DataFrame) -> DataFrame:
     src = f"coalesce({U.resolve_url('base', 'i.src')}, i.src)"
+    images = (
+        "filter(concat(img_tags, transform(source_sets, s ->"
+        f" named_struct('src', {H.first_srcset_url('s')}, 'alt', cast(null as string)))), i -> i.src is not null)"
+    )
     return df.selectExpr(
-        "* except (metas, hrefs, found_images, own_lang, xml_lang, visible_text)",
+        "* except (metas, hrefs, img_tags, source_sets, own_lang, xml_lang, visible_text)",
         *_named(
             {
                 "links": _links(),
-                "all_images": f"transform(found_images, i -> named_struct('src', {src}, 'alt', i.alt))",
+                "all_images": f"transform({images}, i -> named_struct('src', {src}, 'alt', i.alt))",
                 "og_title": _meta("property", "og:title"),
                 "twitter_title": _meta("name", "twitter:title"),
                 "own_description": _meta("name", "description"),
@@ -158,7 +158,7 @@ def _unique_images() -> str:
 
 
 def _decisions(df: DataFrame) -> DataFrame:
-    internal = f"{U.host('u')} = seed_host"
+    internal = f"{U.normal_host('u')} = seed_host"
     df = df.withColumn("ld", F.when(F.size("json_ld") > 0, json_ld_types(F.col("json_ld"))))
     df = df.selectExpr(
         "* except (links, all_images, json_ld, ld, canonical_href, base)",

@@ -23,8 +23,8 @@ _SEP = "__"
 def schema_types(facts: DataFrame) -> DataFrame:
     """Pages per structured-data type of each audit."""
     return (
-        facts.filter("not is_broken")
-        .selectExpr(*AUDIT, "explode(schema_types) as schema_type")
+        facts.selectExpr(*AUDIT, "explode_outer(schema_types) as schema_type")
+        .filter("schema_type is not null")
         .groupBy(*AUDIT, "schema_type")
         .agg(F.count("*").alias("pages"))
     )

@@ -8,6 +8,7 @@ from crawlsight.config import SHELL_TEXT, THIN_TEXT
 from crawlsight.functions import html as H
 from crawlsight.functions import text as X
 from crawlsight.functions.sql import NO_STRINGS
+from crawlsight.session import stage
 
 
 def render_flags(fetches: DataFrame) -> DataFrame:
@@ -48,10 +49,15 @@ def render_flags(fetches: DataFrame) -> DataFrame:
 
 
 def render_worklist(fetches: DataFrame) -> DataFrame:
-    """Pages to send to a renderer."""
-    return render_flags(fetches).filter("needs_render").select(
-        "audit_id", "seed_url", "url", "page_ord", "thin", "spa_shell"
+    """Pages to send to a renderer.
+
+    The flags are staged first: a filter straight on them would be moved in front
+    of the parsing and repeat it.
+    """
+    flags = render_flags(fetches).select(
+        "audit_id", "seed_url", "url", "page_ord", "thin", "spa_shell", "needs_render"
     )
+    return stage(flags, "render_flags").filter("needs_render").drop("needs_render")
 
 
 def with_rendered(fetches: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -60,13 +60,13 @@ def rich_facts(spark, d):
 
 
 def with_probes(fetches: DataFrame) -> DataFrame:
-    work = CR.external_worklist(fetches)
+    work = stage(CR.external_worklist(fetches), "worklist")
     return fetches.unionByName(CR.broken_probes(work, SN.probes(work)))
 
 
 def rich_audit(spark, d, run_ts="2024-02-01 00:00:00") -> A.AuditResult:
     fetches = stage(rich_fetches(spark, d), "fetches")
-    return A.audit_sites(stage(with_probes(fetches), "crawl"), run_ts)
+    return A.audit_sites(with_probes(fetches), run_ts)
 
 
 def plain_audit(spark, d, run_ts="2024-01-01 00:00:00") -> A.AuditResult:
@@ -106,7 +106,9 @@ def url_host_rollup(spark, d):
 )
 def link_resolve(spark, d):
     links = CR.page_links(spread(SN.plain_fetches(spark, d)))
-    return links.selectExpr("page_ord as page_id", "posexplode(links) as (pos, url)")
+    return links.selectExpr("page_ord as page_id", "posexplode_outer(links) as (pos, url)").filter(
+        "url is not null"
+    )
 
 
 # --- page facts ------------------------------------------------------------
@@ -217,7 +219,8 @@ def canonical(spark, d):
 def image_dedupe(spark, d):
     return (
         rich_facts(spark, d)
-        .selectExpr("page_ord as page_id", "posexplode(images) as (pos, i)")
+        .selectExpr("page_ord as page_id", "posexplode_outer(images) as (pos, i)")
+        .filter("i is not null")
         .selectExpr("page_id", "i.src", "i.alt", "pos")
     )
 
