@@ -32,10 +32,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores if the input has fewer splits than there are cores.
+    """Rows of a plain scan over all cores if it has fewer splits than there are cores.
 
     Page parsing is bound by CPU. Inputs with splits enough are left alone, so
-    nothing is shuffled at scale.
+    nothing is shuffled at scale. Give a scan: counting the splits of a join would
+    run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

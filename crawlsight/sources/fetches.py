@@ -8,13 +8,14 @@ from crawlsight.functions import text as X
 from crawlsight.functions import url as U
 from crawlsight.functions.sql import lit
 from crawlsight.schema import FETCHES, HOPS
+from crawlsight.session import spread
 
 # An error text, no status or a status from 400 on.
 BROKEN = f"({X.filled('error')} or status_code is null or status_code >= 400)"
 
 
 def read_fetches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(FETCHES).format(fmt).load(path)
+    return spread(spark.read.schema(FETCHES).format(fmt).load(path))
 
 
 def pages_as_fetches(pages: DataFrame, run: str = "a") -> DataFrame:

@@ -27,7 +27,7 @@ from crawlsight.operators.checks import (
 )
 from crawlsight.operators.facts import page_facts
 from crawlsight.plans import audit as A
-from crawlsight.session import spread, stage
+from crawlsight.session import stage
 from crawlsight.sources import store
 from workload import oracle as O
 from workload import scenario as SN
@@ -48,11 +48,11 @@ def query(sql: str | None = None, ctes: str | None = None):
 
 
 def plain_facts(spark, d):
-    return page_facts(spread(SN.plain_fetches(spark, d)))
+    return page_facts(SN.plain_fetches(spark, d))
 
 
 def rich_fetches(spark, d):
-    return spread(SN.rich_pages(spark, d))
+    return SN.rich_pages(spark, d)
 
 
 def rich_facts(spark, d):
@@ -105,7 +105,7 @@ def url_host_rollup(spark, d):
     O.PAGES,
 )
 def link_resolve(spark, d):
-    links = CR.page_links(spread(SN.plain_fetches(spark, d)))
+    links = CR.page_links(SN.plain_fetches(spark, d))
     return links.selectExpr("page_ord as page_id", "posexplode_outer(links) as (pos, url)").filter(
         "url is not null"
     )
@@ -248,7 +248,7 @@ DOC_WORDS = (
     " CASE WHEN n < 40 OR (n < 80 AND doc_id % 2 = 0) THEN 'likely_js_shell' ELSE '' END AS warnings FROM w"
 )
 def js_shell(spark, d):
-    return page_facts(spread(SN.document_fetches(spark, d))).selectExpr(
+    return page_facts(SN.document_fetches(spark, d)).selectExpr(
         "page_ord as page_id", "word_count", "text_length", "likely_js_shell",
         "array_join(extraction_warnings, '|') as warnings",
     )
@@ -259,7 +259,7 @@ def js_shell(spark, d):
     " WHERE t < 200 OR doc_id % 2 = 0"
 )
 def render_worklist(spark, d):
-    return RE.render_worklist(spread(SN.document_fetches(spark, d))).selectExpr(
+    return RE.render_worklist(SN.document_fetches(spark, d)).selectExpr(
         "page_ord as page_id", "thin", "spa_shell"
     )
 
@@ -351,7 +351,7 @@ SIZE_LIMIT = 8000
     O.PAGES,
 )
 def issues_size(spark, d):
-    fetches = spread(SN.plain_fetches(spark, d))
+    fetches = SN.plain_fetches(spark, d)
     check = [c for c in default_checks() if c.name == "page_size"]
     options = AuditOptions().overlay(page_size_threshold=SIZE_LIMIT)
     return run_checks(Context(page_facts(fetches), fetches, options), CheckRegistry(check)).select(*ISSUE_FIELDS)
@@ -445,7 +445,7 @@ def site_score(spark, d):
 )
 def page_scores(spark, d):
     """Flagship: the score of every site straight from its pages."""
-    fetches = spread(SN.plain_fetches(spark, d))
+    fetches = SN.plain_fetches(spark, d)
     return SC.score_sites(page_facts(fetches), SN.plain_fetches(spark, d).drop("html"))
 
 
@@ -917,7 +917,7 @@ def bfs_levels(spark, d):
     """A limited breadth-first crawl of each site; the pages form a heap, so the queue order is known."""
     fetches = SN.linked_fetches(spark, d)
     options = AuditOptions().overlay(max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH)
-    return CR.frontier(SN.link_seeds(fetches), spread(fetches), options).select(
+    return CR.frontier(SN.link_seeds(fetches), fetches, options).select(
         "audit_id", "url", "depth", "page_ord", "fetched"
     )
 
@@ -934,7 +934,7 @@ def bfs_whole(spark, d):
     """The same crawl without an effective page limit: every page of every site is reached."""
     fetches = SN.linked_fetches(spark, d)
     options = AuditOptions().overlay(max_pages=10**9, max_depth=30)
-    rows = CR.frontier(SN.link_seeds(fetches), spread(fetches), options)
+    rows = CR.frontier(SN.link_seeds(fetches), fetches, options)
     return rows.groupBy("audit_id").agg(
         F.max("depth").alias("levels"), F.count("*").alias("pages"), F.expr("count_if(fetched) as fetched")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsight.functions import url as U
+from crawlsight.session import spread
 from crawlsight.sources.fetches import normalize_fetches, pages_as_fetches
 
 
@@ -18,9 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def plain_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First crawl: the pages as they are."""
-    return pages_as_fetches(table(spark, sf_dir, "pages"), "a")
+    return pages_as_fetches(pages(spark, sf_dir), "a")
 
 
 def escaped(x: str) -> str:
@@ -56,10 +61,10 @@ _BODY = """concat(
 
 def rich_raw_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second crawl of the same pages, as a fetcher would hand it over."""
-    pages = table(spark, sf_dir, "pages")
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id as page_id", "text", "lang")
     rows = (
-        pages.join(docs, "page_id", "left")
+        pages(spark, sf_dir)
+        .join(docs, "page_id", "left")
         .selectExpr(
             "page_id as p", f"{U.normalize_url('url')} as url", "html", "lang", f"{escaped('text')} as doc"
         )
@@ -113,7 +118,7 @@ def probes(worklist: DataFrame) -> DataFrame:
 
 def document_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages without headings, images and links; every second has an app root."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return pages_as_fetches(
         docs.selectExpr(
             "doc_id as page_id",
@@ -136,7 +141,7 @@ def linked_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     kid = "(5 * (2 * (page_id div 5) + {n}) + page_id % 5)"
     link = "'<a href=\"/', {} div 5, '\">x</a>'"
     return (
-        table(spark, sf_dir, "pages")
+        pages(spark, sf_dir)
         .selectExpr(
             "page_id",
             f"{url.format(p='page_id')} as url",
