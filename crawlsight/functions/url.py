@@ -114,7 +114,7 @@ def resolve_url(base: str, href: str) -> str:
 
     NULL if it is empty, not http(s), or has a scheme without authority.
     """
-    relative = f"regexp_replace(concat({base}.dir, {_path('rh.h')}), '/{{2,}}', '/')"
+    relative = f"regexp_replace(concat('/', {base}.dir, {_path('rh.h')}), '/{{2,}}', '/')"
     bound = let("rp", _path("rh.h"), _finish(f"{base}.origin", _no_dots("rp"), _query("rh.h")))
     joined = let("rp", relative, _finish(f"{base}.origin", _no_dots("rp"), _query("rh.h")))
     own_query = f"if({_query('rh.h')} <> '', {_query('rh.h')}, {base}.query)"
