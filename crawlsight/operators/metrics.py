@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlsight.functions import text as X
@@ -18,6 +19,7 @@ from crawlsight.operators.facts import missing_alts
 from crawlsight.sources.fetches import broken_probe_fetches
 
 _SEP = "__"
+INLINE_TYPES = 500
 
 
 def schema_types(facts: DataFrame) -> DataFrame:
@@ -80,10 +82,16 @@ def check_metrics(ctx: Context, registry: CheckRegistry | None = None) -> DataFr
 
 
 def metrics_by_check(ctx: Context, registry: CheckRegistry | None = None) -> DataFrame:
-    """One JSON object per audit and check; checks without metrics have no row."""
+    """One JSON object per audit and check; checks without metrics have no row.
+
+    The object lists the most frequent types; ``schema_types`` has all of them.
+    """
     wide = wide_metrics(ctx, registry)
+    order = W.partitionBy(*AUDIT).orderBy(F.desc("pages"), "schema_type")
     types = (
         schema_types(ctx.facts)
+        .withColumn("rn", F.row_number().over(order))
+        .filter(F.col("rn") <= INLINE_TYPES)
         .groupBy(*AUDIT)
         .agg(F.expr("map_from_entries(array_sort(collect_list(struct(schema_type, pages)))) as types"))
     )

@@ -11,12 +11,12 @@ from crawlsight.functions.sql import NO_STRINGS
 from crawlsight.session import stage
 
 
-def render_flags(fetches: DataFrame) -> DataFrame:
+def render_flags(fetches: DataFrame, keep_html: bool = False) -> DataFrame:
     """Adds ``thin``, ``spa_shell`` and ``needs_render``.
 
     Counts raw tags, unlike the shell flag of the page facts.
     """
-    names = [c for c in fetches.columns if c != "html"]
+    names = [c for c in fetches.columns if keep_html or c != "html"]
     staged = (
         fetches.selectExpr(*names, f"{H.source_text('html')} as src")
         .selectExpr(*names, "src", f"{H.dom('src')} as dom")
@@ -61,7 +61,11 @@ def render_worklist(fetches: DataFrame) -> DataFrame:
 
 
 def with_rendered(fetches: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Fetches with the HTML that a renderer returned for ``(audit_id, url)``; blank results are ignored."""
+    """Fetches with the HTML that a renderer returned for ``(audit_id, url)``; blank results are ignored.
+
+    Only pages of the worklist can have been rendered. The others pass by without a
+    join, so the bulk of the page sources is not shuffled.
+    """
     got = rendered.filter(X.filled("html")).selectExpr("audit_id", "url", "html as rendered_html")
     names = fetches.columns
     replaced = {
@@ -69,6 +73,10 @@ def with_rendered(fetches: DataFrame, rendered: DataFrame) -> DataFrame:
         "js_rendered": "js_rendered or rendered_html is not null",
         "content_length": "if(rendered_html is null, content_length, cast(octet_length(rendered_html) as bigint))",
     }
-    return fetches.join(got, ["audit_id", "url"], "left").selectExpr(
-        *[f"{replaced.get(c, c)} as {c}" for c in names]
+    flagged = render_flags(fetches, keep_html=True)
+    thin = flagged.filter("needs_render").join(got, ["audit_id", "url"], "left")
+    return (
+        flagged.filter("not needs_render")
+        .select(*names)
+        .unionByName(thin.selectExpr(*[f"{replaced.get(c, c)} as {c}" for c in names]))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlsight.functions import text as X
-from crawlsight.functions.sql import lit
+from crawlsight.functions.sql import lit, strings
 from crawlsight.operators.checks import AUDIT
 from crawlsight.operators.metrics import page_overview
 from crawlsight.operators.score import severity_counts
@@ -338,21 +338,68 @@ def _json_items(rows: DataFrame, section: int, order: str, value: str) -> DataFr
     )
 
 
+_KEEP = "map('ignoreNullFields', 'false')"
+_ISSUE_JSON = (
+    "to_json(named_struct('code', code, 'severity', severity, 'message', message, 'url', url,"
+    f" 'details', parse_json(details)), {_KEEP})"
+)
+
+
+def _optimization(statuses: DataFrame, suggestions: DataFrame | None) -> DataFrame:
+    """Suggestion outcome of each audit as JSON; a site has a handful of suggested pages."""
+    if suggestions is None:
+        return statuses.selectExpr("audit_id", f"to_json(struct(status, message), {_KEEP}) as opt_json")
+    order = W.partitionBy("audit_id").orderBy("page_ord")
+    pages = (
+        suggestions.withColumn("rn", F.row_number().over(order))
+        .filter(F.col("rn") <= 500)
+        .selectExpr(
+            "audit_id",
+            "rn",
+            "named_struct('url', url, 'improved_title', improved_title, 'improved_meta_description',"
+            " improved_meta_description, 'improved_h1', improved_h1, 'heading_suggestions', heading_suggestions,"
+            " 'keyword_suggestions', keyword_suggestions, 'faq_suggestions', faq_suggestions, 'schema_suggestion',"
+            " parse_json(schema_suggestion), 'internal_link_suggestions', internal_link_suggestions,"
+            " 'notes', notes) as page",
+        )
+        .selectExpr("audit_id", "rn", f"to_json(page, {_KEEP}) as page")
+        .groupBy("audit_id")
+        .agg(F.expr("array_join(transform(array_sort(collect_list(struct(rn, page))), x -> x.page), ',') as pages"))
+    )
+    return statuses.select("audit_id", "status", "message").join(pages, "audit_id", "left").selectExpr(
+        "audit_id",
+        f"concat(rtrim('}}', to_json(struct(status, message), {_KEEP})), ',\"pages\":[', coalesce(pages, ''), ']}}') as opt_json",
+    )
+
+
+def full_audit_lines(audits: DataFrame, issues: DataFrame, facts: DataFrame, checks: DataFrame) -> DataFrame:
+    """The whole audit as JSON text in lines: its row, pages, issues and metrics per check."""
+    head = f"to_json(struct(* except (created_at), {iso('created_at')} as created_at), {_KEEP})"
+    rows = audits.selectExpr("audit_id", f"{head} as head")
+    lines = _fixed(rows, 0, ["concat('{\"audit\":', head, ',')", "'\"pages\":['"])
+    fields = ", ".join(f"'{c}', {c}" for c in facts.columns if c not in (*AUDIT, "page_ord", "depth", "likely_js_shell"))
+    lines = lines.union(_json_items(facts, 1, "struct(0, 0, page_ord, 0)", f"to_json(named_struct({fields}), {_KEEP})"))
+    lines = lines.union(_fixed(rows, 2, ["'],\"issues\":['"])).union(_json_items(issues, 3, ISSUE_ORD, _ISSUE_JSON))
+    result = f"to_json(named_struct('analyzer', analyzer, 'metrics', parse_json(metrics)), {_KEEP})"
+    order = "struct(0, 0, xxhash64(analyzer), 0)"
+    lines = lines.union(_fixed(rows, 4, ["'],\"analyzer_results\":['"])).union(_json_items(checks, 5, order, result))
+    return lines.union(_fixed(rows, 6, ["']}'"]))
+
+
 def document_lines(
     summary: DataFrame,
     issues: DataFrame,
     facts: DataFrame,
     diffs: DataFrame | None = None,
     statuses: DataFrame | None = None,
+    suggestions: DataFrame | None = None,
 ) -> DataFrame:
     """The report document as JSON text in lines: joined in order they are one object per audit."""
-    keep = "map('ignoreNullFields', 'false')"
-    issue = f"to_json(named_struct('code', code, 'severity', severity, 'message', message, 'url', url, 'details', parse_json(details)), {keep})"
-    rows = summary
+    keep, issue, rows = _KEEP, _ISSUE_JSON, summary
     optimization, diff = "'null'", "'null'"
     if statuses is not None:
-        s = statuses.selectExpr("audit_id", f"to_json(struct(status, message), {keep}) as opt_json")
-        rows, optimization = rows.join(s, "audit_id", "left"), "coalesce(opt_json, 'null')"
+        rows = rows.join(_optimization(statuses, suggestions), "audit_id", "left")
+        optimization = "coalesce(opt_json, 'null')"
     if diffs is not None:
         d = diffs.selectExpr("current_audit_id as audit_id", f"to_json(struct(*), {keep}) as diff_json")
         rows, diff = rows.join(d, "audit_id", "left"), "coalesce(diff_json, 'null')"
@@ -389,14 +436,34 @@ def document_lines(
     )
 
 
+def diff_document_lines(diffs: DataFrame, new: DataFrame, resolved: DataFrame) -> DataFrame:
+    """A comparison as JSON text in lines, with its new and resolved issues."""
+    ids = diffs.selectExpr("url as seed_url", "current_audit_id")
+    head = f"to_json(struct(* except (audit_id, new_issues, resolved_issues)), {_KEEP})"
+    rows = diffs.selectExpr("*", "current_audit_id as audit_id").selectExpr("audit_id", f"{head} as head")
+
+    def listed(issues: DataFrame, section: int) -> DataFrame:
+        mine = issues.drop("audit_id").join(ids, "seed_url").withColumnRenamed("current_audit_id", "audit_id")
+        return _json_items(mine, section, ISSUE_ORD, _ISSUE_JSON)
+
+    return (
+        _fixed(rows, 0, ["concat(rtrim('}', head), ',')", "'\"new_issues\":['"])
+        .union(listed(new, 1))
+        .union(_fixed(rows, 2, ["'],\"resolved_issues\":['"]))
+        .union(listed(resolved, 3))
+        .union(_fixed(rows, 4, ["']}'"]))
+    )
+
+
 def compact_view(
-    summary: DataFrame, issues: DataFrame, totals: DataFrame, checks: DataFrame
+    summary: DataFrame, issues: DataFrame, totals: DataFrame, checks: DataFrame, names: list[str]
 ) -> DataFrame:
     """Short JSON view of each audit: figures, issue counts per check and the first issues.
 
-    ``checks`` is ``metrics_by_check``.
+    ``checks`` is ``metrics_by_check``, ``names`` the check names in report order.
     """
-    keep = "map('ignoreNullFields', 'false')"
+    keep = _KEEP
+    position = f"array_position(array({strings(names)}), analyzer)"
     first = (
         first_issues(issues)
         .groupBy("audit_id")
@@ -416,7 +483,7 @@ def compact_view(
         .groupBy("audit_id")
         .agg(
             F.expr(
-                "transform(array_sort(collect_list(struct(analyzer, coalesce(issue_count, 0) as n,"
+                f"transform(array_sort(collect_list(struct({position} as pos, analyzer, coalesce(issue_count, 0) as n,"
                 " coalesce(metrics, '{}') as m))), x -> named_struct('analyzer', x.analyzer,"
                 " 'metrics', parse_json(x.m), 'issue_count', x.n)) as analyzer_results"
             )

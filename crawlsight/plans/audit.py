@@ -19,7 +19,7 @@ from crawlsight.operators.crawl import crawl_stats
 from crawlsight.operators.facts import page_facts
 from crawlsight.operators.score import score_audits
 from crawlsight.session import stage
-from crawlsight.sources import sinks, store
+from crawlsight.sources import store
 
 
 @dataclass
@@ -152,14 +152,21 @@ def with_suggestions(result: AuditResult, answers: DataFrame) -> AuditResult:
     return result
 
 
-def report(result: AuditResult, fmt: str = "markdown", metrics: bool = False) -> DataFrame:
-    """Report of every audit as lines, in markdown or as a JSON document."""
+def report(
+    result: AuditResult, fmt: str = "markdown", metrics: bool = False, full_audit: bool = False
+) -> DataFrame:
+    """Report of every audit as lines, in markdown or as a JSON document.
+
+    ``full_audit`` gives the whole audit instead of the report sections (JSON only).
+    """
     fmt = R.check_format(fmt)
+    good = result.answers.filter("status = 'ok'") if result.answers is not None else None
+    if fmt == "json" and full_audit:
+        return R.full_audit_lines(audit_summary(result), result.issues, result.facts, result.metrics_json())
     if fmt == "json":
         return R.document_lines(
-            result.summary(), result.issues, result.facts, result.diffs, result.statuses
+            result.summary(), result.issues, result.facts, result.diffs, result.statuses, good
         )
-    good = result.answers.filter("status = 'ok'") if result.answers is not None else None
     return R.report_lines(
         result.summary(),
         result.issues,
@@ -181,7 +188,7 @@ def report_by_id(result: AuditResult, audit_id: str, fmt: str = "markdown") -> D
 
 def change_report(result: AuditResult, fmt: str = "markdown") -> DataFrame:
     if R.check_format(fmt) == "json":
-        return sinks.as_json(result.diffs)
+        return R.diff_document_lines(result.diffs, result.new_issues, result.resolved_issues)
     return D.change_report_lines(result.diffs, result.new_issues, result.resolved_issues)
 
 

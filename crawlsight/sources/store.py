@@ -22,11 +22,14 @@ def bucket(seed_url: str) -> str:
 
 
 def save(audits: DataFrame, path: str) -> None:
-    """Appends audits under their normalised seed."""
+    """Appends audits, or rows that belong to them, under their normalised seed.
+
+    Rebalancing brings a bucket together but splits one that a huge site makes too big.
+    """
     rows = audits.withColumn(
         "seed_url", F.expr(f"coalesce({U.normalize_url('seed_url')}, seed_url)")
     ).withColumn("seed_bucket", F.expr(bucket("seed_url")))
-    rows.repartition("seed_bucket").write.mode("append").partitionBy("seed_bucket").parquet(path)
+    rows.hint("rebalance", "seed_bucket").write.mode("append").partitionBy("seed_bucket").parquet(path)
 
 
 def load(spark: SparkSession, path: str, seed_url: str | None = None) -> DataFrame:
@@ -49,6 +52,11 @@ def latest_version(rows: DataFrame) -> DataFrame:
     )
 
 
+def current_rows(rows: DataFrame, audits: DataFrame) -> DataFrame:
+    """Issues or page facts that were saved together with the current version of their audit."""
+    return rows.join(audits.select("audit_id", "saved_at"), ["audit_id", "saved_at"], "left_semi")
+
+
 def get(audits: DataFrame, audit_id: str) -> DataFrame:
     return audits.filter(F.col("audit_id") == audit_id)
 
@@ -102,10 +110,20 @@ def previous(audits: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def previous_in_time(audits: DataFrame) -> DataFrame:
-    """Bulk as-of form, unlike ``previous``: for each audit the one before it in time."""
-    order = W.partitionBy("seed_url").orderBy("created_at", "audit_id")
-    return audits.select(
-        "audit_id", "seed_url", F.lag("audit_id").over(order).alias("previous_audit_id")
+    """Bulk as-of form, unlike ``previous``: for each audit the one before it in time.
+
+    Looks back within a day, and for the first audit of a day to the last of the
+    day before, so the audits of one site are never sorted in a single task.
+    """
+    keys = ["seed_url", "day"]
+    rows = audits.select("audit_id", "seed_url", "created_at", F.to_date("created_at").alias("day"))
+    within = W.partitionBy(*keys).orderBy("created_at", "audit_id")
+    last = rows.groupBy(*keys).agg(F.max_by("audit_id", F.struct("created_at", "audit_id")).alias("id"))
+    days = last.withColumn("earlier", F.lag("id").over(W.partitionBy("seed_url").orderBy("day")))
+    return (
+        rows.withColumn("same_day", F.lag("audit_id").over(within))
+        .join(days.drop("id"), keys)
+        .select("audit_id", "seed_url", F.coalesce("same_day", "earlier").alias("previous_audit_id"))
     )
 
 

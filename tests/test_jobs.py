@@ -109,6 +109,11 @@ def test_json_report_is_one_document(runs, spark, tmp_path):
     assert doc["critical_issues"][0]["details"]["status_code"] == 404
     assert doc["diff"]["new_issues"] == 2 and doc["optimization"] is None
     assert len(doc["warnings"]) == doc["summary"]["warning_count"]
+    whole = json.loads(text_of(A.report(runs[1], "json", full_audit=True)))
+    assert len(whole["pages"]) == 3 and len(whole["issues"]) == whole["audit"]["issues"]
+    assert len(whole["pages"][0]) == 38 and len(whole["analyzer_results"]) == 10
+    change = json.loads(text_of(A.change_report(runs[1], "json")))
+    assert len(change["new_issues"]) == 2 == len(change["resolved_issues"]) and change["previous_audit_id"] == "r1"
     sinks.write_lines(A.report(runs[1]), str(tmp_path / "deep" / "report"))
     files = sorted(glob.glob(f"{tmp_path}/deep/report/audit=r2/*.txt"))
     assert "".join(open(f, encoding="utf-8").read() for f in files).rstrip("\n") == text_of(A.report(runs[1])).rstrip("\n")
@@ -135,9 +140,10 @@ def test_top_codes_ties(spark):
 
 def test_compact_view_and_bounds(runs, evaluate):
     result = runs[1]
-    view = json.loads(R.compact_view(result.summary(), result.issues, result.totals(), result.metrics_json()).first().view)
+    view = json.loads(R.compact_view(result.summary(), result.issues, result.totals(), result.metrics_json(), result.registry.names()).first().view)
     assert view["issues"] == len(view["top_issues"]) and view["top_issues"][0]["code"] == "title_too_short"
     assert {r["analyzer"]: r["issue_count"] for r in view["analyzer_results"]}["links"] >= 1
+    assert [r["analyzer"] for r in view["analyzer_results"]] == result.registry.names()
     long = "x" * 12_001
     assert evaluate(R.bounded_text("x"), [long, "y" * 12_000]) == [long[:12_000] + "\n\n…[truncated]", "y" * 12_000]
     row = R.audit_rows(result.summary()).first()
@@ -154,6 +160,11 @@ def test_store(runs, spark, tmp_path):
         A.persist(result, root, at)
     audits = store.load(spark, f"{root}/audits", "HTTPS://EX.com/")
     assert {r.audit_id for r in audits.collect()} == {"r1", "r2"}
+    saved = spark.read.parquet(f"{root}/issues")
+    assert store.current_rows(saved, audits).count() == first.issues.count() + second.issues.count()
+    A.persist(first, root, "2024-05-03 11:00:00")
+    again, saved = store.load(spark, f"{root}/audits"), spark.read.parquet(f"{root}/issues")
+    assert again.count() == 2 and store.current_rows(saved, again).count() == first.issues.count() + second.issues.count()
     assert store.load(spark, f"{root}/audits", "https://other.com").isEmpty()
     assert store.latest(audits).first().audit_id == "r2"
     assert [r.audit_id for r in store.history(audits, "https://ex.com", 1).collect()] == ["r2"]
@@ -210,6 +221,9 @@ def test_suggestions(runs, spark):
     assert (status.status, status.message) == ("partial", "Optimization suggestions generated; 4 page(s) failed")
     text = text_of(A.report(result))
     assert "## AI Optimization Suggestions\n\n### u0\n\n- **Title:** New\n- **Keywords:** k, l\n- **Headings:**\n  - h\n- **FAQs:**\n  - Q: Q\n    A: A\n" in text
+    doc = json.loads(text_of(A.report(result, "json")))
+    assert [p["url"] for p in doc["optimization"]["pages"]] == ["u0", "u1", "u6"] and doc["optimization"]["status"] == "partial"
+    assert doc["optimization"]["pages"][0]["schema_suggestion"] == {"@type": "WebPage"}
     assert "  - [t](u) — r\n- **Schema:** JSON-LD suggestion included in JSON report\n" in text
     assert "- Note: AI optimization status: partial" in text
     pages = S.page_status(result.facts, S.parse_answers(answers.withColumn("url", answers.url))).collect()

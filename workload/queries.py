@@ -711,7 +711,7 @@ def report_metadata(spark, d):
 )
 def compact_views(spark, d):
     result = rich_audit(spark, d)
-    views = R.compact_view(result.summary(), result.issues, result.totals(), result.metrics_json())
+    views = R.compact_view(result.summary(), result.issues, result.totals(), result.metrics_json(), result.registry.names())
     return views.selectExpr("audit_id", "parse_json(view) as v").selectExpr(
         "audit_id",
         "variant_get(v, '$.score', 'double') as score",
