@@ -134,14 +134,13 @@ def titled_pages(facts: DataFrame) -> DataFrame:
 
 
 def duplicate_title_groups(facts: DataFrame) -> DataFrame:
-    """Titles on more than one page of an audit: how many pages, and the first of them."""
+    """Titles on more than one page of an audit: how many pages, and the first position."""
     return (
         titled_pages(facts)
         .groupBy(*AUDIT, "title_key")
         .agg(
             F.count("*").alias("n"),
             F.min("page_ord").alias("page_ord"),
-            F.min_by("final_url", "page_ord").alias("url"),
         )
         .filter("n > 1")
     )
@@ -174,7 +173,7 @@ def _duplicate_titles(ctx: Context) -> DataFrame:
         "'duplicate_title' as code",
         "'warning' as severity",
         "concat('Duplicate title found on ', n, ' pages') as message",
-        "url",
+        "urls[0] as url",
         "to_json(named_struct('title', title_key, 'urls', urls)) as details",
     )
 
