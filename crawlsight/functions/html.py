@@ -14,7 +14,8 @@ MARK = "\x01"
 
 _ATTRS = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+"""
 _START = rf"[A-Za-z]{_ATTRS}"
-_ANY_MARKUP = rf"<(?:{_START}|[/!?][^>]*+)(?:>|\z)"
+_MARKUP = rf"(?:{_START}|[/!?][^>]*+)(?:>|\z)"
+_ANY_MARKUP = rf"<{_MARKUP}"
 
 
 # Blanks around marks. A blank run is only followed from its first character, so
@@ -25,14 +26,18 @@ _INNER = rf"(?s)^[{SPACE}{MARK}]*+(.*[^{SPACE}{MARK}])"
 
 
 def _element(names: str) -> str:
-    """An element up to its end tag or the end of the page; ``/>`` ends it at once."""
-    return rf"<({names})(?=[\s/>]){_ATTRS}(?<!/)>(?s:.*?)(?:</\1\s*+>|\z)"
+    """An element, after its ``<``, up to its end tag or the end of the page; ``/>`` ends it at once.
+
+    Patterns start with the one ``<`` so that other characters are passed over quickly.
+    """
+    return rf"({names})(?=[\s/>]){_ATTRS}(?<!/)>(?s:.*?)(?:</\1\s*+>|\z)"
 
 
-_BLOCK = rf"(?i)<!--(?s:.*?)(?:-->|\z)|{_element('script|style')}"
-_HIDDEN = rf"(?i){_element('noscript|svg|template')}"
-_NOSCRIPT = rf"(?i){_element('noscript')}"
-_PICTURE = rf"(?i){_element('picture')}"
+_BLOCK = rf"(?i)<(?:!--(?s:.*?)(?:-->|\z)|{_element('script|style')})"
+# Markup together with the elements whose text is not shown.
+_VISIBLE_CUT = rf"(?i)<(?:{_element('noscript|svg|template')}|{_MARKUP})"
+_NOSCRIPT_CUT = rf"(?i)<(?:{_element('noscript')}|{_MARKUP})"
+_PICTURE = rf"(?i)<{_element('picture')}"
 _FACT_TAGS = rf"(?i)<(?:html|meta|link|img|picture|a)(?=[\s/>]){_ATTRS}>"
 _SOURCE_TAG = rf"(?i)<source(?=[\s/>]){_ATTRS}>"
 _ALL_TAGS = rf"<{_START}>"
@@ -51,7 +56,7 @@ APP_ROOT_IDS = ("root", "app", "__next", "___gatsby")
 
 
 def source_text(html: str) -> str:
-    return f"translate({html}, {lit(MARK)}, '')"
+    return f"replace({html}, {lit(MARK)}, '')"
 
 
 def _cut(src: str, pattern: str) -> str:
@@ -63,14 +68,6 @@ def dom(src: str) -> str:
     return _cut(src, _BLOCK)
 
 
-def visible_source(dom_: str) -> str:
-    return _cut(dom_, _HIDDEN)
-
-
-def without_noscript(dom_: str) -> str:
-    return _cut(dom_, _NOSCRIPT)
-
-
 def _names(tag: str) -> str:
     return f"transform(regexp_extract_all({tag}, {lit(_ATTR)}, 1), n -> lower(n))"
 
@@ -140,12 +137,12 @@ def json_ld_texts(src: str) -> str:
         f" 'body', {body}))"
     )
     kept = f"filter({typed}, s -> coalesce({attr('s', 'type')}, '') = 'application/ld+json')"
-    return f"if(contains(lower({src}), 'ld+json'), transform({kept}, s -> s.body), {NO_STRINGS})"
+    return f"if(contains({src}, 'ld+json'), transform({kept}, s -> s.body), {NO_STRINGS})"
 
 
-def _text(fragment: str, joiner: str) -> str:
+def _text(fragment: str, joiner: str, cut: str = _ANY_MARKUP) -> str:
     """Stripped, non-empty text nodes of a fragment, joined."""
-    decoded = let("mk", _cut(fragment, _ANY_MARKUP), decode_entities("mk"))
+    decoded = let("mk", _cut(fragment, cut), decode_entities("mk"))
     after = f"regexp_replace({decoded}, {lit(_AFTER_MARK)}, {lit(MARK)})"
     runs = f"regexp_replace({after}, {lit(_BEFORE_MARK)}, {lit(MARK)})"
     return f"replace(regexp_extract({runs}, {lit(_INNER)}, 1), {lit(MARK)}, '{joiner}')"
@@ -155,6 +152,15 @@ def node_text(fragment: str) -> str:
     return _text(fragment, " ")
 
 
+def visible_text(dom_: str) -> str:
+    """Text of a page without noscript, svg and template elements."""
+    return _text(dom_, " ", _VISIBLE_CUT)
+
+
+def text_without_noscript(dom_: str) -> str:
+    return _text(dom_, " ", _NOSCRIPT_CUT)
+
+
 def title_text(dom_: str) -> str:
     """Text of the first title element; NULL if blank."""
     return f"nullif({_text(f'regexp_extract({dom_}, {lit(_TITLE)}, 1)', '')}, '')"

@@ -85,7 +85,7 @@ def _tags(df: DataFrame) -> DataFrame:
                 "title_text": H.title_text("dom"),
                 "headings": H.headings("dom"),
                 "tags": H.fact_tags("dom"),
-                "visible_text": H.node_text(H.visible_source("dom")),
+                "visible_text": H.visible_text("dom"),
                 "base": U.base_parts("final_url"),
                 "seed_host": U.host("seed_url"),
             }

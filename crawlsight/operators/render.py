@@ -23,7 +23,7 @@ def render_flags(fetches: DataFrame, keep_html: bool = False) -> DataFrame:
         .selectExpr(
             *names,
             "dom",
-            f"coalesce(length({H.node_text(H.without_noscript('dom'))}), 0) as text_len",
+            f"coalesce(length({H.text_without_noscript('dom')}), 0) as text_len",
             f"coalesce(size({H.headings('dom')}), 0) as n_headings",
             f"{H.level(H.headings('dom'), 1)} as h1",
             f"coalesce({H.fact_tags('dom')}, cast(array() as array<struct<k:string,n:array<string>,v:array<string>>>)) as tags",

@@ -116,7 +116,7 @@ def test_hostile_pages_stay_linear(evaluate):
     ]
     start = time.time()
     sizes = evaluate(
-        f"length({H.node_text(H.visible_source(H.dom('x')))}) + coalesce(size({H.headings(H.dom('x'))}), 0)"
+        f"length({H.visible_text(H.dom('x'))}) + coalesce(size({H.headings(H.dom('x'))}), 0)"
         f" + size({H.fact_tags(H.dom('x'))}) + coalesce(length({H.title_text(H.dom('x'))}), 0)",
         pages,
     )
