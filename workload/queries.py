@@ -696,6 +696,34 @@ def report_documents(spark, d):
     return A.report(rich_audit(spark, d), "json")
 
 
+@query(
+    "SELECT audit_id, s AS section_ord, CAST(n AS BIGINT) AS lines, CAST(CASE WHEN s % 2 = 1 THEN n - 1 ELSE 0 END AS BIGINT)"
+    " AS continued FROM (SELECT audit_id, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS s,"
+    f" unnest([2, critical, 1, warning, 1, info, 4, pages, 1]) AS n FROM ({_SCORED})) WHERE n > 0",
+    O.ISSUES,
+)
+def report_document_parts(spark, d):
+    """How many lines each part of the JSON documents has, and how many continue an array."""
+    lines = A.report(rich_audit(spark, d), "json")
+    return lines.groupBy("audit_id", "section_ord").agg(
+        F.count("*").alias("lines"), F.expr("count_if(startswith(line, ',')) as continued")
+    )
+
+
+@query(
+    "SELECT audit_id, 'Markdown' AS kind, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT audit_id,"
+    # frame, head bullets, top codes, three severity blocks, page block, closing
+    " 15 + 1 + 9 + greatest(critical, 1) + greatest(warning, 1) + greatest(info, 1) + 3 + 2 * pages + 4 AS n"
+    f" FROM ({_SCORED})) GROUP BY 1",
+    O.ISSUES,
+)
+def report_line_counts(spark, d):
+    lines = A.report(rich_audit(spark, d))
+    return lines.groupBy("audit_id").agg(F.count("*").alias("lines")).selectExpr(
+        "audit_id", "'Markdown' as kind", "lines"
+    )
+
+
 @query(
     f"SELECT audit_id, seed_url, CAST(score AS VARCHAR) AS score, CAST(pages AS VARCHAR) AS pages FROM ({_SCORED})",
     O.ISSUES,
@@ -1033,6 +1061,36 @@ def suggest_requests(spark, d):
     return S.requests(S.candidates(facts), S.related_urls(facts), S.parse_keywords("site audit, pages"))
 
 
+@query(
+    "SELECT audit_id, p AS page_ord, final_url AS url, title, description, robots, CAST(images AS INT) AS images,"
+    " array_to_string(list_filter(inside, lambda x, i: list_position(inside, x) = i)[1:30], '|') AS internal_links,"
+    " related AS candidates, 'site audit|pages' AS keywords FROM"
+    " (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY p) AS rn FROM r WHERE live)"
+    " JOIN (SELECT audit_id, string_agg(final_url, '|' ORDER BY final_url) AS related FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY audit_id ORDER BY final_url) AS n FROM (SELECT DISTINCT audit_id, final_url FROM r WHERE live))"
+    " WHERE n <= 40 GROUP BY 1) USING (audit_id) WHERE rn <= 5",
+    O.RICH,
+)
+def suggest_request_facts(spark, d):
+    """The facts inside the request payloads."""
+
+    def value(path, kind="string"):
+        return f"variant_get(v, '$.{path}', '{kind}')"
+
+    return suggest_requests(spark, d).selectExpr(
+        "audit_id", "page_ord", "url", "parse_json(payload) as v"
+    ).selectExpr(
+        "audit_id", "page_ord", "url",
+        f"{value('current.title')} as title",
+        f"{value('current.meta_description')} as description",
+        f"{value('current.robots_meta')} as robots",
+        f"size({value('current.images', 'array<variant>')}) as images",
+        f"array_join({value('current.internal_links', 'array<string>')}, '|') as internal_links",
+        f"array_join({value('candidate_internal_urls', 'array<string>')}, '|') as candidates",
+        f"array_join({value('target_keywords', 'array<string>')}, '|') as keywords",
+    )
+
+
 _ANSWERED = (
     "SELECT 's:' || conv_id AS audit_id, 'https://chat.example/' || conv_id || '/' || turn AS url,"
     " CAST((conv_id + turn) % 4 AS INT) AS k, role, text FROM conversations"
