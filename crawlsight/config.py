@@ -19,6 +19,9 @@ DESCRIPTION_MIN, DESCRIPTION_MAX = 70, 160
 THIN_TEXT = 200
 SHELL_TEXT = 120
 
+# Rank filters up to this size are applied before the shuffle.
+MAX_INLINE = 1000
+
 
 @dataclass(frozen=True)
 class Scoring:
@@ -48,6 +51,10 @@ class AuditOptions:
     # complete list of larger groups is in ``duplicate_title_members``.
     inline_urls: int = 500
 
+    def __post_init__(self) -> None:
+        if self.inline_urls > MAX_INLINE:
+            raise ValueError(f"inline_urls is at most {MAX_INLINE}; use duplicate_title_members for all")
+
     def overlay(self, **changes) -> AuditOptions:
         """A copy with every change that is not None applied."""
         return replace(self, **{k: v for k, v in changes.items() if v is not None})

@@ -20,6 +20,7 @@ SITE = ("audit_id", "seed_url")
 # The engine limits groups before the shuffle up to this rank by itself.
 _GROUP_LIMIT = 1000
 _SALTS = 64
+_CHUNK = 4096
 
 
 def link_edges(fetches: DataFrame) -> DataFrame:
@@ -48,6 +49,32 @@ def _first(df: DataFrame, k: int, order: str) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+def _queue_order(level: DataFrame, budget: int) -> DataFrame:
+    """Rows of a level with their place in the queue of their site.
+
+    A small budget keeps only the first rows. Otherwise the level is numbered by
+    chunks of parent pages: within a chunk, and by the sizes of the chunks before.
+    No task ever holds the whole level of a site.
+    """
+    if budget <= _GROUP_LIMIT:
+        return _first(level, budget, "ord")
+    level = level.withColumn("chunk", F.expr(f"ord.parent_ord div {_CHUNK}"))
+    earlier = W.partitionBy(*SITE).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    sizes = (
+        level.groupBy(*SITE, "chunk")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .drop("n")
+    )
+    within = F.row_number().over(W.partitionBy(*SITE, "chunk").orderBy("ord"))
+    return (
+        level.withColumn("rn", within)
+        .join(sizes, [*SITE, "chunk"])
+        .withColumn("rank", F.expr("rn + before"))
+        .drop("rn", "before", "chunk")
+    )
+
+
 def frontier(
     seeds: DataFrame,
     fetches: DataFrame,
@@ -62,25 +89,25 @@ def frontier(
     keyed by requested address. Each level is one join of the frontier with the
     link table, written to the staging folder, so at most ``max_depth`` rounds.
 
-    The sort key of a page is the path of link positions that led to it; within a
-    level its text order is the queue order.
+    The queue order of a level is the place of the linking page and the position of
+    the link on it; a page linked several times keeps the first.
     """
     options = options or AuditOptions()
     edges = stage(link_edges(fetches), "edges")
     known = stage(fetches.filter("depth >= 0").selectExpr("url", "true as fetched"), "known").dropDuplicates(["url"])
     level = seeds.selectExpr(
-        "audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "'' as key"
+        "audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "struct(0L as parent_ord, 0 as pos) as ord"
     )
     seen = records = None
     for depth in range(options.max_depth + 1):
-        ranked = _first(level, options.max_pages, "key")
+        ranked = _queue_order(level, options.max_pages)
         if records is not None:
             used = records.groupBy(*SITE).agg(F.count("*").alias("used"))
             ranked = ranked.join(used, [*SITE], "left")
         else:
             ranked = ranked.withColumn("used", F.lit(0))
         ranked = ranked.filter(f"rank + coalesce(used, 0) <= {options.max_pages}").selectExpr(
-            *SITE, "url", "key", f"{depth} as depth", "cast(rank + coalesce(used, 0) - 1 as bigint) as page_ord"
+            *SITE, "url", f"{depth} as depth", "cast(rank + coalesce(used, 0) - 1 as bigint) as page_ord"
         )
         if options.respect_robots and host_rules is not None:
             ranked = gate(ranked, host_rules)
@@ -93,14 +120,14 @@ def frontier(
         found = (
             done.filter("allowed")
             .join(edges, F.col("url") == F.col("src"))
-            .selectExpr(*SITE, "dst as url", "concat(key, '/', lpad(hex(pos), 6, '0')) as key")
+            .selectExpr(*SITE, "dst as url", "struct(page_ord as parent_ord, pos) as ord")
         )
         if options.same_host_only:
             found = found.filter(U.same_host("seed_url", "url"))
         queued = level.select(*SITE, "url")
         seen = queued if seen is None else seen.unionByName(queued)
         level = stage(
-            found.groupBy(*SITE, "url").agg(F.min("key").alias("key")).join(seen, [*SITE, "url"], "left_anti"),
+            found.groupBy(*SITE, "url").agg(F.min("ord").alias("ord")).join(seen, [*SITE, "url"], "left_anti"),
             f"queue-{depth + 1}",
         )
     return records.join(known, "url", "left").selectExpr(

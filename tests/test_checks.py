@@ -191,4 +191,6 @@ def test_options_are_copied():
     base = AuditOptions()
     changed = base.overlay(max_pages=7, max_depth=None, save=True)
     assert (changed.max_pages, changed.max_depth, changed.persists) == (7, 3, True)
+    with pytest.raises(ValueError):
+        base.overlay(inline_urls=5000)
     assert base.max_pages == 50 and not base.persists and AuditOptions(compare=True).persists
