@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,10 @@ _DIR = "spark.checkpoint.dir"
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
-    path = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    path = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="crawlsight-")
-        spark.conf.set(_DIR, path)
+        raise RuntimeError(f"set {_DIR} to a folder that the driver and all executors share")
     return path
 
 
@@ -23,20 +21,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back.
 
     Unlike a cache it survives lost executors, cuts the lineage, and lets each
-    reader take only the columns it needs.
+    reader take only the columns it needs. ``release`` deletes what was staged.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a plain scan over all cores if it has fewer splits than there are cores.
-
-    Page parsing is bound by CPU. Inputs with splits enough are left alone, so
-    nothing is shuffled at scale. Give a scan: counting the splits of a join would
-    run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def release(spark: SparkSession) -> None:
+    """Deletes all tables this application staged; call it when no result that reads them is needed any more."""
+    path = f"{staging_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

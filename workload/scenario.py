@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsight.functions import url as U
-from crawlsight.session import spread
 from crawlsight.sources.fetches import normalize_fetches, pages_as_fetches
 
 
@@ -20,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def plain_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +117,7 @@ def probes(worklist: DataFrame) -> DataFrame:
 
 def document_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages without headings, images and links; every second has an app root."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return pages_as_fetches(
         docs.selectExpr(
             "doc_id as page_id",
