@@ -25,7 +25,6 @@ RATES = (
     "symbol_rate",
     "dup_line_rate",
     "repeat_rate",
-    "herdan",
     "upper_rate",
     "bang_rate",
     "stop_rate",
@@ -64,7 +63,6 @@ def base_counts(docs: DataFrame, *, more: bool = False) -> DataFrame:
     if more:
         counts += [
             F.expr("cast(size(lines) as bigint)").alias("n_lines"),
-            F.expr("cast(size(array_distinct(wh)) as bigint)").alias("n_distinct"),
             F.expr(f"cast({_without(chr(92) + 'p{Lu}')} as bigint)").alias("n_upper"),
             F.expr(f"cast({_without('!?')} as bigint)").alias("n_bang"),
             F.expr(f"cast({_without('.,;:')} as bigint)").alias("n_stops"),
@@ -72,7 +70,7 @@ def base_counts(docs: DataFrame, *, more: bool = False) -> DataFrame:
             F.expr("cast(size(filter(w, x -> length(x) <= 3)) as bigint)").alias("n_short"),
         ]
     named = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")] + (
-        ["n_lines", "n_distinct", "n_upper", "n_bang", "n_stops", "n_digits", "n_short"] if more else []
+        ["n_lines", "n_upper", "n_bang", "n_stops", "n_digits", "n_short"] if more else []
     )
     rows = rows.select("doc_id", F.when(F.expr("size(h) > size(array_distinct(h))"), F.col("w")).alias("w"), *counts)
     # Windows of the few texts with a repeat, sorted: equal ones are neighbours.
@@ -110,7 +108,6 @@ def rates() -> list:
         "symbol_rate": over("n_symbols", "word_chars"),
         "dup_line_rate": over("n_dup_lines", "n_lines"),
         "repeat_rate": over("n_repeat_words", "n_words"),
-        "herdan": over("ln(1D + n_distinct)", "ln(1D + n_words)"),  # falls little with length
         "upper_rate": over("n_upper", "word_chars"),
         "bang_rate": over("n_bang", "n_words"),
         "stop_rate": over("n_stops", "n_words"),

@@ -1,6 +1,6 @@
 """Quality rules: a decision list learned by sequential covering.
 
-Rules drop documents. Each is a conjunction of thresholds on text rates, grown literal
+Rules drop documents, beyond a fixed base rule. Each is a conjunction of thresholds on text rates, grown literal
 by literal on two thirds of the labelled rows and pruned on the rest; the rows it covers
 leave, and the next rule is learned. The driver sees counts per feature and bin only.
 The list is one Spark conditional expression, applied to all documents.
@@ -75,9 +75,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def learn(stats: DataFrame, labels: DataFrame, options: RuleOptions = RuleOptions()) -> DecisionList:
-    """The decision list for ``quality`` from staged statistics."""
+    """The decision list for ``quality`` from staged statistics, for what the base rule leaves."""
     truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(truth, "doc_id").select(
+    rows = stats.filter(f"not ({BASE_FAILED})").join(truth, "doc_id").select(
         *RATES, (F.col("quality") == 0).alias("low"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("growing")
     )
     rows = stage(rows, "rule_rows")
