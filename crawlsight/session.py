@@ -17,15 +17,16 @@ def staging_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet and read back.
 
     Unlike a cache it survives lost executors, cuts the lineage, and lets each
-    reader take only the columns it needs. ``release`` deletes what was staged.
+    reader take only the columns it needs. ``options`` go to the writer; ``release``
+    deletes what was staged.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
