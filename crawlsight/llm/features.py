@@ -39,15 +39,18 @@ def _without(chars: str) -> str:
     return f"length(t) - length(regexp_replace(t, {sql_pattern('[' + chars + ']+')}, ''))"
 
 
-def base_counts(docs: DataFrame, *, more: bool = False) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, with ``more`` also counts for ``RATES``."""
-    rows = docs.select("doc_id", F.expr("coalesce(text, '')").alias("t"))
-    rows = rows.select("doc_id", "t", F.expr(words("t")).alias("w"))
-    rows = rows.select("doc_id", "t", "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
+def base_counts(docs: DataFrame, *, more: bool = False, carry: str = "doc_id", text: str = "text") -> DataFrame:
+    """``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, with ``more`` also counts for ``RATES``.
+
+    ``carry`` is a column to keep, ``text`` the column to read.
+    """
+    rows = docs.select(carry, F.expr(f"coalesce({text}, '')").alias("t"))
+    rows = rows.select(carry, "t", F.expr(words("t")).alias("w"))
+    rows = rows.select(carry, "t", "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
     last = WINDOW - 1
     hashes = ", ".join(f"element_at(wh, i + {k})" for k in range(WINDOW))
     rows = rows.select(
-        "doc_id",
+        carry,
         "t",
         "w",
         "wh",
@@ -72,18 +75,18 @@ def base_counts(docs: DataFrame, *, more: bool = False) -> DataFrame:
     named = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")] + (
         ["n_lines", "n_upper", "n_bang", "n_stops", "n_digits", "n_short"] if more else []
     )
-    rows = rows.select("doc_id", F.when(F.expr("size(h) > size(array_distinct(h))"), F.col("w")).alias("w"), *counts)
+    rows = rows.select(carry, F.when(F.expr("size(h) > size(array_distinct(h))"), F.col("w")).alias("w"), *counts)
     # Windows of the few texts with a repeat, sorted: equal ones are neighbours.
     window = "array_join(slice(w, i, " + str(WINDOW) + "), ' ')"
     rows = rows.select(
-        "doc_id",
+        carry,
         *named,
         F.expr(
             f"if(w is not null, array_sort(transform(sequence(1, size(w) - {last}), i -> struct({window} as x, i as i))), array())"
         ).alias("s"),
     )
     rows = rows.select(
-        "doc_id",
+        carry,
         *named,
         F.expr(
             "array_sort(transform(filter(s, (e, k) -> e.x <=> get(s, k - 1).x or e.x <=> get(s, k + 1).x), e -> e.i))"
@@ -93,7 +96,7 @@ def base_counts(docs: DataFrame, *, more: bool = False) -> DataFrame:
         f"aggregate(at, struct(cast(-{WINDOW} as int) as last, 0L as n),"
         f" (a, i) -> struct(i as last, a.n + cast(least({WINDOW}, i - a.last) as bigint) as n), a -> a.n)"
     ).alias("n_repeat_words")
-    return rows.select("doc_id", *named[:4], repeat, *named[4:])
+    return rows.select(carry, *named[:4], repeat, *named[4:])
 
 
 def rates() -> list:

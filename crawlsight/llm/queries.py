@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import exact, mixing, rules
+from crawlsight.llm import exact, gam, mixing, packing, rules, shards
 from crawlsight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,19 @@ def op2_fair_mix(spark, d):
 )
 def op9_exact_dedup(spark, d):
     return exact.dedup(table(spark, d, "documents"))
+
+
+@query()
+def op4_concat_pack(spark, d):
+    return packing.pieces(table(spark, d, "documents"))
+
+
+@query()
+def op7_kd_shards(spark, d):
+    rows = shards.assign(table(spark, d, "documents"))
+    return rows.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op10_gam_quality(spark, d):
+    return gam.classify(table(spark, d, "documents"), table(spark, d, "labels"))
