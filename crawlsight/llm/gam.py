@@ -176,7 +176,9 @@ def _scored(stats: DataFrame, carry: str, model: Model) -> DataFrame:
     def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
-    return stats.select(carry, *rates()).select(carry, score(*RATES).alias("score"))
+    # A filter on the score must not move below the projections and repeat their work.
+    once = score.asNondeterministic()
+    return stats.select(carry, *rates()).select(carry, once(*RATES).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, options: GamOptions = GamOptions()) -> DataFrame:

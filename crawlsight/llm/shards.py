@@ -6,7 +6,7 @@ that are refined around the middle, so the driver sees a bounded number of bins.
 that tie on the value are split by content digest, then id digest: equal texts stay
 together unless the middle falls among them, and a group of any size can be split.
 
-* NULL text has 0 bytes (size 1); NULL source or language sorts first.
+* NULL text has 0 bytes (size 1), no lines, and sorts first by its letters.
 * Repeated rows get slots of their own. An empty table gives no rows and one leaf.
 * Further columns are ignored by ``assign`` and kept by ``sharded``.
 """
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from crawlsight.llm.common import running
 from crawlsight.session import stage
 
-#: Metadata dimensions in order of preference among equally wide ones.
-DIMENSIONS = ("size", "source_code", "lang_code", "text_crc32")
+#: Metadata dimensions in order of preference among equally wide ones. All are functions
+#: of the text, so copies share a place; ``code`` makes a dimension of a label column.
+DIMENSIONS = ("size", "lines", "letters", "text_crc32")
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Cut:
         return f"({self.dimension} < {self.value}L or ({self.dimension} = {self.value}L and tie <= {self.tie}L))"
 
 
-def _code(column: str) -> str:
+def code(column: str) -> str:
     """SQL: a number in the order of the first seven bytes; -1 for NULL."""
     return f"coalesce(cast(conv(rpad(hex(substring(cast({column} as binary), 1, 7)), 14, '0'), 16, 10) as bigint), -1L)"
 
@@ -57,8 +58,8 @@ def _metadata() -> list:
         F.col("doc_id"),
         F.expr(f"cast(octet_length({text}) + 1 as bigint)").alias("size"),
         F.expr(f"crc32({text})").alias("text_crc32"),
-        F.expr(_code("source")).alias("source_code"),
-        F.expr(_code("lang")).alias("lang_code"),
+        F.expr("cast(regexp_count(coalesce(text, ''), '\\n') as bigint)").alias("lines"),
+        F.expr(code("substring(ltrim(text), 1, 7)")).alias("letters"),
         F.expr(f"crc32({text}) * 2147483648 + (xxhash64(doc_id) & 2147483647)").alias("tie"),
     ]
 
@@ -67,10 +68,10 @@ def _case(column: str, choices: dict[int, str]) -> str:
     return f"case {column} " + " ".join(f"when {k} then {v}" for k, v in choices.items()) + " end"
 
 
-def _medians(rows: DataFrame, keys: dict[int, str], goals: dict[int, float], slack: dict[int, float], bounds: dict[int, tuple[int, int]], bins: int) -> dict[int, tuple[int, float, float]]:
-    """Per node the key where the running weight passes its goal, the weight below that
-    key's bin, and the weight of the bin: one value, or a range lighter than ``slack``."""
-    found: dict[int, tuple[int, float, float]] = {}
+def _medians(rows: DataFrame, keys: dict[int, str], goals: dict[int, float], slack: dict[int, float], bounds: dict[int, tuple[int, int]], bins: int) -> dict[int, tuple[int, int, float, float]]:
+    """Per node the range of keys in which the running weight passes its goal, the weight
+    below it and its own: one key, or several that together are lighter than ``slack``."""
+    found: dict[int, tuple[int, int, float, float]] = {}
     span = dict(bounds)
     below = dict.fromkeys(keys, 0.0)
     while keys:
@@ -86,12 +87,12 @@ def _medians(rows: DataFrame, keys: dict[int, str], goals: dict[int, float], sla
                 if total + r.w >= goals[n] or r is mine[-1]:
                     span[n], below[n] = (r.lo, r.hi), total
                     if r.lo == r.hi or r.w <= slack[n]:
-                        found[n] = (r.hi, total, float(r.w))
+                        found[n] = (r.lo, r.hi, total, float(r.w))
                         del keys[n]
                     break
                 total += r.w
             else:
-                found[n] = (span[n][1], total, 0.0)
+                found[n] = (*span[n], total, 0.0)
                 del keys[n]
     return found
 
@@ -133,12 +134,17 @@ def build(meta: DataFrame, options: ShardOptions = ShardOptions()) -> Tree:
             slack[n] = e.w * options.tolerance
         bounds = {n: (e[f"lo_{dims[n]}"], e[f"hi_{dims[n]}"]) for n, e in extents.items()}
         middle = _medians(rows, dict(dims), goals, slack, bounds, options.bins)
-        ties = {n: f"if({dims[n]} = {v}L, tie, null)" for n, (v, _, w) in middle.items() if w > slack[n]}
+        ties = {n: f"if({dims[n]} = {hi}L, tie, null)" for n, (_, hi, _, w) in middle.items() if w > slack[n]}
         split = {}
         if ties:
-            split = _medians(rows, dict(ties), {n: goals[n] - middle[n][1] for n in ties}, slack, {n: (extents[n].lo_tie, extents[n].hi_tie) for n in ties}, options.bins)
-        for n, (v, _, _) in middle.items():
-            cuts[n] = Cut(dims[n], v, split[n][0] if n in split else 2**63 - 1)
+            split = _medians(rows, dict(ties), {n: goals[n] - middle[n][2] for n in ties}, slack, {n: (extents[n].lo_tie, extents[n].hi_tie) for n in ties}, options.bins)
+        for n, (_, value, under, _) in middle.items():
+            tie = 2**63 - 1
+            if n in split:
+                first, tie, below, own = split[n]
+                if under + below + own - goals[n] > goals[n] - under - below:  # nearer without these rows
+                    tie = first - 1
+            cuts[n] = Cut(dims[n], value, tie)
         for n in extents:
             share[2 * n], share[2 * n + 1] = share[n] // 2, share[n] - share[n] // 2
         for n in open_nodes:
