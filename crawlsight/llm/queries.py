@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import exact, gam, mixing, packing, rules, shards
+from crawlsight.llm import exact, gam, lattice, mixing, near, packing, rules, shards
 from crawlsight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op7_kd_shards(spark, d):
 @query()
 def op10_gam_quality(spark, d):
     return gam.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def op3_lattice_lm(spark, d):
+    return lattice.score(table(spark, d, "documents"))
+
+
+@query()
+def op8_bottom_k_near(spark, d):
+    return near.near_duplicates(table(spark, d, "documents"), near.NearOptions(shingle=2))
