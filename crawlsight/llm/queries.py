@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import exact, gam, lattice, mixing, near, packing, rules, shards
+from crawlsight.llm import exact, gam, lattice, mixing, near, packing, pii, rules, shards, urls
 from crawlsight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,27 @@ def op3_lattice_lm(spark, d):
 @query()
 def op8_bottom_k_near(spark, d):
     return near.near_duplicates(table(spark, d, "documents"), near.NearOptions(shingle=2))
+
+
+@query(
+    r"""
+    WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+    r AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN '.' || host LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN '.' || host LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN '.' || host LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN '.' || host LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+    m AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL WHEN regexp_matches(host, '(^|[^a-z0-9])casino($|[^a-z0-9])') THEN 'casino'
+      WHEN regexp_matches(host, '(^|[^a-z0-9])bets($|[^a-z0-9])') THEN 'bets' WHEN regexp_matches(host, '(^|[^a-z0-9])pills($|[^a-z0-9])') THEN 'pills'
+      WHEN regexp_matches(host, '(^|[^a-z0-9])ads[^a-z0-9]track($|[^a-z0-9])') THEN 'ads-track' END AS pattern_rule FROM r)
+    SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM m
+    """
+)
+def op5_rarest_token_urls(spark, d):
+    return urls.judge(table(spark, d, "pages"))
+
+
+@query()
+def op6_checked_pii(spark, d):
+    return pii.digest(pii.find(table(spark, d, "documents")))
