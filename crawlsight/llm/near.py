@@ -7,12 +7,14 @@ estimates their similarity, and exact Jaccard similarity of the whole sets decid
 What keeps this complete and still far from all pairs:
 
 * Texts with the same words are one class, compared once.
-* Two sets with similarity 0.8 share 4/5 of a sketch on average; less than half is more
-  than six standard deviations away. Sketches that share half their values also share
-  one among the rarer half of each (prefix filter), so only those values are indexed.
-  Every value may be indexed; none is dropped for being frequent.
+* Two sets with similarity 0.8 share 4/5 of a sketch on average, and at least c values,
+  six standard deviations below (exactly where sets fit into sketches). Sketches of s
+  values that share c also share one among the rarest s - c + 1 of each (prefix filter),
+  so only those are indexed. Any value may be among them; none is dropped for being frequent.
+* Values found in one sketch only bound what a set can share with any other.
 * In each list all members are first compared with one leader, the member whose values
-  are least its own. Members linked to it need no links among each other.
+  are least its own, then those of other components with further leaders. Members of
+  one component need no links among each other.
 * The rest of a list, the members far from the leader, are compared with each other.
   With members near the leader they can only be linked if the distances differ by at
   most 0.2 (Jaccard distance is a metric), so only those pairs are compared.
@@ -42,7 +44,11 @@ class NearOptions:
     shingle: int = 5  # words
     similarity: float = 0.8
     sketch: int = 64  # values retained
-    estimate: float = 0.3  # pairs estimated below are not verified: 5 standard deviations below 0.6
+    estimate: float = 0.55  # pairs estimated below aren't verified: 5 standard deviations below 0.8
+    distance: float = 0.3  # the same where distances up to 0.4 are needed: 5 below 0.6
+    rounds: int = 2  # leaders that members are compared with before the rest of a list
+    pair_list: int = 64  # members up to which the rest of a list is paired by a join
+    block: int = 250_000  # shingles of a block of a longer list
     broadcast_rows: int = 2_000_000  # id lists up to this length (32 MB) are broadcast
 
 
@@ -122,21 +128,40 @@ def _only(df: DataFrame, ids: DataFrame, on: str, options: NearOptions) -> DataF
     return df.join(F.broadcast(ids) if small else ids, F.col(on) == F.col("_id"), "left_semi")
 
 
-def _index(nodes: DataFrame) -> DataFrame:
-    """Inverted lists: value, id, n, own (values found in no other set); only of each sketch's rarer half."""
+def _index(nodes: DataFrame, options: NearOptions) -> DataFrame:
+    """Inverted lists: value, id, n, own, m, for the rarer values of each sketch.
+
+    ``own`` counts values found in no other sketch. ``m`` bounds how much of the set
+    others can share: exact for a set within its sketch, else five standard deviations
+    above the estimate.
+    """
+    k, t = options.sketch, options.similarity
     values = nodes.select("id", F.expr("n * 128 + size(sketch)").alias("meta"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     rows = values.join(shared, "value").groupBy("id", "meta").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     rows = rows.select("id", F.expr("meta div 128").alias("n"), F.expr("cast(meta % 128 as int)").alias("s"), "v")
-    rows = rows.select("id", "n", (F.col("s") - F.size("v")).alias("own"), "s", "v")
-    return rows.select(
-        "id", "n", "own", F.explode(F.expr("slice(v, 1, greatest(0, s div 2 + 1 - own))")).alias("e")
-    ).select("id", "n", "own", F.col("e.value").alias("value"))
+    # The least number of values that two sketches of similar sets share.
+    common = (
+        f"if(n <= {k}, least(ceil({t}D * n), {k} * 3 div 4),"
+        f" floor({t * k}D - 6 * sqrt({t * (1 - t) * k}D * (1 - {k} * {t}D / n))))"
+    )
+    rows = rows.select("id", "n", "s", (F.col("s") - F.size("v")).alias("own"), "v", F.expr(common).alias("common"))
+    share = "own / s"
+    rows = rows.select(
+        "id",
+        "n",
+        "own",
+        F.expr(
+            f"if(n = s, n - own, n * (1 - greatest(0D, {share} - 5 * sqrt({share} * (1 - {share}) / s * (1 - s / n)))))"
+        ).alias("m"),
+        F.explode(F.expr("slice(v, 1, cast(greatest(0, s - common + 1 - own) as int))")).alias("e"),
+    )
+    return rows.select("id", "n", "own", "m", F.col("e.value").alias("value"))
 
 
 def _alike(a: str, b: str, similarity: float) -> str:
-    """SQL: the set sizes allow the similarity."""
-    return f"least({a}, {b}) >= {similarity}D * greatest({a}, {b})"
+    """SQL: what both sets can share allows the similarity."""
+    return f"{1 + similarity}D * least({a}m, {b}m) >= {similarity}D * ({a}n + {b}n) - 1e-6D"
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, options: NearOptions) -> DataFrame:
@@ -212,51 +237,119 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
 
 
+def _linked_blocks(options: NearOptions):
+    """Links between two blocks of a list (or within one): one for each pair of components."""
+
+    def run(key, table):
+        p, q = key[1].as_py(), key[2].as_py()
+        ids, block, root = (table.column(k).to_numpy() for k in ("id", "part", "root"))
+        far = table.column("far").to_numpy(zero_copy_only=False)
+        sets = table.column("hashes").combine_chunks()
+        n = np.diff(sets.offsets.to_numpy())
+        _, at = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        mark = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int32)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.flatnonzero(far):
+            mark[at[ends[k] : ends[k + 1]]] = 1
+            common = np.add.reduceat(mark[at], ends[:-1])
+            mark[at[ends[k] : ends[k + 1]]] = 0
+            alike = common >= (options.similarity - 1e-9) * (n + n[k] - common)
+            other = block != block[k] if p != q else True
+            for j in np.flatnonzero(alike & (root != root[k]) & other):
+                found.setdefault((min(root[k], root[j]), max(root[k], root[j])), (min(ids[k], ids[j]), max(ids[k], ids[j])))
+        pairs = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _long_lists(members: DataFrame, docs: DataFrame, options: NearOptions) -> DataFrame:
+    """Pairs to verify from long lists: whole sets, block by block."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                sets = [shingle_hashes(split_words(t.as_py() or b""), options.shingle, hashes) for t in rows.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_id", "hashes"])
+
+    ids = stage(members.select("id").distinct(), "near_long_ids")
+    texts = _only(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), ids, "doc_id", options)
+    sets = texts.mapInArrow(hashed, "_id bigint, hashes array<bigint>")
+    blocks = f"cast(ceil(weight / {options.block}D) as int)"
+    rows = members.select("value", "id", "root", F.expr(f"d > {1 - options.similarity}D").alias("far"), F.expr(blocks).alias("parts"))
+    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    rows = rows.select("value", "id", "root", "far", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    rows = rows.join(sets, F.expr("id = _id")).select(
+        "value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "root", "far", "part", "hashes"
+    )
+    return rows.groupBy("value", "p", "q").applyInArrow(_linked_blocks(options), "a bigint, b bigint")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of their ``id``: itself if it has no link."""
+    joined = rows.join(roots.withColumnRenamed("id", "_i"), F.expr("id = _i"), "left").drop("_i")
+    return joined.withColumn("root", F.expr("coalesce(root, id)"))
+
+
 # --- Links ------------------------------------------------------------------
 
 
 def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFrame:
-    """Links (a, b, jaccard) between class representatives that make up all components."""
+    """Links (a, b) between class representatives that make up all components."""
     nodes = sketched.filter("n > 0 and doc_id is not null")
     classes = stage(nodes.groupBy("digest").agg(F.min("doc_id").alias("id")), "near_classes")
     small = classes.count() <= options.broadcast_rows
     first = F.broadcast(classes) if small else classes
     nodes = nodes.join(first.select(F.col("digest").alias("_d"), "id"), F.expr("digest = _d and doc_id = id"), "left_semi")
     nodes = nodes.select(F.col("doc_id").alias("id"), "n", "sketch")
-    index = stage(_index(nodes), "near_index")
+    index = stage(_index(nodes, options), "near_index")
     near, far_apart = options.similarity, 1 - options.similarity
-    leaders = (
-        index.groupBy("value")
-        .agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count("*").alias("members"))
-        .filter("members > 1")
-        .select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
-    )
-    lists = stage(index.join(leaders, "value").select("value", "id", "n", "leader", "leader_n"), "near_lists")
-    to_leader = lists.filter("id <> leader").filter(_alike("n", "leader_n", near))
+    # The first leader is the member whose values are least its own.
+    leaders = index.groupBy("value").agg(F.min(F.struct("own", "id")).alias("l"), F.count("*").alias("members")).filter("members > 1")
+    lists = index.join(leaders.select("value", F.col("l.id").alias("leader")), "value")
+    lists = stage(lists.select("value", "id", "n", "m", "leader"), "near_lists")
+    heads = lists.filter("id = leader").select("value", F.struct("n", "m").alias("l"))
+    to_leader = lists.filter("id <> leader").join(heads, "value").filter(_alike("", "l.", near))
     stars = to_leader.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tested = stage(_verified(_estimated(stars, nodes, options.estimate, options), docs, options), "near_stars")
-    edges = tested.filter(F.col("jaccard") >= near)
-    roots = components(edges)
+    tested = stage(_verified(_estimated(stars, nodes, options.distance, options), docs, options), "near_stars")
+    edges = tested.filter(F.col("jaccard") >= near).select("a", "b")
+    roots = stage(components(edges), "near_roots")
+    for turn in range(1, options.rounds):
+        # Other leaders, different ones from list to list, for members that aren't in their component yet.
+        rooted = _rooted(lists, roots)
+        pick = rooted.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", "value", F.lit(turn)).alias("h"), "id", "n", "m", "root")).alias("l"))
+        pairs = rooted.join(pick, "value").filter(f"root <> l.root and {_alike('', 'l.', near)}")
+        pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+        more = _verified(_estimated(pairs, nodes, options.estimate, options), docs, options).filter(F.col("jaccard") >= near)
+        edges = stage(edges.unionByName(more.select("a", "b")), "near_edges")
+        roots = stage(components(edges), "near_roots")
 
     # Members of each list with their distance from the leader and their component so far.
     known = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("jaccard")).alias("d"))
     placed = (
-        lists.join(known, F.expr("least(id, leader) = _a and greatest(id, leader) = _b"), "left")
-        .join(roots.withColumnRenamed("id", "_i"), F.expr("id = _i"), "left")
-        .select("value", "id", "n", F.expr("if(id = leader, 0D, coalesce(d, 1D))").alias("d"), (F.col("id") == F.col("leader")).alias("leads"), F.expr("coalesce(root, id)").alias("root"))
+        _rooted(lists, roots)
+        .filter("id <> leader")
+        .join(known, F.expr("least(id, leader) = _a and greatest(id, leader) = _b"), "left")
+        .select("value", "id", "n", "m", F.expr("coalesce(d, 1D)").alias("d"), "root")
     )
-    placed = stage(placed.filter("not leads"), "near_members")
-    x, y = placed.alias("x"), placed.alias("y")
-    within = f"x.value = y.value and x.root <> y.root and {_alike('x.n', 'y.n', near)}"
+    length = placed.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    length = length.filter("r0 <> r1").select("value", "members", "weight")
+    placed = stage(placed.join(length, "value"), "near_rest")
+    short, long = placed.filter(f"members <= {options.pair_list}"), placed.filter(f"members > {options.pair_list}")
+    x, y = short.alias("x"), short.alias("y")
+    within = f"x.value = y.value and x.root <> y.root and {_alike('x.', 'y.', near)}"
     far = f"x.d > {far_apart}D"
     rest = x.filter(far).join(y.filter(f"y.d > {far_apart}D"), F.expr(f"{within} and x.id < y.id"))
     middle = x.filter(f"{far} and x.d < {2 * far_apart}D").join(
         y.filter(f"y.d <= {far_apart}D"), F.expr(f"{within} and x.d - y.d <= {far_apart}D + 1e-9D")
     )
     pair = [F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")]
-    more = rest.select(*pair).unionByName(middle.select(*pair)).distinct()
-    late = _verified(_estimated(more, nodes, options.estimate, options), docs, options).filter(F.col("jaccard") >= near)
-    return edges.select("a", "b", "jaccard").unionByName(late.select("a", "b", "jaccard"))
+    more = _estimated(rest.select(*pair).unionByName(middle.select(*pair)).distinct(), nodes, options.estimate, options)
+    late = more.unionByName(_long_lists(long, docs, options)).distinct()
+    return edges.unionByName(_verified(late, docs, options).filter(F.col("jaccard") >= near).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
@@ -268,7 +361,7 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions()) -> Da
     # An id with several texts ties their classes together.
     shared = home.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("doc_id", "a")
     ties = home.join(shared, "doc_id").select("a", F.col("id").alias("b"))
-    roots = components(links(docs, sketched, options).select("a", "b").unionByName(ties))
+    roots = components(links(docs, sketched, options).unionByName(ties))
     placed = home.distinct().join(roots.withColumnRenamed("id", "_i"), F.expr("id = _i"), "left")
     placed = placed.groupBy("doc_id").agg(F.min(F.expr("coalesce(root, id)")).alias("root")).withColumnRenamed("doc_id", "_id")
     rows = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(placed, F.expr("doc_id = _id"), "left")
