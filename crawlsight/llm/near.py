@@ -375,4 +375,4 @@ def kept_documents(docs: DataFrame, options: NearOptions = NearOptions()) -> Dat
     gone = stage(near_duplicates(docs, options).filter("not kept").select("doc_id").distinct(), "near_gone")
     small = gone.count() <= options.broadcast_rows
     gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(F.broadcast(gone) if small else gone, F.expr("doc_id = _gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -1,0 +1,202 @@
+"""Rules, classifier, PII and URL filters on odd rows and against plain Python."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from crawlsight.llm import features, gam, pii, rules, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    marked = {k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, 0) for k in range(1, 12)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Clean rows and rows full of symbols, labelled with little noise."""
+    pick = random.Random(3)
+    docs, marks = [], []
+    for k in range(600):
+        words = [pick.choice("river stone light under valley cloud early winter".split()) + str(pick.randrange(400)) for _ in range(60)]
+        bad = k % 5 == 0
+        docs.append((k, " ".join(w + ("|" if bad and pick.random() < 0.5 else "") for w in words), "en", "s", 0))
+        marks.append((k, int(not bad), 0))
+    return (
+        spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"),
+    )
+
+
+def test_counts_equal_python(odd):
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    for r in features.base_counts(odd).collect():
+        assert tuple(r)[1:] == counts(texts[r.doc_id])
+
+
+def test_repeated_windows(spark):
+    texts = ["a b c d e f a b c d e", "a a a a a a a", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 x\n1 2 3 4 5", "a b c d", "l m n\nl m n\n\n\nl m n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [tuple(r)[1:] for r in features.base_counts(df).orderBy("doc_id").collect()] == [counts(t) for t in texts]
+
+
+def test_rules_learn_and_leave_clean_rows(corpus):
+    docs, labels = corpus
+    got = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
+    assert all(got[k].kept == (k % 5 != 0) for k in got)
+    assert all(r.kept != (r.base_failed or r.rule is not None) for r in got.values())
+
+
+def test_rules_are_ordered_and_pruned(corpus):
+    docs, labels = corpus
+    learned = rules.learn(rules.stage(rules.statistics(docs), "t"), labels)
+    assert learned.rules and all(r.low >= 0.9 * (r.low + r.good) for r in learned.rules)
+    assert all(1 <= len(r.literals) <= 4 for r in learned.rules)
+
+
+def test_rules_on_odd_rows(odd, clashing, none, labels, same):
+    same(rules.judge(odd, labels), rules.judge(clashing, labels))
+    assert rules.judge(none, labels).count() == 0
+    got = rules.judge(odd, labels.limit(0))
+    assert got.filter("base_failed and kept").count() == 0 and got.filter("not base_failed and not kept").count() == 0
+
+
+def test_classifier_on_held_out_rows(corpus):
+    docs, labels = corpus
+    got = gam.classify(docs, labels).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    right = sum((r.predicted == 1) == (r.doc_id % 5 != 0) for r in held)
+    assert right >= 0.97 * len(held)
+    assert gam.kept_documents(docs, labels).count() == sum(r.predicted for r in got)
+
+
+def test_classifier_ignores_held_out_labels(corpus):
+    docs, labels = corpus
+    wrong = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 1 - quality, quality) as quality", "toxic")
+    a = {r.doc_id: r.score for r in gam.classify(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in gam.classify(docs, wrong).collect()}
+    assert a == b
+
+
+def test_model_adds_tables():
+    pick = np.random.default_rng(0)
+    x = pick.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # an interaction alone
+    model = gam.fit(x, y, gam.GamOptions(pairs=2))
+    assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
+    total = np.full(len(x), model.base)
+    for k, table in enumerate(model.tables):
+        total += [table[(model.cuts[k] < v).sum()] for v in x[:, k]]
+    for (i, j), table in zip(model.pairs, model.pair_tables):
+        total += [table[(model.pair_cuts[i] < a).sum(), (model.pair_cuts[j] < b).sum()] for a, b in zip(x[:, i], x[:, j])]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-total)))
+
+
+def test_classifier_on_odd_rows(odd, clashing, none, labels, same):
+    same(gam.classify(odd, labels), gam.classify(clashing, labels))
+    assert gam.classify(none, labels).count() == 0
+    assert {r.score for r in gam.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert gam.kept_documents(clashing, labels).columns == clashing.columns
+
+
+# --- PII ---------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain(text):
+    """The base spans by the contract's own patterns."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+
+
+def test_base_spans_equal_plain_patterns():
+    pick = random.Random(5)
+    parts = ["a@b.c", "@", "x.y@z-1.example.com", ".", "1.2.3.4", "256.1.1.1", "0001.002.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112",
+             "+1 (603) 555-8791", "+", "-", " ", "  ", "12", "é", "%", "_", "1.2.3", "+49.30.123456", "(", ")", "\n", "word", "9", "0"]
+    for _ in range(4000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randrange(1, 14)))
+        assert [s[:3] for s in pii.spans(text) if s.kind in pii.BASE] == plain(text), text
+
+
+def test_checksums_and_context():
+    assert [s.kind for s in pii.spans("konto GB82 WEST 1234 5698 7654 32, or GB82WEST12345698765433")] == ["iban"]
+    assert [s.kind for s in pii.spans("my SSN is 123-45-6789")] == ["ssn"]
+    assert pii.spans("part 123-45-6789") == []
+    near, far = pii.spans("credit card 4111111111111111")[0], pii.spans("4111111111111111")[0]
+    assert near.score > far.score
+
+
+def test_long_runs_take_linear_time():
+    for run in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "1 " * 150_000):
+        pii.spans(run)
+
+
+def test_pii_on_odd_rows(odd, clashing, none, same):
+    got = pii.digest(pii.find(odd))
+    same(got, pii.digest(pii.find(clashing)))
+    assert got.count() == odd.count() and pii.digest(pii.find(none)).count() == 0
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert {(r.base_sha256, r.spans) for r in got.filter("doc_id = 2").collect()} == {(empty, "")}
+
+
+def test_redacted(spark):
+    df = spark.createDataFrame([(1, "é write to a.b@c.de or +1 (603) 555-8791.", 3), (2, None, 4)], "doc_id bigint, text string, spans int")
+    assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == ["é write to [EMAIL] or [PHONE].", None]
+
+
+# --- URLs --------------------------------------------------------------------
+
+
+def test_rules_by_rarest_token_equal_all_rules(spark):
+    made = [
+        "http://a.example.org/es/1", "https://example.org/en/17?x=/es/", "http://notexample.org/es/", "http://EXAMPLE.org/es/x", "http://example.org/ES/",
+        "http://x.com/fr/a", "http://x.com/de/a", "http://x.com/de", "http://x.com", "http://x.org", "no scheme", None, "", "http://casino-win.example.com/en/1",
+        "http://free-bets.example.com/de/", "http://example.com/casino", "http://org/", "http://x.com:80/fr/", "http://u@x.org/en/1#/es/", "a://b://c.org/x", "http://ads-track.net/",
+    ]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string").selectExpr("*", "1 as rule", "2 as host")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(got) == len(made)
+    every = urls.LISTED + urls.PATTERNS
+    for k, url in enumerate(made):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(str.maketrans(urls._UPPER, urls._LOWER)), m[2]) if m else ("", "")
+        fits = [r for r in every if re.search(r.pattern, host + path)]
+        named = sorted((r for r in fits if r.listed), key=lambda r: -len(r.name))
+        assert (got[k].host, got[k].path) == (host, path)
+        assert got[k].rule == (named[0].name if named else None)
+        assert got[k].verdict == (named[0].action if named else fits[0].action if fits else "allow")
+
+
+def test_index_uses_the_rarest_literal():
+    index = urls.Index(urls.LISTED, {"org": 1000, "example": 10, "es": 50, "en": 60, "com": 2000, "fr": 20, "de": 30})
+    assert set(index.by_token) == {"org", "example", "fr", "de"} and not index.always
+
+
+def test_rule_without_literal_runs_everywhere(spark):
+    df = spark.createDataFrame([(1, "http://x.net/zz")], "page_id bigint, url string")
+    rule = urls.Rule("zz", "block", r"z{2}", ())
+    assert urls.judge(df, (rule,)).first().verdict == "block"
+    assert urls.judge(df.limit(0)).count() == 0
