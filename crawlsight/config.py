@@ -19,9 +19,6 @@ DESCRIPTION_MIN, DESCRIPTION_MAX = 70, 160
 THIN_TEXT = 200
 SHELL_TEXT = 120
 
-# Rank filters up to this size are applied before the shuffle.
-MAX_INLINE = 1000
-
 
 @dataclass(frozen=True)
 class Scoring:
@@ -47,13 +44,6 @@ class AuditOptions:
     optimize: bool = False
     target_keywords: tuple[str, ...] = ()
     suggestion_pages: int = SUGGESTION_PAGES
-    # URLs of one duplicate-title group written inside the issue itself; the
-    # complete list of larger groups is in ``duplicate_title_members``.
-    inline_urls: int = 500
-
-    def __post_init__(self) -> None:
-        if self.inline_urls > MAX_INLINE:
-            raise ValueError(f"inline_urls is at most {MAX_INLINE}; use duplicate_title_members for all")
 
     def overlay(self, **changes) -> AuditOptions:
         """A copy with every change that is not None applied."""

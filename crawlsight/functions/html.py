@@ -42,7 +42,15 @@ _FACT_TAGS = rf"(?i)<(?:html|meta|link|img|picture|a)(?=[\s/>]){_ATTRS}>"
 _SOURCE_TAG = rf"(?i)<source(?=[\s/>]){_ATTRS}>"
 _ALL_TAGS = rf"<{_START}>"
 _SCRIPT_TAG = rf"(?i)^<script{_ATTRS}>"
-_HEADING = rf"(?i)<h[1-6](?=[\s/>]){_ATTRS}>(?s:.*?)(?=</?h[1-6][\s>]|</body|</html|\z)"
+_HEADING = rf"(?i)<h[1-6](?=[\s/>]){_ATTRS}>(?s:.*?)(?:</h[1-6]\s*+>|(?=<h[1-6][\s>]|</h[1-6]|</body|</html|\z))"
+# A heading without an end tag of its own ends where a block begins.
+_BLOCK_NAMES = (
+    "address|article|aside|blockquote|dl|div|fieldset|figure|footer|form|header|hr|main|nav|ol|p|pre|section|table|ul"
+)
+_OPEN_HEADING = rf"(?i)^(<h[1-6]{_ATTRS}>(?s:.*?))(?:<(?:{_BLOCK_NAMES})[\s/>]|\z)"
+_VOID_NAMES = "area|base|br|col|embed|hr|img|input|link|meta|param|picture|source|track|wbr"
+# Elements inside a picture: what they hold are no children of the picture.
+_INSIDE = rf"(?i)<(?!(?:{_VOID_NAMES})[\s/>]){_element('[A-Za-z][A-Za-z0-9-]*+')}"
 _TITLE = rf"(?i)<title(?=[\s/>]){_ATTRS}>((?s:.*?))(?:</title|\z)"
 _ATTR = r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
 _UNQUOTE = r"""(?s)^(["']?)(.*)\1$"""
@@ -88,7 +96,7 @@ def parsed_tags(tags: str) -> str:
     )
     return (
         f"transform({raw}, t -> named_struct('k', t.k, 'n', t.n,"
-        f" 'v', transform(t.v, v -> {decode_entities('v')})))"
+        f" 'v', transform(t.v, v -> {decode_entities('v', attribute=True)})))"
     )
 
 
@@ -110,9 +118,10 @@ def attr(tag: str, name: str) -> str:
 
 
 def picture_sources(dom_: str, tags_: str) -> str:
-    """srcset values of the sources inside picture elements, if the page has any."""
+    """srcset values of the sources that are children of picture elements, if the page has any."""
     blocks = f"regexp_extract_all({dom_}, {lit(_PICTURE)}, 0)"
-    tags = f"flatten(transform({blocks}, b -> regexp_extract_all(b, {lit(_SOURCE_TAG)}, 0)))"
+    own = f"regexp_replace(b, {lit(_INSIDE)}, '')"
+    tags = f"flatten(transform({blocks}, b -> regexp_extract_all({own}, {lit(_SOURCE_TAG)}, 0)))"
     sets = f"transform({parsed_tags(tags)}, t -> {attr('t', 'srcset')})"
     return f"if(exists({tags_}, t -> t.k = 'p'), {sets}, {NO_STRINGS})"
 
@@ -168,8 +177,9 @@ def title_text(dom_: str) -> str:
 
 def headings(dom_: str) -> str:
     """Structs of level and text for every non-blank heading, in document order."""
+    whole = f"if(f rlike '(?i)</h[1-6]\\\\s*+>$', f, regexp_extract(f, {lit(_OPEN_HEADING)}, 1))"
     texts = (
-        f"transform(regexp_extract_all({dom_}, {lit(_HEADING)}, 0),"
+        f"transform(transform(regexp_extract_all({dom_}, {lit(_HEADING)}, 0), f -> {whole}),"
         f" f -> named_struct('level', substr(f, 3, 1), 'text', {node_text('f')}))"
     )
     return f"filter({texts}, s -> s.text <> '')"

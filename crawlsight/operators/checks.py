@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from crawlsight import config as C
 from crawlsight.config import AuditOptions
@@ -134,47 +133,46 @@ def titled_pages(facts: DataFrame) -> DataFrame:
 
 
 def duplicate_title_groups(facts: DataFrame) -> DataFrame:
-    """Titles on more than one page of an audit: how many pages, and the first position."""
+    """Titles on more than one page of an audit: how many pages, and the first one."""
     return (
         titled_pages(facts)
         .groupBy(*AUDIT, "title_key")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("page_ord").alias("page_ord"),
-        )
+        .agg(F.count("*").alias("n"), F.min(F.struct("page_ord", "final_url")).alias("first"))
         .filter("n > 1")
+        .selectExpr(*AUDIT, "title_key", "n", "first.page_ord as page_ord", "first.final_url as first_url")
     )
 
 
 def duplicate_title_members(facts: DataFrame) -> DataFrame:
-    """Every page of every duplicate title: the complete form of the issue's URL list."""
+    """Every page of every duplicate title."""
     groups = duplicate_title_groups(facts).select(*AUDIT, "title_key", "n")
     return titled_pages(facts).join(groups, [*AUDIT, "title_key"])
 
 
-def _duplicate_titles(ctx: Context) -> DataFrame:
-    """One issue per group; its URL list is inlined up to ``inline_urls``.
+def issue_urls(facts: DataFrame) -> DataFrame:
+    """The URL lists of all ``duplicate_title`` issues, one row per URL.
 
-    The rank limit is applied before the shuffle, so a title shared by a third
-    of all pages never meets in one task.
+    ``issue_page_ord`` is the place of the issue, ``page_ord`` that of the URL. A list is
+    as long as the site has such pages, so it is a table and never one value.
     """
-    order = W.partitionBy(*AUDIT, "title_key").orderBy("page_ord")
-    listed = (
-        titled_pages(ctx.facts)
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= ctx.options.inline_urls)
-        .groupBy(*AUDIT, "title_key")
-        .agg(F.expr("transform(array_sort(collect_list(struct(page_ord, final_url))), x -> x.final_url) as urls"))
+    groups = duplicate_title_groups(facts).selectExpr(*AUDIT, "title_key", "page_ord as issue_page_ord")
+    return (
+        titled_pages(facts)
+        .join(groups, [*AUDIT, "title_key"])
+        .selectExpr(*AUDIT, "title_key", "issue_page_ord", "page_ord", "final_url as url")
     )
-    rows = duplicate_title_groups(ctx.facts).join(listed, [*AUDIT, "title_key"])
-    return rows.selectExpr(
+
+
+def _duplicate_titles(ctx: Context) -> DataFrame:
+    """One issue per group with title and page count; ``issue_urls`` lists its pages."""
+    return duplicate_title_groups(ctx.facts).selectExpr(
         *AUDIT,
         "page_ord",
         "'duplicate_title' as code",
         "'warning' as severity",
         "concat('Duplicate title found on ', n, ' pages') as message",
-        "urls[0] as url",
-        "to_json(named_struct('title', title_key, 'urls', urls)) as details",
+        "first_url as url",
+        "to_json(named_struct('title', title_key, 'pages', n)) as details",
     )
 
 
@@ -563,6 +561,8 @@ def run_checks(
                 if check.site_issues
                 else []
             )
+            if not _trusted(check):
+                metric_aggregates(ctx, check)
             if isolate:
                 for part in alone + site:
                     part.write.format("noop").mode("overwrite").save()
@@ -573,12 +573,36 @@ def run_checks(
         parts += site
     if fused:
         parts.insert(0, _page_issue_rows(ctx.facts, fused))
+    if not parts:  # checks of metrics only
+        parts.append(_page_issue_rows(ctx.facts, [(0, "", PageRule("", "info", "false", "''"))]))
     issues = parts[0]
     for part in parts[1:]:
         issues = issues.unionByName(part)
     return issues
 
 
+def metric_aggregates(ctx: Context, check: Check) -> dict[str, str]:
+    """The metrics of a check; a fault in any of them is raised here, before they are fused."""
+    metrics = check.metrics(ctx.options)
+    if metrics and not _trusted(check):
+        ctx.facts.groupBy(*AUDIT).agg(*(F.expr(sql) for sql in metrics.values()))
+    return metrics
+
+
+def sound_metrics(ctx: Context, registry: CheckRegistry) -> dict[str, dict[str, str]]:
+    """Metrics by check; a faulty check has none, its ``analyzer_error`` issue tells why."""
+    found = {}
+    for check in registry.checks:
+        try:
+            found[check.name] = metric_aggregates(ctx, check)
+        except Exception:  # the fault is a row of run_checks
+            found[check.name] = {}
+    return found
+
+
 def _trusted(check: Check) -> bool:
     """Built-in rules need no trial analysis before they are fused."""
-    return getattr(check.page_rules, "__module__", "") == __name__
+    return check in _BUILT_IN
+
+
+_BUILT_IN = default_checks()

@@ -17,9 +17,7 @@ from crawlsight.session import stage
 from crawlsight.sources.fetches import BROKEN
 
 SITE = ("audit_id", "seed_url")
-# The engine limits groups before the shuffle up to this rank by itself.
-_GROUP_LIMIT = 1000
-_SALTS = 64
+# Pages whose links one task numbers.
 _CHUNK = 4096
 
 
@@ -30,59 +28,63 @@ def link_edges(fetches: DataFrame) -> DataFrame:
     second time in front of the page parsing.
     """
     return (
-        page_links(fetches.filter(X.filled("html")))
-        .selectExpr("url as src", "posexplode_outer(links) as (pos, dst)")
+        page_links(fetches.filter(f"depth >= 0 and {X.filled('html')}"))
+        .selectExpr("audit_id", "page_ord as src_ord", "url as src", "posexplode_outer(links) as (pos, dst)")
         .filter("dst is not null")
     )
 
 
-def _first(df: DataFrame, k: int, order: str) -> DataFrame:
-    """The first ``k`` rows of each site with their rank.
+def _numbered(df: DataFrame, order: str, lead: str, k: int) -> DataFrame:
+    """The first ``k`` rows of each site with their rank in ``order``.
 
-    Large budgets rank salted parts of a site first, so one site never meets
-    whole in one task.
+    ``lead`` is the page number that the order begins with. Rows are numbered by chunks
+    of pages: within a chunk, and by the sizes of the chunks before. No task ever holds
+    all rows of a site, whatever ``k`` is.
     """
-    if k > _GROUP_LIMIT:
-        salted = W.partitionBy(*SITE, F.expr(f"pmod(xxhash64({order}), {_SALTS})")).orderBy(order)
-        df = df.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= k).drop("rank")
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*SITE).orderBy(order)))
-    return ranked.filter(F.col("rank") <= k)
-
-
-def _queue_order(level: DataFrame, budget: int) -> DataFrame:
-    """Rows of a level with their place in the queue of their site.
-
-    A small budget keeps only the first rows. Otherwise the level is numbered by
-    chunks of parent pages: within a chunk, and by the sizes of the chunks before.
-    No task ever holds the whole level of a site.
-    """
-    if budget <= _GROUP_LIMIT:
-        return _first(level, budget, "ord")
-    level = level.withColumn("chunk", F.expr(f"ord.parent_ord div {_CHUNK}"))
+    df = df.withColumn("chunk", F.expr(f"{lead} div {_CHUNK}"))
     earlier = W.partitionBy(*SITE).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sizes = (
-        level.groupBy(*SITE, "chunk")
+        df.groupBy(*SITE, "chunk")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .filter(F.col("before") < k)
         .drop("n")
     )
-    within = F.row_number().over(W.partitionBy(*SITE, "chunk").orderBy("ord"))
+    within = F.row_number().over(W.partitionBy(*SITE, "chunk").orderBy(order))
     return (
-        level.withColumn("rn", within)
+        df.withColumn("rn", within)
         .join(sizes, [*SITE, "chunk"])
         .withColumn("rank", F.expr("rn + before"))
         .drop("rn", "before", "chunk")
+        .filter(F.col("rank") <= k)
     )
 
 
+def _page_keys(shared: bool) -> list[str]:
+    return ["url"] if shared else ["audit_id", "url"]
+
+
+def _chosen(fetches: DataFrame, shared: bool) -> DataFrame:
+    """The record of each page that a crawl sees: ``from_audit`` and ``from_ord`` by page key.
+
+    Of several the last one counts, by audit and place.
+    """
+    last = fetches.filter("depth >= 0").groupBy(*_page_keys(shared)).agg(F.max(F.struct("audit_id", "page_ord")).alias("c"))
+    return last.select(*_page_keys(shared), F.col("c.audit_id").alias("from_audit"), F.col("c.page_ord").alias("from_ord"))
+
+
 def frontier(
     seeds: DataFrame,
     fetches: DataFrame,
     options: AuditOptions | None = None,
     host_rules: DataFrame | None = None,
+    shared: bool = False,
 ) -> DataFrame:
     """Breadth-first crawl of every site over a table of fetched pages.
 
+    Each audit sees its own pages. With ``shared`` the pages of all audits are one pool,
+    where a URL stands for its last record.
+
     Returns the records in crawl order: site, url, depth, page_ord, whether robots
     rules allow it and whether the page is in ``fetches``; pages allowed but not
     fetched are the worklist of the fetcher. A page is queued at its first sight,
@@ -93,14 +95,17 @@ def frontier(
     the link on it; a page linked several times keeps the first.
     """
     options = options or AuditOptions()
-    edges = stage(link_edges(fetches), "edges")
-    known = stage(fetches.filter("depth >= 0").selectExpr("url", "true as fetched"), "known").dropDuplicates(["url"])
+    known = stage(_chosen(fetches, shared), "known")
+    of_chosen = F.expr("src_audit = from_audit and src = url and src_ord = from_ord")
+    mine = known.select("url", "from_audit", "from_ord")
+    edges = stage(link_edges(fetches).withColumnRenamed("audit_id", "src_audit").join(mine, of_chosen, "left_semi"), "edges")
+    linked = F.expr("url = src" if shared else "url = src and audit_id = src_audit")
     level = seeds.selectExpr(
         "audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "struct(0L as parent_ord, 0 as pos) as ord"
     )
     seen = records = None
     for depth in range(options.max_depth + 1):
-        ranked = _queue_order(level, options.max_pages)
+        ranked = _numbered(level, "ord", "ord.parent_ord", options.max_pages)
         if records is not None:
             used = records.groupBy(*SITE).agg(F.count("*").alias("used"))
             ranked = ranked.join(used, [*SITE], "left")
@@ -119,7 +124,7 @@ def frontier(
             break
         found = (
             done.filter("allowed")
-            .join(edges, F.col("url") == F.col("src"))
+            .join(edges, linked)
             .selectExpr(*SITE, "dst as url", "struct(page_ord as parent_ord, pos) as ord")
         )
         if options.same_host_only:
@@ -130,18 +135,24 @@ def frontier(
             found.groupBy(*SITE, "url").agg(F.min("ord").alias("ord")).join(seen, [*SITE, "url"], "left_anti"),
             f"queue-{depth + 1}",
         )
-    return records.join(known, "url", "left").selectExpr(
-        *SITE, "url", "depth", "page_ord", "allowed", "coalesce(fetched, false) as fetched"
+    return records.join(known, _page_keys(shared), "left").selectExpr(
+        *SITE, "url", "depth", "page_ord", "allowed", "from_ord is not null as fetched"
     )
 
 
-def crawl_records(frontier_rows: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Fetch records of a crawl: blocked pages get their synthetic record."""
-    body = fetches.select(
-        "url", "final_url", "status_code", "html", "content_length", "redirect_chain", "error",
-        "elapsed_ms", "js_rendered",
+def crawl_records(frontier_rows: DataFrame, fetches: DataFrame, shared: bool = False) -> DataFrame:
+    """Fetch records of a crawl, one per frontier row: blocked pages get their synthetic record.
+
+    ``shared`` as in ``frontier``.
+    """
+    body = fetches.filter("depth >= 0").selectExpr(
+        "audit_id as from_audit", "page_ord as from_ord", "url as from_url", "final_url", "status_code", "html",
+        "content_length", "redirect_chain", "error", "elapsed_ms", "js_rendered",
+    )
+    rows = frontier_rows.filter("fetched or not allowed").join(_chosen(fetches, shared), _page_keys(shared), "left")
+    rows = rows.join(
+        body.withColumnsRenamed({"from_audit": "a", "from_ord": "o"}), F.expr("from_audit = a and from_ord = o and url = from_url"), "left"
     )
-    rows = frontier_rows.filter("fetched or not allowed").join(body, "url", "left")
 
     def unless_blocked(column: str, blocked: str) -> str:
         return f"if(allowed, {column}, {blocked}) as {column}"
@@ -205,7 +216,7 @@ def external_worklist(records: DataFrame, cap: int | None = None) -> DataFrame:
         .filter(f"not {U.same_host('seed_url', 'url')}")
     )
     first = links.groupBy(*SITE, "url").agg(F.min(F.struct("page_ord", "pos")).alias("first_ord"))
-    return _first(first, cap, "first_ord").selectExpr(*SITE, "url", "rank")
+    return _numbered(first, "first_ord", "first_ord.page_ord", cap).selectExpr(*SITE, "url", "rank")
 
 
 def broken_probes(worklist: DataFrame, probes: DataFrame) -> DataFrame:

@@ -147,26 +147,34 @@ def _values(df: DataFrame) -> DataFrame:
     )
 
 
-def _unique_images() -> str:
-    """Images whose address was not seen earlier on the page."""
-    firsts = (
-        "map_from_entries(transform(array_distinct(transform(all_images, i -> i.src)),"
-        " s -> named_struct('s', s, 'p', array_position(transform(all_images, i -> i.src), s))))"
+def _unique_images(df: DataFrame) -> DataFrame:
+    """``images``: those whose address was not seen earlier on the page.
+
+    Sorted by address and place, the first of each address follows another one; sorted
+    by place again, the page's order is back. Both arrays are columns of their own.
+    """
+    entries = "transform(all_images, (i, n) -> named_struct('src', i.src, 'n', n, 'alt', i.alt))"
+    first = "filter(by_address, (e, k) -> k = 0 or e.src <> get(by_address, k - 1).src)"
+    placed = f"array_sort(transform({first}, e -> named_struct('n', e.n, 'src', e.src, 'alt', e.alt)))"
+    return df.selectExpr("* except (all_images)", f"array_sort({entries}) as by_address").selectExpr(
+        "* except (by_address)",
+        f"coalesce(transform({placed}, e -> named_struct('src', e.src, 'alt', e.alt)), {NO_IMAGES}) as images",
     )
-    kept = f"filter(all_images, (i, n) -> try_element_at({firsts}, i.src) = n + 1)"
-    return f"coalesce(case when size(all_images) < 2 then all_images else {kept} end, {NO_IMAGES})"
 
 
 def _decisions(df: DataFrame) -> DataFrame:
     internal = f"{U.normal_host('u')} = seed_host"
+    # The page source ends here: rows that wait for the Python stage don't carry it.
+    df = _unique_images(df).selectExpr(
+        "* except (dom)", f"if(live and word_count between 40 and 79, {H.has_app_root('dom')}, false) as app_root"
+    )
     df = df.withColumn("ld", F.when(F.size("json_ld") > 0, json_ld_types(F.col("json_ld"))))
     df = df.selectExpr(
-        "* except (links, all_images, json_ld, ld, canonical_href, base)",
+        "* except (links, json_ld, ld, canonical_href, base)",
         *_named(
             {
                 "inside": f"filter(links, u -> {internal})",
                 "outside": f"filter(links, u -> not {internal})",
-                "images": _unique_images(),
                 "canonical": f"coalesce({U.resolve_url('base', 'canonical_href')}, canonical_href)",
                 "title": "coalesce(title_text, og_title, twitter_title)",
                 "title_source": "case when title_text is not null then 'title'"
@@ -191,10 +199,9 @@ def _decisions(df: DataFrame) -> DataFrame:
         "size(images) as image_count",
     )
     return df.selectExpr(
-        "* except (dom)",
+        "* except (app_root)",
         "case when not live or size(h1) + size(images) + size(internal_links) > 0 then false"
-        f" when word_count < 40 then true when word_count < 80 then {H.has_app_root('dom')}"
-        " else false end as likely_js_shell",
+        " when word_count < 40 then true else app_root end as likely_js_shell",
     )
 
 

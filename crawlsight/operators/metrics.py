@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlsight.functions import text as X
@@ -14,12 +13,12 @@ from crawlsight.operators.checks import (
     CheckRegistry,
     Context,
     duplicate_title_groups,
+    sound_metrics,
 )
 from crawlsight.operators.facts import missing_alts
 from crawlsight.sources.fetches import broken_probe_fetches
 
 _SEP = "__"
-INLINE_TYPES = 500
 
 
 def schema_types(facts: DataFrame) -> DataFrame:
@@ -40,9 +39,9 @@ def wide_metrics(ctx: Context, registry: CheckRegistry | None = None) -> DataFra
     """
     registry = registry or CheckRegistry()
     aggregates = [
-        F.expr(sql).alias(f"{check.name}{_SEP}{metric}")
-        for check in registry.checks
-        for metric, sql in check.metrics(ctx.options).items()
+        F.expr(sql).alias(f"{name}{_SEP}{metric}")
+        for name, metrics in sound_metrics(ctx, registry).items()
+        for metric, sql in metrics.items()
     ]
     wide = ctx.facts.groupBy(*AUDIT).agg(F.count("*").alias("pages"), *aggregates)
     names = registry.names()
@@ -84,26 +83,15 @@ def check_metrics(ctx: Context, registry: CheckRegistry | None = None) -> DataFr
 def metrics_by_check(ctx: Context, registry: CheckRegistry | None = None) -> DataFrame:
     """One JSON object per audit and check; checks without metrics have no row.
 
-    The object lists the most frequent types; ``schema_types`` has all of them.
+    How many pages have each type is the table ``schema_types``, as long as a site has types.
     """
     wide = wide_metrics(ctx, registry)
-    order = W.partitionBy(*AUDIT).orderBy(F.desc("pages"), "schema_type")
-    types = (
-        schema_types(ctx.facts)
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= INLINE_TYPES)
-        .groupBy(*AUDIT)
-        .agg(F.expr("map_from_entries(array_sort(collect_list(struct(schema_type, pages)))) as types"))
-    )
-    wide = wide.join(types, [*AUDIT], "left")
     by_check: dict[str, list[str]] = {}
     for c in _metric_columns(wide):
         by_check.setdefault(c.split(_SEP, 1)[0], []).append(c)
     cells = []
     for name, columns in by_check.items():
         fields = [f"'{c.split(_SEP, 1)[1]}', {c}" for c in columns]
-        if name == "schema":
-            fields.append("'schema_types', coalesce(types, cast(map() as map<string,bigint>))")
         if name == "sitemap":
             fields = ["'sitemap_observed', cast(sitemap__sitemap_observed as boolean)"]
         cells.append(

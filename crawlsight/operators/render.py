@@ -11,12 +11,12 @@ from crawlsight.functions.sql import NO_STRINGS
 from crawlsight.session import stage
 
 
-def render_flags(fetches: DataFrame, keep_html: bool = False) -> DataFrame:
+def render_flags(fetches: DataFrame) -> DataFrame:
     """Adds ``thin``, ``spa_shell`` and ``needs_render``.
 
     Counts raw tags, unlike the shell flag of the page facts.
     """
-    names = [c for c in fetches.columns if keep_html or c != "html"]
+    names = [c for c in fetches.columns if c != "html"]
     staged = (
         fetches.selectExpr(*names, f"{H.source_text('html')} as src")
         .selectExpr(*names, "src", f"{H.dom('src')} as dom")
@@ -24,7 +24,6 @@ def render_flags(fetches: DataFrame, keep_html: bool = False) -> DataFrame:
             *names,
             "dom",
             f"coalesce(length({H.text_without_noscript('dom')}), 0) as text_len",
-            f"coalesce(size({H.headings('dom')}), 0) as n_headings",
             f"{H.level(H.headings('dom'), 1)} as h1",
             f"coalesce({H.fact_tags('dom')}, cast(array() as array<struct<k:string,n:array<string>,v:array<string>>>)) as tags",
         )
@@ -63,20 +62,18 @@ def render_worklist(fetches: DataFrame) -> DataFrame:
 def with_rendered(fetches: DataFrame, rendered: DataFrame) -> DataFrame:
     """Fetches with the HTML that a renderer returned for ``(audit_id, url)``; blank results are ignored.
 
-    Only pages of the worklist can have been rendered. The others pass by without a
-    join, so the bulk of the page sources is not shuffled.
+    Only pages of the worklist can have been rendered. Their keys are staged, so each page
+    is parsed once; the page sources themselves meet the few rendered pages by key.
     """
-    got = rendered.filter(X.filled("html")).selectExpr("audit_id", "url", "html as rendered_html")
-    names = fetches.columns
+    got = (
+        rendered.filter(X.filled("html"))
+        .join(render_worklist(fetches).select("audit_id", "url").distinct(), ["audit_id", "url"], "left_semi")
+        .selectExpr("audit_id", "url", "html as rendered_html")
+    )
     replaced = {
         "html": "coalesce(rendered_html, html)",
         "js_rendered": "js_rendered or rendered_html is not null",
         "content_length": "if(rendered_html is null, content_length, cast(octet_length(rendered_html) as bigint))",
     }
-    flagged = render_flags(fetches, keep_html=True)
-    thin = flagged.filter("needs_render").join(got, ["audit_id", "url"], "left")
-    return (
-        flagged.filter("not needs_render")
-        .select(*names)
-        .unionByName(thin.selectExpr(*[f"{replaced.get(c, c)} as {c}" for c in names]))
-    )
+    rows = fetches.join(got, ["audit_id", "url"], "left")
+    return rows.selectExpr(*[f"{replaced.get(c, c)} as {c}" for c in fetches.columns])

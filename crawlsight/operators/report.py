@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from crawlsight.functions import text as X
 from crawlsight.functions.sql import lit, strings
-from crawlsight.operators.checks import AUDIT
-from crawlsight.operators.metrics import page_overview
+from crawlsight.operators.checks import AUDIT, issue_urls
+from crawlsight.operators.metrics import page_overview, schema_types
 from crawlsight.operators.score import severity_counts
 from crawlsight.sources.store import iso
 
-ISSUE_ORD = "struct(analyzer_ord, phase, page_ord, item_ord)"
+ISSUE_ORD = "struct(analyzer_ord, phase, page_ord, cast(item_ord as bigint) as item_ord)"
 # Report limits and formats.
 TOP_CODES = 5
 FIRST_ISSUES = 40
@@ -118,13 +118,27 @@ def report_metadata(summary: DataFrame) -> DataFrame:
     )
 
 
-def _fixed(df: DataFrame, section: int, lines: list[str]) -> DataFrame:
-    """Lines given as SQL text, in order; NULL lines are left out."""
-    cells = ", ".join(f"named_struct('n', {n}, 'line', {sql})" for n, sql in enumerate(lines))
+_PLACE = "struct(0 as analyzer_ord, 0 as phase, {} as page_ord, cast({} as bigint) as item_ord)"
+
+
+def _fixed(df: DataFrame, sections: dict[int, list[str]], arrays: dict[int, str] | None = None) -> DataFrame:
+    """Lines of all given sections in one pass over ``df``.
+
+    ``sections`` holds lines as SQL text, in order, NULL ones are left out; ``arrays``
+    holds sections whose lines are one SQL array.
+    """
+    cells = "array(" + ", ".join(
+        f"named_struct('section_ord', {section}, 'n', {n}, 'line', {sql})"
+        for section, lines in sections.items()
+        for n, sql in enumerate(lines)
+    ) + ")"
+    for section, sql in (arrays or {}).items():
+        more = f"transform({sql}, (x, i) -> named_struct('section_ord', {section}, 'n', i, 'line', x))"
+        cells = f"concat({cells}, {more})"
     return (
-        df.selectExpr("audit_id", f"inline(array({cells}))")
+        df.selectExpr("audit_id", f"inline({cells})")
         .filter("line is not null")
-        .selectExpr("audit_id", f"{section} as section_ord", "struct(0, 0, 0L, n) as item_ord", "line")
+        .selectExpr("audit_id", "section_ord", f"{_PLACE.format('0L', 'n')} as item_ord", "line")
     )
 
 
@@ -135,60 +149,54 @@ def bullet(code: str = "code", message: str = "message", url: str = "url") -> st
     )
 
 
-def _summary_lines(summary: DataFrame) -> DataFrame:
-    score = f"concat('**Overall SEO Score:** ', {X.fixed1('overall_seo_score')}, '/100')"
-    head = _fixed(
-        summary,
-        0,
-        [
-            "'# SEO Audit Report'",
-            "''",
-            "concat('**URL:** ', seed_url)",
-            "concat('**Audit ID:** ', audit_id)",
-            score,
-            "concat('**Pages analyzed:** ', pages_analyzed)",
-            f"concat('**Created:** ', {iso('created_at')})",
-            "''",
-            "'## Summary'",
-            "''",
-            f"concat('- Overall SEO Score: **', {X.fixed1('overall_seo_score')}, '/100**')",
-            "concat('- Pages analyzed: ', pages_analyzed)",
-            "concat('- Critical issues: ', critical_count)",
-            "concat('- Warnings: ', warning_count)",
-            "concat('- Suggestions: ', suggestion_count)",
-            "if(size(top_issue_codes) > 0, concat('- Top issue codes: ', array_join(top_issue_codes, ', ')), null)",
-        ],
-    )
-    notes = summary.selectExpr("audit_id", "posexplode(notes) as (n, note)").selectExpr(
-        "audit_id", "1 as section_ord", "struct(0, 0, 0L, n) as item_ord", "concat('- Note: ', note) as line"
-    )
-    return head.union(notes)
+# The wording of report lines below is what readers and comparisons expect.
+
+
+def _frame(summary: DataFrame) -> DataFrame:
+    """Every line that depends on the summary of an audit alone."""
+    overall = X.fixed1("overall_seo_score")
+    head = [
+        "'# SEO Audit Report'",
+        "''",
+        "concat('**URL:** ', seed_url)",
+        "concat('**Audit ID:** ', audit_id)",
+        f"concat('**Overall SEO Score:** ', {overall}, '/100')",
+        "concat('**Pages analyzed:** ', pages_analyzed)",
+        f"concat('**Created:** ', {iso('created_at')})",
+        "''",
+        "'## Summary'",
+        "''",
+        f"concat('- Overall SEO Score: **', {overall}, '/100**')",
+        "concat('- Pages analyzed: ', pages_analyzed)",
+        "concat('- Critical issues: ', critical_count)",
+        "concat('- Warnings: ', warning_count)",
+        "concat('- Suggestions: ', suggestion_count)",
+        "if(size(top_issue_codes) > 0, concat('- Top issue codes: ', array_join(top_issue_codes, ', ')), null)",
+    ]
+    counts = ("critical_count", "warning_count", "suggestion_count")
+    headings = {
+        2 + 2 * n: ["''", f"'## {name}'", "''", f"if({count} = 0, '- None', null)"]
+        for n, ((_, name), count) in enumerate(zip(SECTIONS, counts))
+    }
+    paged = "if(pages_analyzed > 0, {}, null)"
+    overview = {11: [paged.format("'## Page Overview'"), paged.format("''")], 13: [paged.format("''")]}
+    closing = {15: ["'## Overall SEO Score'", "''", f"concat('**', {overall}, ' / 100**')", "''"]}
+    notes = {1: "transform(notes, note -> concat('- Note: ', note))"}
+    return _fixed(summary, {0: head, **headings, **overview, **closing}, notes)
 
 
-def _issue_lines(summary: DataFrame, issues: DataFrame) -> DataFrame:
-    """Headings and bullets of the three severities; one pass over the issues."""
+def _issue_lines(issues: DataFrame) -> DataFrame:
+    """Bullets of the three severities; one pass over the issues."""
     section = "case severity when 'critical' then 3 when 'warning' then 5 else 7 end"
-    lines = issues.selectExpr(
+    return issues.selectExpr(
         "audit_id", f"{section} as section_ord", f"{ISSUE_ORD} as item_ord", f"{bullet()} as line"
     )
-    counts = ("critical_count", "warning_count", "suggestion_count")
-    for n, ((_, name), count) in enumerate(zip(SECTIONS, counts)):
-        lines = lines.union(
-            _fixed(
-                summary,
-                2 + 2 * n,
-                ["''", f"'## {name}'", "''", f"if({count} = 0, '- None', null)"],
-            )
-        )
-    return lines
 
 
 def _diff_lines(diffs: DataFrame) -> DataFrame:
     rows = diffs.withColumnRenamed("current_audit_id", "audit_id")
-    return _fixed(
-        rows,
-        8,
-        [
+    return _fixed(rows, {
+        8: [
             "''",
             "'## Change Report'",
             "''",
@@ -198,8 +206,8 @@ def _diff_lines(diffs: DataFrame) -> DataFrame:
             "concat('- Resolved issues: ', resolved_issues)",
             "concat('- ', summary)",
             "''",
-        ],
-    )
+        ]
+    })
 
 
 def _suggestion_lines(suggestions: DataFrame) -> DataFrame:
@@ -237,14 +245,14 @@ def _suggestion_lines(suggestions: DataFrame) -> DataFrame:
     ]
     body = suggestions.selectExpr(
         "audit_id", "page_ord", f"posexplode(concat({', '.join(parts)})) as (n, line)"
-    ).selectExpr("audit_id", "10 as section_ord", "struct(0, 0, page_ord, n) as item_ord", "line")
+    ).selectExpr("audit_id", "10 as section_ord", f"{_PLACE.format('page_ord', 'n')} as item_ord", "line")
     title = _fixed(
-        suggestions.select("audit_id").distinct(), 9, ["''", "'## AI Optimization Suggestions'", "''"]
+        suggestions.select("audit_id").distinct(), {9: ["''", "'## AI Optimization Suggestions'", "''"]}
     )
     return title.union(body)
 
 
-def _page_lines(summary: DataFrame, facts: DataFrame) -> DataFrame:
+def _page_lines(facts: DataFrame) -> DataFrame:
     figures = ", ', ', ".join(
         f"'{label}=', {c}"
         for label, c in (
@@ -262,20 +270,16 @@ def _page_lines(summary: DataFrame, facts: DataFrame) -> DataFrame:
     )
     status = "if(is_broken, 'broken', coalesce(cast(status_code as string), 'None'))"
     first = f"concat('- `', url, '` — ', coalesce(nullif(title, ''), '(no title)'), ' [', {status}, ']')"
-    body = (
+    return (
         page_overview(facts)
         .selectExpr("audit_id", "page_ord", f"posexplode(array({first}, concat('  - ', {figures}))) as (n, line)")
-        .selectExpr("audit_id", "12 as section_ord", "struct(0, 0, page_ord, n) as item_ord", "line")
+        .selectExpr("audit_id", "12 as section_ord", f"{_PLACE.format('page_ord', 'n')} as item_ord", "line")
     )
-    some = summary.filter("pages_analyzed > 0")
-    return body.union(_fixed(some, 11, ["'## Page Overview'", "''"])).union(_fixed(some, 13, ["''"]))
 
 
 def _metric_lines(totals: DataFrame) -> DataFrame:
-    return _fixed(
-        totals,
-        14,
-        [
+    return _fixed(totals, {
+        14: [
             "'## Structured SEO Metrics'",
             "''",
             "concat('- Live pages: ', pages_live, ' / ', pages_total)",
@@ -291,16 +295,8 @@ def _metric_lines(totals: DataFrame) -> DataFrame:
             " total_internal_link_occurrences)",
             "concat('- Word count (all pages): ', total_word_count)",
             "concat('- JS shell pages / JS-rendered pages: ', js_shell_pages, ' / ', js_rendered_pages)",
-        ],
-    )
-
-
-def _closing_lines(summary: DataFrame) -> DataFrame:
-    return _fixed(
-        summary,
-        15,
-        ["'## Overall SEO Score'", "''", f"concat('**', {X.fixed1('overall_seo_score')}, ' / 100**')", "''"],
-    )
+        ]
+    })
 
 
 def report_lines(
@@ -312,29 +308,28 @@ def report_lines(
     totals: DataFrame | None = None,
 ) -> DataFrame:
     """Markdown report of every audit. Give ``totals`` to insert the metrics section."""
-    parts = [_summary_lines(summary), _issue_lines(summary, issues), _page_lines(summary, facts)]
+    parts = [_frame(summary), _issue_lines(issues), _page_lines(facts)]
     if diffs is not None:
         parts.append(_diff_lines(diffs))
     if suggestions is not None:
         parts.append(_suggestion_lines(suggestions))
     if totals is not None:
         parts.append(_metric_lines(totals))
-    parts.append(_closing_lines(summary))
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.union(part)
     return lines
 
 
-def _json_items(rows: DataFrame, section: int, order: str, value: str) -> DataFrame:
-    """One array element per line; all but the first of an audit start with a comma."""
-    rows = rows.selectExpr("audit_id", f"{order} as item_ord", f"{value} as v")
-    first = rows.groupBy("audit_id").agg(F.min("item_ord").alias("first_ord"))
-    return rows.join(first, "audit_id").selectExpr(
-        "audit_id",
-        f"{section} as section_ord",
-        "item_ord",
-        "concat(if(item_ord = first_ord, '', ','), v) as line",
+def _json_items(rows: DataFrame, section: str, order: str, value: str) -> DataFrame:
+    """One array element per line; all but the first of an audit's section start with a comma.
+
+    The first place of each section is one aggregation over the same rows.
+    """
+    rows = rows.selectExpr("audit_id", f"{section} as section_ord", f"{order} as item_ord", f"{value} as v")
+    first = rows.groupBy("audit_id", "section_ord").agg(F.min("item_ord").alias("first_ord"))
+    return rows.join(first, ["audit_id", "section_ord"]).selectExpr(
+        "audit_id", "section_ord", "item_ord", "concat(if(item_ord = first_ord, '', ','), v) as line"
     )
 
 
@@ -345,45 +340,59 @@ _ISSUE_JSON = (
 )
 
 
-def _optimization(statuses: DataFrame, suggestions: DataFrame | None) -> DataFrame:
-    """Suggestion outcome of each audit as JSON; a site has a handful of suggested pages."""
-    if suggestions is None:
-        return statuses.selectExpr("audit_id", f"to_json(struct(status, message), {_KEEP}) as opt_json")
-    order = W.partitionBy("audit_id").orderBy("page_ord")
-    pages = (
-        suggestions.withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= 500)
-        .selectExpr(
-            "audit_id",
-            "rn",
-            "named_struct('url', url, 'improved_title', improved_title, 'improved_meta_description',"
-            " improved_meta_description, 'improved_h1', improved_h1, 'heading_suggestions', heading_suggestions,"
-            " 'keyword_suggestions', keyword_suggestions, 'faq_suggestions', faq_suggestions, 'schema_suggestion',"
-            " parse_json(schema_suggestion), 'internal_link_suggestions', internal_link_suggestions,"
-            " 'notes', notes) as page",
-        )
-        .selectExpr("audit_id", "rn", f"to_json(page, {_KEEP}) as page")
-        .groupBy("audit_id")
-        .agg(F.expr("array_join(transform(array_sort(collect_list(struct(rn, page))), x -> x.page), ',') as pages"))
+_LAST = 9223372036854775807
+
+
+def _json_issues(issues: DataFrame, facts: DataFrame, section: str) -> DataFrame:
+    """Issues as array elements. The list of a duplicate title follows its opening line, a line per URL."""
+    opened = f"if(code = 'duplicate_title', concat(left({_ISSUE_JSON}, length({_ISSUE_JSON}) - 2), ',\"urls\":['), {_ISSUE_JSON})"
+    lines = _json_items(issues, section, ISSUE_ORD, opened)
+    groups = issues.filter("code = 'duplicate_title'").selectExpr(
+        *AUDIT, "page_ord as issue_page_ord", "analyzer_ord", "phase", f"{section} as section_ord"
     )
-    return statuses.select("audit_id", "status", "message").join(pages, "audit_id", "left").selectExpr(
+    place = "struct(analyzer_ord, phase, issue_page_ord as page_ord, {} as item_ord)"
+    urls = issue_urls(facts).join(groups, [*AUDIT, "issue_page_ord"])
+    text = "to_json(array(url))"
+    listed = urls.selectExpr(
         "audit_id",
-        f"concat(rtrim('}}', to_json(struct(status, message), {_KEEP})), ',\"pages\":[', coalesce(pages, ''), ']}}') as opt_json",
+        "section_ord",
+        f"{place.format('page_ord + 2')} as item_ord",
+        f"concat(if(page_ord = issue_page_ord, '', ','), substr({text}, 2, length({text}) - 2)) as line",
     )
+    closed = groups.selectExpr("audit_id", "section_ord", f"{place.format(f'{_LAST}L')} as item_ord", "']}}' as line")
+    return lines.unionByName(listed).unionByName(closed)
+
+
+_PAGE_JSON = (
+    "to_json(named_struct('url', url, 'improved_title', improved_title, 'improved_meta_description',"
+    " improved_meta_description, 'improved_h1', improved_h1, 'heading_suggestions', heading_suggestions,"
+    " 'keyword_suggestions', keyword_suggestions, 'faq_suggestions', faq_suggestions, 'schema_suggestion',"
+    " parse_json(schema_suggestion), 'internal_link_suggestions', internal_link_suggestions,"
+    f" 'notes', notes), {_KEEP})"
+)
 
 
 def full_audit_lines(audits: DataFrame, issues: DataFrame, facts: DataFrame, checks: DataFrame) -> DataFrame:
-    """The whole audit as JSON text in lines: its row, pages, issues and metrics per check."""
+    """The whole audit as JSON text in lines: its row, pages, issues, metrics per check and schema types."""
     head = f"to_json(struct(* except (created_at), {iso('created_at')} as created_at), {_KEEP})"
     rows = audits.selectExpr("audit_id", f"{head} as head")
-    lines = _fixed(rows, 0, ["concat('{\"audit\":', head, ',')", "'\"pages\":['"])
+    lines = _fixed(
+        rows,
+        {
+            0: ["concat('{\"audit\":', head, ',')", "'\"pages\":['"],
+            2: ["'],\"issues\":['"],
+            4: ["'],\"analyzer_results\":['"],
+            6: ["'],\"schema_types\":['"],
+            8: ["']}'"],
+        },
+    )
     fields = ", ".join(f"'{c}', {c}" for c in facts.columns if c not in (*AUDIT, "page_ord", "depth", "likely_js_shell"))
-    lines = lines.union(_json_items(facts, 1, "struct(0, 0, page_ord, 0)", f"to_json(named_struct({fields}), {_KEEP})"))
-    lines = lines.union(_fixed(rows, 2, ["'],\"issues\":['"])).union(_json_items(issues, 3, ISSUE_ORD, _ISSUE_JSON))
+    pages = _json_items(facts, "1", _PLACE.format("page_ord", "0"), f"to_json(named_struct({fields}), {_KEEP})")
     result = f"to_json(named_struct('analyzer', analyzer, 'metrics', parse_json(metrics)), {_KEEP})"
-    order = "struct(0, 0, xxhash64(analyzer), 0)"
-    lines = lines.union(_fixed(rows, 4, ["'],\"analyzer_results\":['"])).union(_json_items(checks, 5, order, result))
-    return lines.union(_fixed(rows, 6, ["']}'"]))
+    results = _json_items(checks, "5", _PLACE.format("xxhash64(analyzer)", "0"), result)
+    kind = f"to_json(named_struct('type', schema_type, 'pages', pages), {_KEEP})"
+    kinds = _json_items(schema_types(facts), "7", _PLACE.format("-pages", "xxhash64(schema_type)"), kind)
+    return lines.unionByName(pages).unionByName(_json_issues(issues, facts, "3")).unionByName(results).unionByName(kinds)
 
 
 def document_lines(
@@ -395,10 +404,13 @@ def document_lines(
     suggestions: DataFrame | None = None,
 ) -> DataFrame:
     """The report document as JSON text in lines: joined in order they are one object per audit."""
-    keep, issue, rows = _KEEP, _ISSUE_JSON, summary
-    optimization, diff = "'null'", "'null'"
+    keep, rows = _KEEP, summary
+    optimization, closed, diff = "'null'", "", "'null'"
     if statuses is not None:
-        rows = rows.join(_optimization(statuses, suggestions), "audit_id", "left")
+        opt = f"to_json(struct(status, message), {keep})"
+        if suggestions is not None:
+            opt, closed = f"concat(rtrim('}}', {opt}), ',\"pages\":[')", "if(opt_json is null, '', ']}')"
+        rows = rows.join(statuses.selectExpr("audit_id", f"{opt} as opt_json"), "audit_id", "left")
         optimization = "coalesce(opt_json, 'null')"
     if diffs is not None:
         d = diffs.selectExpr("current_audit_id as audit_id", f"to_json(struct(*), {keep}) as diff_json")
@@ -413,27 +425,21 @@ def document_lines(
         0: [f"concat('{{\"summary\":', {head}, ',')", "'\"critical_issues\":['"],
         2: ["'],\"warnings\":['"],
         4: ["'],\"suggestions\":['"],
-        6: [
-            "concat('],\"overall_seo_score\":', overall_seo_score, ',')",
-            f"concat('\"optimization\":', {optimization}, ',')",
-            f"concat('\"diff\":', {diff}, ',')",
-            "'\"page_overview\":['",
-        ],
-        8: ["']}'"],
+        6: ["concat('],\"overall_seo_score\":', overall_seo_score, ',')", f"concat('\"optimization\":', {optimization})"],
+        8: [f"concat({closed or lit('')}, ',\"diff\":', {diff}, ',')", "'\"page_overview\":['"],
+        10: ["']}'"],
     }
-    lines = None
-    for section, texts in frame.items():
-        part = _fixed(rows, section, texts)
-        lines = part if lines is None else lines.union(part)
-    for n, (severity, _) in enumerate(SECTIONS):
-        lines = lines.union(
-            _json_items(issues.filter(F.col("severity") == severity), 1 + 2 * n, ISSUE_ORD, issue)
-        )
+    section = "case severity when 'critical' then 1 when 'warning' then 3 else 5 end"
     page = page_overview(facts)
     fields = ", ".join(f"'{c}', {c}" for c in page.columns if c not in (*AUDIT, "page_ord"))
-    return lines.union(
-        _json_items(page, 7, "struct(0, 0, page_ord, 0)", f"to_json(named_struct({fields}), {keep})")
+    lines = (
+        _fixed(rows, frame)
+        .unionByName(_json_issues(issues, facts, section))
+        .unionByName(_json_items(page, "9", _PLACE.format("page_ord", "0"), f"to_json(named_struct({fields}), {keep})"))
     )
+    if statuses is not None and suggestions is not None:
+        lines = lines.unionByName(_json_items(suggestions, "7", _PLACE.format("page_ord", "0"), _PAGE_JSON))
+    return lines
 
 
 def diff_document_lines(diffs: DataFrame, new: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -444,15 +450,10 @@ def diff_document_lines(diffs: DataFrame, new: DataFrame, resolved: DataFrame) -
 
     def listed(issues: DataFrame, section: int) -> DataFrame:
         mine = issues.drop("audit_id").join(ids, "seed_url").withColumnRenamed("current_audit_id", "audit_id")
-        return _json_items(mine, section, ISSUE_ORD, _ISSUE_JSON)
+        return _json_items(mine, str(section), ISSUE_ORD, _ISSUE_JSON)
 
-    return (
-        _fixed(rows, 0, ["concat(rtrim('}', head), ',')", "'\"new_issues\":['"])
-        .union(listed(new, 1))
-        .union(_fixed(rows, 2, ["'],\"resolved_issues\":['"]))
-        .union(listed(resolved, 3))
-        .union(_fixed(rows, 4, ["']}'"]))
-    )
+    frame = {0: ["concat(rtrim('}', head), ',')", "'\"new_issues\":['"], 2: ["'],\"resolved_issues\":['"], 4: ["']}'"]}
+    return _fixed(rows, frame).unionByName(listed(new, 1)).unionByName(listed(resolved, 3))
 
 
 def compact_view(

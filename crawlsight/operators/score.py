@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.config import AuditOptions, Scoring
-from crawlsight.operators.checks import AUDIT, SITEMAP_SEEN, TITLE_KEY, default_checks
+from crawlsight.operators.checks import AUDIT, SITEMAP_SEEN, TITLE_KEY, CheckRegistry, Context, default_checks
 from crawlsight.schema import SEVERITIES
 from crawlsight.sources.fetches import broken_probe_fetches
 
@@ -40,15 +40,25 @@ def score_audits(audits: DataFrame, issues: DataFrame, scoring: Scoring | None =
     return with_score(counts, scoring or Scoring())
 
 
-def score_sites(facts: DataFrame, fetches: DataFrame, options: AuditOptions | None = None) -> DataFrame:
+def score_sites(
+    facts: DataFrame, fetches: DataFrame, options: AuditOptions | None = None, registry: CheckRegistry | None = None
+) -> DataFrame:
     """The same scores without forming any issue row.
 
+    Checks of ``registry`` beyond the built-in ones count too: their page rules with the
+    others, the issues of their site rules as rows without a page. A registry that
+    leaves out a built-in check, or one with faults, needs ``score_audits``.
+
     Pages are counted per title first, which finds the duplicate titles and
     spreads a huge site over many groups; a second aggregation sums the titles.
     Both combine before their shuffle.
     """
     options = options or AuditOptions()
-    rules = [r for check in default_checks() for r in check.page_rules(options)]
+    checks = (registry or CheckRegistry()).checks
+    built_in = default_checks()
+    if any(check not in checks for check in built_in):
+        raise ValueError("score_sites needs all built-in checks; use score_audits")
+    rules = [r for check in checks for r in check.page_rules(options)]
     per_page = [
         "cast(" + (" + ".join(r.count() for r in rules if r.severity == s) or "0") + f" as bigint) as {s}"
         for s in SEVERITIES
@@ -65,8 +75,19 @@ def score_sites(facts: DataFrame, fetches: DataFrame, options: AuditOptions | No
         "1L as warning",
         "0L as info",
     )
+    rows = pages.unionByName(probes)
+    for check in checks:
+        if check not in built_in and check.site_issues:
+            more = check.site_issues(Context(facts, fetches, options)).selectExpr(
+                *AUDIT,
+                "0 as page",
+                "cast(null as string) as title_key",
+                "false as seen",
+                *(f"if(severity = '{s}', 1L, 0L) as {s}" for s in SEVERITIES),
+            )
+            rows = rows.unionByName(more)
     titles = (
-        pages.unionByName(probes)
+        rows
         .groupBy(*AUDIT, "title_key")
         .agg(
             F.sum("page").alias("pages"),

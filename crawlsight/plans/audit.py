@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from crawlsight.operators.facts import page_facts
 from crawlsight.operators.score import score_audits
 from crawlsight.session import stage
 from crawlsight.sources import store
+from crawlsight.sources.fetches import USABLE, rejects
 
 
 @dataclass
@@ -32,6 +33,7 @@ class AuditResult:
     facts: DataFrame
     issues: DataFrame
     audits: DataFrame
+    rejected: DataFrame | None = None
     diffs: DataFrame | None = None
     new_issues: DataFrame | None = None
     resolved_issues: DataFrame | None = None
@@ -65,11 +67,14 @@ def audit_sites(
     """Audits every site in ``fetches``.
 
     Facts and issues are staged once because the aggregates, the report and the
-    comparison all read them. ``run_ts`` is given by the caller, so a rerun of the
+    comparison all read them. Records that belong to no audit are in ``rejected``
+    and nowhere else. ``run_ts`` is given by the caller, so a rerun of the
     same job gives the same rows.
     """
     options = options or AuditOptions()
     registry = registry or CheckRegistry()
+    rejected = rejects(fetches)
+    fetches = fetches.filter(USABLE)
     facts = stage(page_facts(fetches), "page_facts")
     narrow = fetches.drop("html")
     issues = stage(run_checks(Context(facts, narrow, options), registry, isolate), "issues")
@@ -91,7 +96,7 @@ def audit_sites(
             f"array({names}) as analyzers_run",
         )
     )
-    return AuditResult(options, registry, fetches, facts, issues, audits)
+    return AuditResult(options, registry, fetches, facts, issues, audits, rejected)
 
 
 def compare_audits(
@@ -181,9 +186,24 @@ def report_by_id(result: AuditResult, audit_id: str, fmt: str = "markdown") -> D
     """Report of one audit; KeyError if there is none."""
     R.check_format(fmt)
     mine = F.col("audit_id") == audit_id
-    if result.audits.filter(mine).isEmpty():
+    audits = result.audits.filter(mine)
+    if audits.isEmpty():
         raise KeyError(f"Audit not found: {audit_id}")
-    return report(result, fmt).filter(mine)
+
+    def only(df: DataFrame | None, column: str = "audit_id") -> DataFrame | None:
+        return None if df is None else df.filter(F.col(column) == audit_id)
+
+    one = replace(
+        result,
+        audits=audits,
+        fetches=only(result.fetches),
+        facts=only(result.facts),
+        issues=only(result.issues),
+        diffs=only(result.diffs, "current_audit_id"),
+        answers=only(result.answers),
+        statuses=only(result.statuses),
+    )
+    return report(one, fmt)
 
 
 def change_report(result: AuditResult, fmt: str = "markdown") -> DataFrame:

@@ -12,6 +12,18 @@ from crawlsight.schema import FETCHES, HOPS
 # An error text, no status or a status from 400 on.
 BROKEN = f"({X.filled('error')} or status_code is null or status_code >= 400)"
 
+# A record that an audit can own: an address without a scheme has no normal form and so no site.
+USABLE = "(audit_id is not null and seed_url is not null and url is not null)"
+
+
+def rejects(fetches: DataFrame) -> DataFrame:
+    """Records that no audit can own, with the reason; all others satisfy ``USABLE``."""
+    reason = (
+        "case when url is null then 'no usable address' when seed_url is null then 'no usable site address'"
+        " else 'no audit' end as reason"
+    )
+    return fetches.filter(f"not {USABLE}").selectExpr("audit_id", "seed_url", "url", "page_ord", "depth", reason)
+
 
 def read_fetches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(FETCHES).format(fmt).load(path)

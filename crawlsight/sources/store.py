@@ -1,11 +1,13 @@
 """The audit store: Parquet tables of many audits, looked up by id or site.
 
-There is no update in place. A saved audit is appended and the newest row of an
-id wins; a deletion writes the kept rows to a new version of the table.
+A saved audit is appended and the newest row of an id wins; a deletion writes the
+bucket of its site anew.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,20 +38,26 @@ def load(spark: SparkSession, path: str, seed_url: str | None = None) -> DataFra
     """Current rows, of one site if given: the last saved row of each id."""
     rows = spark.read.parquet(path)
     if seed_url is not None:
-        norm = f"coalesce({U.normalize_url(lit(seed_url))}, {lit(seed_url)})"
-        key = spark.range(1).selectExpr(f"{norm} as s", f"{bucket(norm)} as b").first()
-        rows = rows.filter((F.col("seed_bucket") == key.b) & (F.col("seed_url") == key.s))
+        rows = of_site(rows, seed_url)
     return latest_version(rows)
 
 
+def of_site(rows: DataFrame, seed_url: str) -> DataFrame:
+    """Rows of one site; of stored rows only the site's bucket is read."""
+    norm = f"coalesce({U.normalize_url(lit(seed_url))}, {lit(seed_url)})"
+    key = rows.sparkSession.range(1).selectExpr(f"{norm} as s", f"{bucket(norm)} as b").first()
+    if "seed_bucket" in rows.columns:
+        rows = rows.filter(F.col("seed_bucket") == key.b)
+    return rows.filter(F.col("seed_url") == key.s)
+
+
 def latest_version(rows: DataFrame) -> DataFrame:
-    """Latest-wins view over appended rows."""
-    others = [c for c in rows.columns if c != "audit_id"]
-    return (
-        rows.groupBy("audit_id")
-        .agg(F.max_by(F.struct(*others), "saved_at").alias("r"))
-        .selectExpr("audit_id", "r.*")
-    )
+    """Latest-wins view over appended rows: only keys and times are aggregated.
+
+    A row that was appended twice at one time, by a repeated job, counts once.
+    """
+    newest = rows.groupBy("audit_id").agg(F.max("saved_at").alias("saved_at"))
+    return rows.join(newest, ["audit_id", "saved_at"], "left_semi").dropDuplicates(["audit_id"])
 
 
 def current_rows(rows: DataFrame, audits: DataFrame) -> DataFrame:
@@ -57,8 +65,10 @@ def current_rows(rows: DataFrame, audits: DataFrame) -> DataFrame:
     return rows.join(audits.select("audit_id", "saved_at"), ["audit_id", "saved_at"], "left_semi")
 
 
-def get(audits: DataFrame, audit_id: str) -> DataFrame:
-    return audits.filter(F.col("audit_id") == audit_id)
+def get(audits: DataFrame, audit_id: str, seed_url: str | None = None) -> DataFrame:
+    """One audit; with its site, only the site's bucket is read."""
+    rows = audits if seed_url is None else of_site(audits, seed_url)
+    return rows.filter(F.col("audit_id") == audit_id)
 
 
 def history(audits: DataFrame, url: str | None = None, limit: int = 20) -> DataFrame:
@@ -69,8 +79,7 @@ def history(audits: DataFrame, url: str | None = None, limit: int = 20) -> DataF
             audits.withColumn("rn", F.row_number().over(order))
             .filter(F.col("rn") <= limit)
         )
-    mine = audits.filter(f"seed_url = coalesce({U.normalize_url(lit(url))}, {lit(url)})")
-    return mine.orderBy(F.desc("created_at"), F.desc("audit_id")).limit(limit)
+    return of_site(audits, url).orderBy(F.desc("created_at"), F.desc("audit_id")).limit(limit)
 
 
 def latest(audits: DataFrame) -> DataFrame:
@@ -132,14 +141,28 @@ def without(audits: DataFrame, ids: DataFrame) -> DataFrame:
     return audits.join(ids.select("audit_id"), "audit_id", "left_anti")
 
 
-def delete(spark: SparkSession, path: str, audit_id: str, new_path: str) -> bool:
-    """Writes the table without one audit to ``new_path``; tells if a row was removed."""
+def delete(spark: SparkSession, path: str, audit_id: str) -> bool:
+    """Removes one audit from a stored table; tells if a row was removed.
+
+    Only the buckets that hold it are written anew. The kept rows are complete in a
+    folder beside the table before they replace a bucket.
+    """
     rows = spark.read.parquet(path)
-    found = not rows.filter(F.col("audit_id") == audit_id).isEmpty()
-    if found:
-        kept = rows.filter(F.col("audit_id") != audit_id)
-        kept.write.partitionBy("seed_bucket").parquet(new_path)
-    return found
+    buckets = [r.seed_bucket for r in rows.filter(F.col("audit_id") == audit_id).select("seed_bucket").distinct().collect()]
+    if not buckets:
+        return False
+    beside = f"{path.rstrip('/')}.rewrite-{uuid.uuid4().hex}"
+    rows.filter(F.col("seed_bucket").isin(buckets) & (F.col("audit_id") != audit_id)).write.partitionBy("seed_bucket").parquet(beside)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for number in buckets:
+        kept, place = at(f"{beside}/seed_bucket={number}"), at(f"{path.rstrip('/')}/seed_bucket={number}")
+        files.delete(place, True)
+        if files.exists(kept):
+            files.rename(kept, place)
+    files.delete(at(beside), True)
+    spark.catalog.refreshByPath(path)
+    return True
 
 
 def listing(audits: DataFrame, issues: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from crawlsight.operators.checks import (
     Context,
     PageRule,
     duplicate_title_members,
+    issue_urls,
     page_issues,
     run_checks,
 )
@@ -106,10 +107,12 @@ def test_links_robots_size_sitemap_schema(run):
 def test_duplicate_titles(run):
     rows = [fetch(f"https://ex.com/{n}", page("Same Title" if n % 2 else "same title "), n) for n in range(5)]
     rows += [fetch("https://ex.com/x", page("Other"), 9), fetch("https://b.com/", page("Same title"), 0, seed="https://b.com/", audit="b")]
-    ctx, issues = run(rows, AuditOptions(inline_urls=3))
+    ctx, issues = run(rows, AuditOptions())
     (dup,) = issues.filter("code = 'duplicate_title'").collect()
     assert dup.url == "https://ex.com/0" and dup.message == "Duplicate title found on 5 pages" and dup.phase == 1
-    assert json.loads(dup.details) == {"title": "same title", "urls": [f"https://ex.com/{n}" for n in range(3)]}
+    assert json.loads(dup.details) == {"title": "same title", "pages": 5}
+    urls = issue_urls(ctx.facts).orderBy("page_ord").collect()
+    assert [r.url for r in urls] == [f"https://ex.com/{n}" for n in range(5)] and {r.issue_page_ord for r in urls} == {0}
     assert duplicate_title_members(ctx.facts).count() == 5
 
 
@@ -134,6 +137,38 @@ def test_a_faulty_check_is_isolated(run):
     assert registry.names()[:3] == ["title", "meta_description", "headings"] and len(registry.names()) == 14
 
 
+def test_faulty_metrics_become_a_row_and_spare_the_others(run):
+    bad = Check("bad", lambda o: [PageRule("seen", "info", "true", "'x'")], None, lambda o: {"n": "sum(no_such_column)"})
+    fine = Check("fine", metrics=lambda o: {"pages": "count(*)"})
+    ctx, issues = run([fetch("https://ex.com/", page("t"))], registry=CheckRegistry().register(bad).register(fine))
+    (failed,) = issues.filter("code = 'analyzer_error'").collect()
+    assert failed.analyzer == "bad" and issues.filter("code = 'seen'").isEmpty()
+    metrics = {(r.analyzer, r.metric): r.value for r in M.check_metrics(ctx, CheckRegistry().register(bad).register(fine)).collect()}
+    assert metrics["fine", "pages"] == 1 and metrics["title", "pages_with_title"] == 1 and ("bad", "n") not in metrics
+
+
+def test_registry_of_metrics_only(run):
+    registry = CheckRegistry([Check("fine", metrics=lambda o: {"pages": "count(*)"})])
+    ctx, issues = run([fetch("https://ex.com/", page("t"))], registry=registry)
+    assert issues.count() == 0 and M.check_metrics(ctx, registry).count() == 1
+
+
+def test_own_checks_count_in_site_scores(run):
+    def on_site(ctx):
+        return ctx.fetches.select("audit_id", "seed_url").distinct().selectExpr(
+            "audit_id", "seed_url", "0L as page_ord", "'slow' as code", "'critical' as severity", "'x' as message", "seed_url as url", "'{}' as details"
+        )
+
+    own = Check("own", lambda o: [PageRule("p", "warning", "true", "'x'")], on_site)
+    registry = CheckRegistry().register(own)
+    ctx, issues = run([fetch(f"https://ex.com/{n}", page("t"), n) for n in range(2)], registry=registry)
+    slow = score_audits(ctx.fetches.select("audit_id", "seed_url").distinct(), issues).first()
+    fast = score_sites(ctx.facts, ctx.fetches, registry=registry).first()
+    assert (slow.critical, slow.warning, slow.info) == (fast.critical, fast.warning, fast.info)
+    with pytest.raises(ValueError):
+        score_sites(ctx.facts, ctx.fetches, registry=CheckRegistry([own]))
+
+
 def test_page_issues_equal_the_page_phase(run):
     ctx, issues = run([fetch(f"https://ex.com/{n}", page("t"), n) for n in range(3)])
     alone = page_issues(ctx.facts, ctx.options)
@@ -179,7 +214,8 @@ def test_metrics_match_brute_force(run):
     assert (got["schema", "pages_with_schema"], got["schema", "unique_schema_types"]) == (1, 2)
     assert (got["headings", "total_h1"], got["headings", "pages_with_h2"], got["page_size", "threshold"]) == (3, 1, 3145728)
     as_json = {r.analyzer: json.loads(r.metrics) for r in M.metrics_by_check(ctx).collect()}
-    assert as_json["schema"]["schema_types"] == {"A": 1, "B": 1}
+    assert as_json["schema"]["unique_schema_types"] == 2
+    assert {r.schema_type: r.pages for r in M.schema_types(ctx.facts).collect()} == {"A": 1, "B": 1}
     assert as_json["sitemap"] == {"sitemap_observed": False}
     totals = M.structured_totals(ctx.facts).first()
     assert (totals.pages_total, totals.pages_live, totals.pages_broken, totals.total_images) == (4, 3, 1, 3)
@@ -191,6 +227,4 @@ def test_options_are_copied():
     base = AuditOptions()
     changed = base.overlay(max_pages=7, max_depth=None, save=True)
     assert (changed.max_pages, changed.max_depth, changed.persists) == (7, 3, True)
-    with pytest.raises(ValueError):
-        base.overlay(inline_urls=5000)
     assert base.max_pages == 50 and not base.persists and AuditOptions(compare=True).persists

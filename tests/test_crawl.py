@@ -11,11 +11,11 @@ from crawlsight.operators import robots as RB
 SEED = "https://ex.com/"
 
 
-def linked(spark, graph, seed=SEED):
+def linked(spark, graph, seed=SEED, audit="a1"):
     rows = []
     for n, (path, targets) in enumerate(graph.items()):
         html = "".join(f"<a href='{t}'>x</a>" for t in targets)
-        rows.append(fetch(seed + path if path else seed, html or "<p>x</p>", n, seed=seed))
+        rows.append(fetch(seed + path if path else seed, html or "<p>x</p>", n, seed=seed, audit=audit))
     return fetches(spark, rows)
 
 
@@ -55,9 +55,28 @@ def test_frontier_equals_a_queue(spark, max_pages, max_depth):
     assert [(r.url, r.depth, r.allowed, r.fetched) for r in rows] == queue_crawl(GRAPH, max_pages, max_depth)
 
 
+def test_two_audits_of_one_site_stay_apart(spark):
+    old = linked(spark, {"": ["/old"], "old": []})
+    new = linked(spark, {"": ["/new", "/gone"], "new": []}, audit="a2")
+    probe = fetches(spark, [fetch(SEED + "new", None, 9, 0, audit="a2", depth=-1, error="x")])
+    pages = old.unionByName(new).unionByName(probe)
+    seeds = spark.createDataFrame([("a1", SEED), ("a2", SEED)], "audit_id string, seed_url string")
+    rows = CR.frontier(seeds, pages)
+    assert {(r.audit_id, r.url, r.fetched) for r in rows.collect()} == {
+        ("a1", SEED, True), ("a1", SEED + "old", True), ("a2", SEED, True), ("a2", SEED + "new", True), ("a2", SEED + "gone", False),
+    }
+    records = CR.crawl_records(rows, pages)
+    assert sorted((r.audit_id, r.url, r.depth) for r in records.collect()) == [
+        ("a1", SEED, 0), ("a1", SEED + "old", 1), ("a2", SEED, 0), ("a2", SEED + "new", 1),
+    ]
+    pooled = CR.frontier(seeds, pages, shared=True)
+    assert {(r.audit_id, r.url) for r in pooled.filter("fetched").collect()} == {(a, SEED + p) for a in ("a1", "a2") for p in ("", "new")}
+    assert CR.crawl_records(pooled, pages, shared=True).count() == 4
+
+
 def test_frontier_with_robots_and_other_hosts(spark):
     seeds = spark.createDataFrame([("a1", SEED), ("a2", "https://two.com")], "audit_id string, seed_url string")
-    pages = linked(spark, GRAPH).unionByName(linked(spark, {"": ["/x", "https://ex.com/a"], "x": []}, "https://two.com/"))
+    pages = linked(spark, GRAPH).unionByName(linked(spark, {"": ["/x", "https://ex.com/a"], "x": []}, "https://two.com/", "a2"))
     files = spark.createDataFrame([("ex.com", 200, None, "User-agent: *\nDisallow: /b\n")], "host string, status_code int, error string, body string")
     rules = RB.rules_for_agent(RB.robots_rules(files), "crawlsight/0.1")
     rows = CR.frontier(seeds, pages, AuditOptions(), rules).cache()
@@ -67,7 +86,7 @@ def test_frontier_with_robots_and_other_hosts(spark):
     records = CR.crawl_records(rows, pages)
     blocked = records.filter("url = 'https://ex.com/b'").first()
     assert (blocked.status_code, blocked.error, blocked.html) == (403, "Blocked by robots.txt", None)
-    free = CR.frontier(seeds, pages, AuditOptions(same_host_only=False, respect_robots=False), rules)
+    free = CR.frontier(seeds, pages, AuditOptions(same_host_only=False, respect_robots=False), rules, shared=True)
     assert free.filter("audit_id = 'a2' and url = 'https://ex.com/d'").count() == 1
     stats = {r.audit_id: r for r in CR.crawl_stats(records).collect()}
     assert stats["a1"].broken_count == 1 and stats["a1"].error_count == 0

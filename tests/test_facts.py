@@ -1,7 +1,8 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
-from helpers import BARE_PAGE, FALLBACK_PAGE, FULL_PAGE, fetch, fetches
+from helpers import PLAIN_PAGE, SHARED_PAGE, TIDES_PAGE, fetch, fetches, html_page, tag
 
 from crawlsight.functions.jsonld import _parse, _types
 from crawlsight.operators.facts import page_facts, page_links
@@ -15,9 +16,9 @@ SF = "/root/testdata/sf0.001"
 def facts(spark):
     shell = '<html><body><div id="App"></div>' + "word " * 60 + "</body></html>"
     rows = [
-        fetch("https://ex.com/full", FULL_PAGE, 0),
-        fetch("https://ex.com/bare", BARE_PAGE, 1),
-        fetch("https://ex.com/fallback", FALLBACK_PAGE, 2),
+        fetch("https://ex.com/tides", TIDES_PAGE, 0),
+        fetch("https://ex.com/line", PLAIN_PAGE, 1),
+        fetch("https://ex.com/shared", SHARED_PAGE, 2),
         fetch("https://ex.com/gone", "<h1>x</h1>", 3, 404),
         fetch("https://ex.com/empty", "", 4),
         fetch("https://ex.com/failed", None, 5, None, error="timeout"),
@@ -38,34 +39,65 @@ def facts(spark):
     return {r.url.rsplit("/", 1)[1]: r for r in page_facts(fetches(spark, rows)).collect()}
 
 
-def test_full_page(facts):
-    page = facts["full"]
-    assert page.title == "A complete page whose title is long enough" and page.title_source == "title"
-    assert page.meta_description == "Facts about the complete page & more"
-    assert page.meta_description_source == "description"
-    assert (page.og_title, page.og_description) == ("Graph title", "Graph text")
-    assert (page.twitter_title, page.twitter_description) == ("Bird title", None)
-    assert page.h1 == ["Main head ing"] and page.h2 == ["Second"] and page.h3 == ["Third"] and page.h4 == []
-    assert page.canonical == "https://ex.com/full" and page.robots_meta == "index,follow"
-    assert page.lang == "en" and page.has_viewport
-    assert [(i.src, i.alt) for i in page.images] == [
-        ("https://ex.com/a.jpg", "A"), ("https://ex.com/b.jpg", None), ("https://ex.com/c.webp", ""), ("https://ex.com/n.gif", None),
+def test_head_of_a_whole_page(facts):
+    page = facts["tides"]
+    assert (page.title, page.title_source) == ("Harbour tides for the week of the regatta", "title")
+    assert (page.meta_description, page.meta_description_source) == ("High water & low water", "description")
+    assert (page.og_title, page.og_description, page.twitter_title, page.twitter_description) == ("Tides", "Water levels", "Tides today", None)
+    assert (page.canonical, page.robots_meta, page.lang, page.has_viewport) == ("https://ex.com/tides", "max-snippet:20,follow", "en", True)
+    assert page.has_json_ld and page.schema_types == ["Dataset", "Place"]
+
+
+def test_body_of_a_whole_page(facts):
+    page = facts["tides"]
+    assert (page.h1, page.h2, page.h3, page.h4) == (["Tide ta ble"], ["Tables"], ["Springs"], [])
+    assert [(i.src.rsplit("/", 1)[1], i.alt) for i in page.images] == [
+        ("neap.avif", ""), ("spring.png", None), ("quay.png", "Quay"), ("fallback.png", None),
     ]
-    assert page.internal_links == ["https://ex.com/about"] and page.internal_link_occurrences == 2
-    assert page.external_links == ["https://other.example/x"] and page.external_link_occurrences == 1
-    assert page.has_json_ld and page.schema_types == ["WebPage", "Organization"]
+    assert page.internal_links == ["https://ex.com/berths"] and page.internal_link_occurrences == 2
+    assert page.external_links == ["https://moon.example/phase"] and page.external_link_occurrences == 1
     assert page.image_count == 4 and page.seo_signals.images_missing_alt == 3
     assert page.seo_signals.h1_count == 1 and page.seo_signals.heading_count == 3
-    assert page.content_length == len(FULL_PAGE.encode()) and page.extraction_warnings == []
-    # 8 in the title, 3 + 1 + 1 in headings, 6 in links; nothing from noscript
+    assert page.content_length == len(TIDES_PAGE.encode()) and page.extraction_warnings == []
+    # 8 in the title, 1 + 3 + 1 in headings, 6 in links; nothing from noscript
     assert page.word_count == 19
 
 
-def test_bare_and_fallback(facts):
-    bare, fallback = facts["bare"], facts["fallback"]
-    assert bare.title is None and bare.meta_description is None and bare.h1 == [] and bare.lang is None
-    assert fallback.title == "Graph title only" and fallback.title_source == "og:title"
-    assert fallback.extraction_warnings == ["title_fallback_og", "meta_description_fallback_og", "likely_js_shell"]
+def test_pages_with_little(facts):
+    line, shared = facts["line"], facts["shared"]
+    assert line.title is None and line.meta_description is None and line.h1 == [] and line.lang is None
+    assert (shared.title, shared.title_source) == ("Tides", "og:title")
+    assert shared.extraction_warnings == ["title_fallback_og", "meta_description_fallback_og", "likely_js_shell"]
+
+
+def one(spark, html):
+    return page_facts(fetches(spark, [fetch("https://ex.com/p", html)])).first()
+
+
+def test_unclosed_headings_end_at_a_block(spark):
+    page = one(spark, "<h1>One<p>text</p><h2>Two <b>x</b></h2><h3><div>inner</div></h3><h2>Three<ul><li>a</ul><h4>Four</body>")
+    assert (page.h1, page.h2, page.h3, page.h4) == (["One"], ["Two x", "Three"], ["inner"], ["Four"])
+
+
+def test_only_children_of_a_picture_count(spark):
+    page = one(spark, "<picture><span><source srcset=in.webp></span><source srcset=a.webp><br><source srcset=b.webp><img src=c.png alt=c></picture><source srcset=out.webp>")
+    assert [i.src for i in page.images] == [f"https://ex.com/{n}" for n in ("c.png", "a.webp", "b.webp")]
+
+
+def test_query_parameters_are_no_references(spark):
+    page = one(spark, '<a href="/?a=1&copy=2&amp;lt=3">x</a><img src="/i?x=1&notit;&eacute;" alt="&copy;&#146;">')
+    assert page.internal_links == ["https://ex.com/?a=1&copy=2&lt=3"]
+    assert page.images[0].src == "https://ex.com/i?x=1&notit;é" and page.images[0].alt == "©’"
+
+
+def test_large_pages_take_linear_time(spark):
+    images = "".join(f"<img src=/{n % 4000}.png>" for n in range(5000))
+    links = "".join(f"<a href=/{n % 4000}>x</a>" for n in range(5000))
+    start = time.time()
+    page = one(spark, html_page(body=[images, links]))
+    assert page.image_count == 4000 and page.internal_link_occurrences == 5000 and len(page.internal_links) == 4000
+    assert [i.src for i in page.images[:2]] == ["https://ex.com/0.png", "https://ex.com/1.png"]
+    assert time.time() - start < 30
 
 
 def test_broken_pages_keep_fetch_fields_only(facts):
@@ -144,8 +176,8 @@ def test_facts_do_not_depend_on_partitions(spark):
 
 
 def test_page_links_keep_order_and_repeats(spark):
-    rows = page_links(fetches(spark, [fetch("https://ex.com/full", FULL_PAGE)])).first()
-    assert rows.links == ["https://ex.com/about", "https://ex.com/about", "https://other.example/x"]
+    rows = page_links(fetches(spark, [fetch("https://ex.com/tides", TIDES_PAGE)])).first()
+    assert rows.links == ["https://moon.example/phase", "https://ex.com/berths", "https://ex.com/berths"]
 
 
 def test_normalize_fetches(spark):

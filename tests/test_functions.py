@@ -26,7 +26,17 @@ def test_entities(evaluate):
         "& &; &unknown; &&amp;", "no reference", "",
     ]
     assert evaluate(X.decode_entities("x"), texts) == [stdlib_html.unescape(t) for t in texts]
-    assert evaluate(X.decode_entities("x"), ["&copy 1", "&#xD800;|&#1;|"]) == ["© 1", "||"]
+    assert evaluate(X.decode_entities("x"), ["&copy 1", "&#xD800;|&#1;|"]) == ["© 1", "\ufffd||"]
+
+
+def test_entities_of_the_standard(evaluate):
+    texts = [
+        "&#000000038;&#x0000000027;", "&#146;&#150;&#128;&#x99;", "&check;&lpar;&NewLine;&NotEqualTilde;", "&copy2024 &ampx &notit; &notin;",
+        "&#99999999999999999999;&#x110000;&#0;", "&#65&#x42 &#;&#x;", "&AMP;&LT&gt &Aacute&aacuteb",
+    ]
+    assert evaluate(X.decode_entities("x"), texts) == [stdlib_html.unescape(t) for t in texts]
+    kept = ["?a=1&copy=2", "?a&copyright", "&copy", "&copy;=1", "&amp=1&amp;=2"]
+    assert evaluate(X.decode_entities("x", attribute=True), kept) == ["?a=1&copy=2", "?a&copyright", "©", "©=1", "&amp=1&=2"]
 
 
 def test_rounding_is_exact(evaluate):

@@ -2,7 +2,7 @@ import glob
 import json
 
 import pytest
-from helpers import FULL_PAGE, fetch, fetches
+from helpers import TIDES_PAGE, fetch, fetches
 
 from crawlsight.config import AuditOptions
 from crawlsight.operators import diff as D
@@ -17,7 +17,7 @@ RUN = "2024-05-01 10:00:00"
 
 def site(spark, run, title, broken=False):
     rows = [
-        fetch("https://ex.com/", FULL_PAGE, 0, audit=run),
+        fetch("https://ex.com/", TIDES_PAGE, 0, audit=run),
         fetch("https://ex.com/b", f"<title>{title}</title><h1>x</h1>", 1, audit=run),
         fetch("https://ex.com/c", None, 2, 404 if broken else 200, audit=run),
     ]
@@ -94,7 +94,7 @@ def test_markdown_report(runs):
     assert "**Created:** 2024-05-02T10:00:00.500000+00:00" in text
     assert "- [broken_page] HTTP 404 (`https://ex.com/c`)" in text
     assert "- `https://ex.com/c` — (no title) [broken]\n  - title_len=0, meta_len=0, h1=0," in text
-    assert "schema=WebPage,Organization" in text and "- Live pages: 2 / 3" in text
+    assert "schema=Dataset,Place" in text and "- Live pages: 2 / 3" in text
     assert "- Note: Score unchanged." in text and text.endswith("/ 100**\n")
     top = [x for x in text.split("\n") if x.startswith("- Top issue codes:")]
     assert len(top) == 1 and len(top[0].split(", ")) == 5
@@ -114,13 +114,38 @@ def test_json_report_is_one_document(runs, spark, tmp_path):
     assert len(whole["pages"][0]) == 38 and len(whole["analyzer_results"]) == 10
     change = json.loads(text_of(A.change_report(runs[1], "json")))
     assert len(change["new_issues"]) == 2 == len(change["resolved_issues"]) and change["previous_audit_id"] == "r1"
-    sinks.write_lines(A.report(runs[1]), str(tmp_path / "deep" / "report"))
+    sinks.write_text(A.report(runs[1]), str(tmp_path / "deep" / "report"), ["r2"])
     files = sorted(glob.glob(f"{tmp_path}/deep/report/audit=r2/*.txt"))
     assert "".join(open(f, encoding="utf-8").read() for f in files).rstrip("\n") == text_of(A.report(runs[1])).rstrip("\n")
     sinks.write_json(runs[1].diffs, str(tmp_path / "diff"))
     assert spark.read.json(str(tmp_path / "diff")).count() == 1
 
 
+def test_long_lists_are_lines(spark):
+    """2,000 pages of one title: the issue is short, its list complete in the document."""
+    rows = [fetch(f"https://ex.com/{n}", "<title>Same</title><h1>x</h1>", n) for n in range(2000)]
+    result = A.audit_sites(fetches(spark, rows), RUN)
+    doc = json.loads(text_of(A.report(result, "json")))
+    (dup,) = [i for i in doc["warnings"] if i["code"] == "duplicate_title"]
+    assert dup["details"] == {"pages": 2000, "title": "same", "urls": [f"https://ex.com/{n}" for n in range(2000)]}
+    whole = json.loads(text_of(A.report(result, "json", full_audit=True)))
+    assert [i["details"] for i in whole["issues"] if i["code"] == "duplicate_title"] == [dup["details"]] and whole["schema_types"] == []
+
+
+def test_records_without_an_address_are_rejected(spark):
+    rows = [fetch("https://ex.com/", "<title>t</title>", 0), fetch(None, "<p>x</p>", 1), fetch("https://ex.com/b", "x", 2, audit=None), fetch("https://ex.com/c", "x", 3, seed=None)]
+    result = A.audit_sites(fetches(spark, rows), RUN)
+    assert [(r.audit_id, r.pages) for r in result.audits.collect()] == [("a1", 1)]
+    reasons = {r.page_ord: r.reason for r in result.rejected.collect()}
+    assert reasons == {1: "no usable address", 2: "no audit", 3: "no usable site address"}
+
+
+def test_lines_of_many_audits(runs, spark, tmp_path):
+    sinks.write_lines(A.report(runs[0]).unionByName(A.report(runs[1])), str(tmp_path / "lines"))
+    again = spark.read.parquet(str(tmp_path / "lines"))
+    assert text_of(again.filter("audit_id = 'r1'")) == text_of(A.report(runs[0]))
+
+
 def test_report_formats_and_lookup(runs):
     with pytest.raises(NotImplementedError):
         A.report(runs[0], "PDF")
@@ -175,9 +200,10 @@ def test_store(runs, spark, tmp_path):
     assert listing["r1"].pages == 3 and listing["r2"].issue_count == 0 and listing["r1"]["count"] == 2
     assert listing["r1"].created_at == "2024-05-01T10:00:00+00:00"
     assert store.get(audits, "r1").count() == 1
-    assert store.delete(spark, f"{root}/audits", "r1", f"{root}/audits2")
-    assert [r.audit_id for r in store.load(spark, f"{root}/audits2").collect()] == ["r2"]
-    assert not store.delete(spark, f"{root}/audits2", "r1", f"{root}/audits3")
+    assert store.get(store.load(spark, f"{root}/audits"), "r1", "https://EX.com").count() == 1
+    assert store.delete(spark, f"{root}/audits", "r1")
+    assert [r.audit_id for r in store.load(spark, f"{root}/audits").collect()] == ["r2"]
+    assert not store.delete(spark, f"{root}/audits", "r1")
 
 
 def test_last_save_wins(runs, spark, tmp_path):
@@ -193,11 +219,11 @@ def test_suggestions(runs, spark):
     reqs = A.suggestion_requests(result, S.parse_keywords(" seo, ,pages ")).orderBy("page_ord").collect()
     assert [r.url for r in reqs] == ["https://ex.com/", "https://ex.com/b"]
     payload = json.loads(reqs[0].payload)
-    assert payload["target_keywords"] == ["seo", "pages"] and payload["current"]["h2"] == ["Second"]
+    assert payload["target_keywords"] == ["seo", "pages"] and payload["current"]["h2"] == ["Tables"]
     assert payload["candidate_internal_urls"] == ["https://ex.com/", "https://ex.com/b"]
-    assert payload["current"]["images"][1] == {"src": "https://ex.com/b.jpg", "alt": None}
+    assert payload["current"]["images"][1] == {"src": "https://ex.com/spring.png", "alt": None}
     assert len(payload["output_schema"]) == 9 and [m.role for m in reqs[0].messages] == ["system", "user"]
-    assert json.loads(S.requests(result.facts, None).filter("page_ord = 0").first().payload)["candidate_internal_urls"] == ["https://ex.com/about"]
+    assert json.loads(S.requests(result.facts, None).filter("page_ord = 0").first().payload)["candidate_internal_urls"] == ["https://ex.com/berths"]
 
     good = {
         "improved_title": "New", "improved_h1": None, "heading_suggestions": ["h"], "keyword_suggestions": ["k", "l"],

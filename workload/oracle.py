@@ -76,6 +76,9 @@ r AS (SELECT f.*, 'b:' || seed AS audit_id,
     FROM f LEFT JOIN documents d ON d.doc_id = f.p)"""
 
 
+# The texts of issues below are what comparisons expect.
+
+
 def issue(code, severity, message, where, details="'{}'", url="final_url", source="r", order="p"):
     return (
         f"SELECT audit_id, '{code}' AS code, '{severity}' AS severity, {message} AS message,"
@@ -115,7 +118,7 @@ def duplicate_groups(src="r") -> str:
 def duplicate_issue(src="r") -> str:
     return issue(
         "duplicate_title", "warning", "'Duplicate title found on ' || n || ' pages'", "true",
-        "to_json({'title': k, 'urls': urls})::VARCHAR", "urls[1]", f"({duplicate_groups(src)})",
+        "to_json({'title': k, 'pages': n})::VARCHAR", "urls[1]", f"({duplicate_groups(src)})",
     )
 
 

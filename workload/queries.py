@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,14 @@ from crawlsight.operators.checks import (
     Context,
     default_checks,
     duplicate_title_members,
+    issue_urls,
     run_checks,
 )
 from crawlsight.operators.facts import page_facts
 from crawlsight.plans import audit as A
-from crawlsight.session import stage
+from crawlsight.session import stage, staging_dir
 from crawlsight.sources import store
+from crawlsight.sources.fetches import pages_as_fetches, rejects
 from workload import oracle as O
 from workload import scenario as SN
 
@@ -379,6 +382,33 @@ def duplicate_titles(spark, d):
     return duplicate_title_members(facts).select("audit_id", "title_key", "page_ord", "final_url", "n")
 
 
+@query(
+    f"SELECT r.audit_id, g.k AS title_key, g.p AS issue_page_ord, r.p AS page_ord, r.final_url AS url FROM r JOIN ({O.duplicate_groups()}) g"
+    " ON g.audit_id = r.audit_id AND g.k = lower(r.title) WHERE r.live",
+    O.RICH,
+)
+def issue_url_lists(spark, d):
+    facts = stage(rich_facts(spark, d).select("audit_id", "seed_url", "page_ord", "final_url", "title", "is_broken"), "titles")
+    return issue_urls(facts).drop("seed_url")
+
+
+@query(
+    "SELECT DISTINCT audit_id, 'analyzer_error' AS code, 'warning' AS severity,"
+    " 'Analyzer ''unsound'' failed: ' AS message_start FROM r",
+    O.RICH,
+)
+def issues_faulty_metrics(spark, d):
+    """A check whose metric names no column: its own issues are left out, the error is a row."""
+    from crawlsight.operators.checks import Check, PageRule
+
+    fetches = SN.rich_pages(spark, d)
+    ctx = Context(page_facts(fetches), fetches.drop("html"), AuditOptions())
+    check = Check("unsound", lambda o: [PageRule("seen", "info", "true", "'x'")], None, lambda o: {"n": "sum(no_such_column)"})
+    return run_checks(ctx, CheckRegistry([check])).selectExpr(
+        "audit_id", "code", "severity", "left(message, 28) as message_start"
+    )
+
+
 @query(
     "SELECT DISTINCT audit_id, 'analyzer_error' AS code, 'warning' AS severity,"
     " 'Analyzer ''faulty'' failed: no such figure' AS message, CAST(NULL AS VARCHAR) AS url FROM r",
@@ -559,9 +589,14 @@ def schema_histogram(spark, d):
     return M.schema_types(rich_facts(spark, d)).select("audit_id", "schema_type", "pages")
 
 
-@query()
+@query(_METRICS, O.RICH + "," + O.EXTERNAL)
 def metrics_by_check(spark, d):
-    return rich_audit(spark, d).metrics_json()
+    """The JSON objects taken apart again; rounded averages as in ``check_metrics``."""
+    objects = rich_audit(spark, d).metrics_json()
+    cells = objects.selectExpr("audit_id", "analyzer", "explode(from_json(metrics, 'map<string,string>')) as (metric, v)")
+    return cells.filter(
+        "metric not in ('avg_title_length', 'avg_meta_description_length', 'alt_coverage_pct')"
+    ).selectExpr("audit_id", "analyzer", "metric", "case v when 'true' then 1D when 'false' then 0D else cast(v as double) end as value")
 
 
 _PAGE_FIGURES = (
@@ -968,6 +1003,58 @@ def bfs_whole(spark, d):
     )
 
 
+@query(
+    f"SELECT 'c:https://site' || p % 5 || '.example/' AS audit_id, 'https://site' || p % 5 || '.example/' || p // 5 AS url,"
+    f" CAST(floor(log2(p // 5 + 1)) AS INT) AS depth, p // 5 AS page_ord FROM (SELECT unnest(generate_series(0, 5 * {CRAWL_PAGES} - 1)) AS p)"
+    f" WHERE p // 5 < 2 ** ({CRAWL_DEPTH} + 1) - 1 AND (p < 5 OR 5 * ((p // 5 - 1) // 2) + p % 5 <= (SELECT max(page_id) FROM pages))"
+    " UNION ALL SELECT 'd:https://site' || page_id || '.example/', 'https://site' || page_id || '.example/0', 0, 0 FROM pages WHERE page_id < 5"
+)
+def bfs_two_audits(spark, d):
+    """Two audits of the same addresses; in the second the pages have no links."""
+    first = SN.linked_fetches(spark, d)
+    second = first.selectExpr(
+        "replace(audit_id, 'c:', 'd:') as audit_id", "* except (audit_id, html)", "replace(html, '<a ', '<b ') as html"
+    )
+    seeds = SN.link_seeds(first)
+    seeds = seeds.unionByName(seeds.selectExpr("replace(audit_id, 'c:', 'd:') as audit_id", "seed_url"))
+    options = AuditOptions().overlay(max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH)
+    return CR.frontier(seeds, first.unionByName(second), options).select("audit_id", "url", "depth", "page_ord")
+
+
+@query(
+    "WITH RECURSIVE top AS (SELECT max(page_id) AS m FROM pages),"
+    " x(p, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id < 5 UNION ALL"
+    " SELECT 5 * (2 * (p // 5) + k) + p % 5, depth + 1 FROM x, top, (SELECT unnest([1, 2]) AS k)"
+    f" WHERE p <= m AND depth < {CRAWL_DEPTH} AND NOT starts_with(CAST(p // 5 AS VARCHAR), '3')),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY p % 5 ORDER BY depth, p) - 1 AS page_ord,"
+    " starts_with(CAST(p // 5 AS VARCHAR), '3') AS blocked FROM x)"
+    " SELECT 'c:https://site' || p % 5 || '.example/' AS audit_id, 'https://site' || p % 5 || '.example/' || p // 5 AS url, depth, page_ord,"
+    " CASE WHEN blocked THEN 403 ELSE 200 END AS status_code, CASE WHEN blocked THEN 'Blocked by robots.txt' END AS error,"
+    f" NOT blocked AS has_html FROM n, top WHERE page_ord < {CRAWL_PAGES} AND (blocked OR p <= m)"
+)
+def crawl_records(spark, d):
+    """Records of a crawl whose robots rules block every path that begins with 3."""
+    fetches = SN.linked_fetches(spark, d)
+    files = fetches.select("seed_url").distinct().selectExpr(
+        f"{U.host('seed_url')} as host", "200 as status_code", "cast(null as string) as error", "'User-agent: *\nDisallow: /3' as body"
+    )
+    rules = RB.rules_for_agent(RB.robots_rules(files), "crawlsight/0.1")
+    options = AuditOptions().overlay(max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH)
+    rows = CR.frontier(SN.link_seeds(fetches), fetches, options, rules)
+    return CR.crawl_records(rows, fetches).selectExpr(
+        "audit_id", "url", "depth", "page_ord", "status_code", "error", "html is not null as has_html"
+    )
+
+
+@query("SELECT 'no usable address' AS reason, count(*) AS records FROM pages WHERE page_id % 10 = 0 HAVING count(*) > 0")
+def rejected_records(spark, d):
+    """Every tenth page under an address without a scheme."""
+    pages = SN.table(spark, d, "pages").selectExpr(
+        "page_id", "if(page_id % 10 = 0, regexp_replace(url, '^[a-z]+://', ''), url) as url", "html"
+    )
+    return rejects(pages_as_fetches(pages)).groupBy("reason").agg(F.count("*").alias("records"))
+
+
 @query(
     "SELECT p AS page_id, CASE length(h) % 3 WHEN 2 THEN true"
     " WHEN 0 THEN NOT (starts_with(path, '/fr/') AND NOT starts_with(path, '/fr/1'))"
@@ -1134,3 +1221,18 @@ def keyword_lists(spark, d):
     return SN.table(spark, d, "documents").selectExpr(
         "doc_id", f"array_join({S.keywords('text')}, '|') as keywords"
     )
+
+
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS audit_id, 'https://user' || user_id || '.example/' AS seed_url,"
+    " CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS score FROM events WHERE event_id <> 5"
+)
+def stored_audits(spark, d):
+    """A store that is written, written again for every seventh audit, and rid of one audit."""
+    path = f"{staging_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    audits = SN.event_audits(spark, d).withColumn("saved_at", F.expr("timestamp '2024-01-01 00:00:00'"))
+    store.save(audits, path)
+    again = audits.filter("cast(audit_id as bigint) % 7 = 0")
+    store.save(again.withColumn("score", F.col("score") + 1).withColumn("saved_at", F.expr("timestamp '2024-01-02 00:00:00'")), path)
+    store.delete(spark, path, "5")
+    return store.load(spark, path).select("audit_id", "seed_url", "score")
