@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsight.llm.common import sql_pattern
+from crawlsight.session import stage
 
 #: Partitions whose local winners meet in one salted group.
 SALTS = 16
@@ -79,11 +80,28 @@ def dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def kept_documents(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns, one row per group."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.expr(normalised("text")).alias("content"), F.expr("length(coalesce(text, ''))").cast("bigint").alias("_len"))
-    rows = rows.select("row", "_id", "_len", _digest("content"), F.xxhash64("content").alias("fingerprint"))
+def kept_documents(docs: DataFrame, salts: int = SALTS, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The documents that stay, with all their columns, one row per group.
+
+    The rows that go are known by id, digest and length. While their list is short (at
+    most ``broadcast_rows`` of 64 bytes) it goes to the documents, else both are shuffled.
+    """
+    key = [F.col("doc_id").alias("_id"), F.expr("cast(length(coalesce(text, '')) as bigint)").alias("_len"), F.expr(normalised("text")).alias("content")]
+    mine = docs.select(*key).select("_id", "_len", _digest("content"), F.xxhash64("content").alias("fingerprint"))
     best = groups(docs, salts).select("digest", "fingerprint", "keep_id", "keep_length")
-    held = rows.join(best, ["digest", "fingerprint"]).filter(F.expr("_id <=> keep_id and _len = keep_length"))
-    once = Window.partitionBy("digest", "fingerprint").orderBy("_id")
-    return held.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("row.*")
+    keys = mine.join(best, ["digest", "fingerprint"]).groupBy(
+        F.col("_id").alias("x_id"), F.col("_len").alias("x_len"), F.col("digest").alias("x_digest")
+    ).agg(F.bool_and(F.expr("_id <=> keep_id and _len = keep_length")).alias("stays"), F.count("*").alias("n"))
+    special = stage(keys.filter("not stays or n > 1"), "exact_gone")
+    small = special.count() <= broadcast_rows
+    rows = docs.select(F.struct("*").alias("row"), *key).select("row", "_id", "_len", _digest("content"))
+    rows = rows.join(
+        F.broadcast(special) if small else special, F.expr("_id <=> x_id and _len = x_len and digest = x_digest"), "left"
+    )
+    kept = rows.filter("stays is null").select("row.*")
+    if special.filter("stays").isEmpty():
+        return kept
+    # Rows repeated with one id and text: one of them stays.
+    once = Window.partitionBy("digest", "_id").orderBy("_len")
+    again = rows.filter("stays").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("row.*")
+    return kept.unionByName(again)

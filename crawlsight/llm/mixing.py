@@ -31,7 +31,8 @@ class MixOptions:
     weights: tuple[int, ...] = (3, 1, 2)  # of the sources in order, repeating
     share: float = 1.5  # of all words
     seed: str = "mix"
-    bucket_rows: int = 20_000  # rows that one task orders at a time
+    bucket_rows: int = 2_000  # rows that are ordered at a time
+    buckets: int = 100_000  # at most, so that the totals of all buckets stay a small table
 
 
 def _sized(seed: str, row: str = "") -> list:
@@ -83,8 +84,7 @@ def targets(sizes: DataFrame, options: MixOptions) -> DataFrame:
 
 def _cuts(sizes: DataFrame, sources: DataFrame, options: MixOptions) -> DataFrame:
     """Sources with the last place taken in each pass (NULL: none)."""
-    n = sizes.count()
-    buckets = max(1, -(-n // options.bucket_rows))
+    buckets = min(options.buckets, max(1, -(-sizes.count() // options.bucket_rows)))
     rows = sizes.join(sources.withColumnRenamed("source", "_source"), F.expr("source <=> _source")).select(
         "source_rank",
         "source_size",

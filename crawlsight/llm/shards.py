@@ -32,7 +32,8 @@ class ShardOptions:
     leaves: int = 16
     bins: int = 1024  # per node and pass
     tolerance: float = 0.0005  # share of a node's bytes that a cut may miss the median by
-    slot_rows: int = 20_000  # rows that one task numbers at a time
+    slot_rows: int = 2_000  # rows that are numbered at a time
+    slot_parts: int = 100_000  # at most, so that the totals of a shard's parts stay a small table
 
 
 @dataclass(frozen=True)
@@ -168,7 +169,7 @@ def assign(docs: DataFrame, options: ShardOptions = ShardOptions()) -> DataFrame
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in its shard)."""
     meta = stage(docs.select(*_metadata()), "shard_metadata")
     tree = build(meta, options)
-    parts = max(1, math.ceil(meta.count() / options.leaves / options.slot_rows))
+    parts = min(options.slot_parts, max(1, math.ceil(meta.count() / options.leaves / options.slot_rows)))
     rows = meta.select(
         "doc_id", "size", "text_crc32", F.expr(tree.shard_sql()).alias("shard"),
         F.expr(f"cast(pmod(xxhash64(doc_id), {parts}L) as int)").alias("part"), F.lit(1).alias("one"),

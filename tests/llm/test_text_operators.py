@@ -98,7 +98,7 @@ def test_model_adds_tables():
     pick = np.random.default_rng(0)
     x = pick.random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # an interaction alone
-    model = gam.fit(x, y, gam.GamOptions(pairs=2))
+    model = gam.fit(x, y, gam.GamOptions(pairs=2, pair_bins=9))
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
     total = np.full(len(x), model.base)
     for k, table in enumerate(model.tables):
