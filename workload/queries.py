@@ -732,9 +732,13 @@ def report_documents(spark, d):
 
 
 @query(
-    "SELECT audit_id, s AS section_ord, CAST(n AS BIGINT) AS lines, CAST(CASE WHEN s % 2 = 1 THEN n - 1 ELSE 0 END AS BIGINT)"
-    " AS continued FROM (SELECT audit_id, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS s,"
-    f" unnest([2, critical, 1, warning, 1, info, 4, pages, 1]) AS n FROM ({_SCORED})) WHERE n > 0",
+    "SELECT x.audit_id, s AS section_ord, CAST(n + CASE WHEN s = 3 THEN coalesce(extra, 0) ELSE 0 END AS BIGINT) AS lines,"
+    " CAST(CASE WHEN s = 8 THEN 1 WHEN s = 3 THEN n - 1 + coalesce(more, 0) WHEN s % 2 = 1 THEN n - 1 ELSE 0 END AS BIGINT)"
+    " AS continued FROM (SELECT audit_id, unnest([0, 1, 2, 3, 4, 5, 6, 8, 9, 10]) AS s,"
+    f" unnest([2, critical, 1, warning, 1, info, 2, 2, pages, 1]) AS n FROM ({_SCORED})) x"
+    # each duplicate title: its URLs and a closing line
+    f" LEFT JOIN (SELECT audit_id, sum(n + 1) AS extra, sum(n - 1) AS more FROM ({O.duplicate_groups()}) GROUP BY 1) g"
+    " ON g.audit_id = x.audit_id WHERE n > 0",
     O.ISSUES,
 )
 def report_document_parts(spark, d):
