@@ -405,7 +405,7 @@ def issues_faulty_metrics(spark, d):
     ctx = Context(page_facts(fetches), fetches.drop("html"), AuditOptions())
     check = Check("unsound", lambda o: [PageRule("seen", "info", "true", "'x'")], None, lambda o: {"n": "sum(no_such_column)"})
     return run_checks(ctx, CheckRegistry([check])).selectExpr(
-        "audit_id", "code", "severity", "left(message, 28) as message_start"
+        "audit_id", "code", "severity", "left(message, 27) as message_start"
     )
 
 
