@@ -21,14 +21,21 @@ SITE = ("audit_id", "seed_url")
 _CHUNK = 4096
 
 
-def link_edges(fetches: DataFrame) -> DataFrame:
-    """Every link of every page with its place, against the final address.
+def _with_links(pages: DataFrame) -> DataFrame:
+    """Pages with their ``links``: page facts have them already, fetch records are parsed."""
+    if "links" in pages.columns:
+        return pages.filter("depth >= 0")
+    return page_links(pages.filter(f"depth >= 0 and {X.filled('html')}"))
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """Every link of every page (fetch records or page facts) with its place, against the final address.
 
     The outer form of explode keeps the optimizer from testing the link list a
     second time in front of the page parsing.
     """
     return (
-        page_links(fetches.filter(f"depth >= 0 and {X.filled('html')}"))
+        _with_links(pages)
         .selectExpr("audit_id", "page_ord as src_ord", "url as src", "posexplode_outer(links) as (pos, dst)")
         .filter("dst is not null")
     )
@@ -83,7 +90,8 @@ def frontier(
     """Breadth-first crawl of every site over a table of fetched pages.
 
     Each audit sees its own pages. With ``shared`` the pages of all audits are one pool,
-    where a URL stands for its last record.
+    where a URL stands for its last record. ``fetches`` are fetch records, or page facts of them, which
+    saves parsing the pages again.
 
     Returns the records in crawl order: site, url, depth, page_ord, whether robots
     rules allow it and whether the page is in ``fetches``; pages allowed but not
@@ -173,7 +181,9 @@ def crawl_records(frontier_rows: DataFrame, fetches: DataFrame, shared: bool = F
     )
 
 
-def crawl_stats(records: DataFrame, options: AuditOptions | None = None) -> DataFrame:
+def crawl_stats(
+    records: DataFrame, options: AuditOptions | None = None, facts: DataFrame | None = None
+) -> DataFrame:
     """Crawled, discovered, broken and redirected counts of each site.
 
     Discovered are the seed and every link of a page that was expanded, external
@@ -187,8 +197,8 @@ def crawl_stats(records: DataFrame, options: AuditOptions | None = None) -> Data
         F.expr("count_if(size(redirect_chain) > 0) as redirect_count"),
         F.expr(f"count_if({_TRANSPORT_ERROR}) as error_count"),
     )
-    expanded = pages.filter(f"{X.filled('html')} and depth < {options.max_depth}")
-    links = page_links(expanded).selectExpr(*SITE, "explode_outer(links) as url").filter("url is not null")
+    expanded = (pages if facts is None else facts).filter(f"depth < {options.max_depth}")
+    links = _with_links(expanded).selectExpr(*SITE, "explode_outer(links) as url").filter("url is not null")
     seeds = pages.selectExpr(*SITE, f"coalesce({U.normalize_url('seed_url')}, seed_url) as url")
     discovered = (
         links.union(seeds).distinct().groupBy(*SITE).agg(F.count("*").alias("pages_discovered"))
@@ -207,10 +217,13 @@ def crawl_errors(records: DataFrame) -> DataFrame:
 
 
 def external_worklist(records: DataFrame, cap: int | None = None) -> DataFrame:
-    """Distinct off-host links of each site in first-seen order, at most ``cap``."""
+    """Distinct off-host links of each site in first-seen order, at most ``cap``.
+
+    ``records`` are fetch records, or page facts of them.
+    """
     cap = AuditOptions().max_external_checks if cap is None else cap
     links = (
-        page_links(records.filter(f"depth >= 0 and {X.filled('html')}"))
+        _with_links(records)
         .selectExpr(*SITE, "page_ord", "posexplode_outer(links) as (pos, url)")
         .filter("url is not null")
         .filter(f"not {U.same_host('seed_url', 'url')}")

@@ -36,6 +36,9 @@ PAGE_FIELDS = (
     "image_count", "js_rendered", "extraction_warnings", "seo_signals",
 )
 
+# Beyond the page's fields: ``links`` are all its resolvable links in order, with repeats, of broken pages too.
+HELPERS = ("likely_js_shell", "links")
+
 
 def _named(columns: dict[str, str]) -> list[str]:
     return [f"{sql} as {name}" for name, sql in columns.items()]
@@ -50,8 +53,8 @@ def missing_alts(images: str) -> str:
     return f"filter({images}, i -> {X.is_blank('i.alt')})"
 
 
-def _hrefs() -> str:
-    stripped = f"transform({H.of_kind('tags', 'a')}, t -> {X.strip(H.attr('t', 'href'))})"
+def _hrefs(tags: str = "tags") -> str:
+    stripped = f"transform({H.of_kind(tags, 'a')}, t -> {X.strip(H.attr('t', 'href'))})"
     return f"filter({stripped}, h -> h is not null and {U.is_page_href('h')})"
 
 
@@ -72,9 +75,11 @@ def page_links(fetches: DataFrame) -> DataFrame:
 
 
 def _tags(df: DataFrame) -> DataFrame:
-    df = df.selectExpr(*CARRIED, f"{LIVE} as live", f"if({LIVE}, {H.source_text('html')}, null) as src")
-    df = df.selectExpr("*", f"{H.dom('src')} as dom")
-    return df.selectExpr(
+    """Tags and texts. Of broken pages with a body only the tags are read, for their links."""
+    df = df.selectExpr(*CARRIED, f"{LIVE} as live", f"if({X.filled('html')}, {H.source_text('html')}, null) as page")
+    df = df.selectExpr("*", f"{H.dom('page')} as page_dom")
+    df = df.selectExpr("*", "if(live, page, null) as src", "if(live, page_dom, null) as dom")
+    df = df.selectExpr(
         *CARRIED,
         "live",
         "dom",
@@ -84,13 +89,14 @@ def _tags(df: DataFrame) -> DataFrame:
                 "json_ld": H.json_ld_texts("src"),
                 "title_text": H.title_text("dom"),
                 "headings": H.headings("dom"),
-                "tags": H.fact_tags("dom"),
+                "all_tags": H.fact_tags("page_dom"),
                 "visible_text": H.visible_text("dom"),
                 "base": U.base_parts("final_url"),
                 "seed_host": U.host("seed_url"),
             }
         ),
     )
+    return df.selectExpr("*", "if(live, all_tags, null) as tags")
 
 
 def _elements(df: DataFrame) -> DataFrame:
@@ -103,12 +109,12 @@ def _elements(df: DataFrame) -> DataFrame:
     links = f"transform({H.of_kind('tags', 'l')}, t -> named_struct('rel', {H.attr('t', 'rel')}, 'href', {X.strip(H.attr('t', 'href'))}))"
     html_tag = f"get({H.of_kind('tags', 'h')}, 0)"
     return df.selectExpr(
-        "* except (tags, headings)",
+        "* except (tags, all_tags, headings)",
         *_named(
             {
                 "source_sets": H.picture_sources("dom", "tags"),
                 "metas": f"transform({H.of_kind('tags', 'm')}, t -> named_struct({meta}))",
-                "hrefs": _hrefs(),
+                "hrefs": _hrefs("all_tags"),
                 "img_tags": images,
                 "canonical_href": f"get(filter({links}, l -> l.href <> '' and"
                 f" array_contains({X.split_blank('lower(l.rel)')}, 'canonical')), 0).href",
@@ -170,11 +176,11 @@ def _decisions(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("ld", F.when(F.size("json_ld") > 0, json_ld_types(F.col("json_ld"))))
     df = df.selectExpr(
-        "* except (links, json_ld, ld, canonical_href, base)",
+        "* except (json_ld, ld, canonical_href, base)",
         *_named(
             {
-                "inside": f"filter(links, u -> {internal})",
-                "outside": f"filter(links, u -> not {internal})",
+                "inside": f"filter(links, u -> live and {internal})",
+                "outside": f"filter(links, u -> live and not {internal})",
                 "canonical": f"coalesce({U.resolve_url('base', 'canonical_href')}, canonical_href)",
                 "title": "coalesce(title_text, og_title, twitter_title)",
                 "title_source": "case when title_text is not null then 'title'"
@@ -257,7 +263,7 @@ def _final(df: DataFrame) -> DataFrame:
         "seo_signals": f"if(live, {_signals()}, null)",
     }
     return df.selectExpr(
-        *KEYS, *[f"{computed.get(f, f)} as {f}" for f in PAGE_FIELDS], "likely_js_shell"
+        *KEYS, *[f"{computed.get(f, f)} as {f}" for f in PAGE_FIELDS], *HELPERS
     )
 
 

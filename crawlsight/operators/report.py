@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from crawlsight.functions import text as X
 from crawlsight.functions.sql import lit, strings
 from crawlsight.operators.checks import AUDIT, issue_urls
+from crawlsight.operators.facts import HELPERS
 from crawlsight.operators.metrics import page_overview, schema_types
 from crawlsight.operators.score import severity_counts
 from crawlsight.sources.store import iso
@@ -386,7 +387,7 @@ def full_audit_lines(audits: DataFrame, issues: DataFrame, facts: DataFrame, che
             8: ["']}'"],
         },
     )
-    fields = ", ".join(f"'{c}', {c}" for c in facts.columns if c not in (*AUDIT, "page_ord", "depth", "likely_js_shell"))
+    fields = ", ".join(f"'{c}', {c}" for c in facts.columns if c not in (*AUDIT, "page_ord", "depth", *HELPERS))
     pages = _json_items(facts, "1", _PLACE.format("page_ord", "0"), f"to_json(named_struct({fields}), {_KEEP})")
     result = f"to_json(named_struct('analyzer', analyzer, 'metrics', parse_json(metrics)), {_KEEP})"
     results = _json_items(checks, "5", _PLACE.format("xxhash64(analyzer)", "0"), result)

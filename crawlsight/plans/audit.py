@@ -63,8 +63,9 @@ def audit_sites(
     options: AuditOptions | None = None,
     registry: CheckRegistry | None = None,
     isolate: bool = False,
+    facts: DataFrame | None = None,
 ) -> AuditResult:
-    """Audits every site in ``fetches``.
+    """Audits every site in ``fetches``. Staged page facts of them may be given, so no page is parsed again.
 
     Facts and issues are staged once because the aggregates, the report and the
     comparison all read them. Records that belong to no audit are in ``rejected``
@@ -75,7 +76,7 @@ def audit_sites(
     registry = registry or CheckRegistry()
     rejected = rejects(fetches)
     fetches = fetches.filter(USABLE)
-    facts = stage(page_facts(fetches), "page_facts")
+    facts = stage(page_facts(fetches), "page_facts") if facts is None else facts.filter(USABLE)
     narrow = fetches.drop("html")
     issues = stage(run_checks(Context(facts, narrow, options), registry, isolate), "issues")
     names = strings(registry.names())

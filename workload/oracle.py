@@ -58,16 +58,19 @@ r AS (SELECT f.*, 'b:' || seed AS audit_id,
          WHEN p % 9 = 4 THEN NULL ELSE 'title' END AS title_source,
     CASE WHEN p % 18 = 4 THEN 'Open graph title of page ' || p END AS og_title,
     CASE WHEN p % 36 = 13 THEN 'Twitter title of page ' || p END AS twitter_title,
-    CASE WHEN p % 12 = 0 THEN 'Open graph description number ' || p WHEN p % 4 = 0 THEN NULL
+    CASE WHEN p % 12 = 0 THEN 'Open graph description number ' || p
+         WHEN p % 12 = 8 THEN 'Short ’n'' sweet, number ' || p WHEN p % 4 = 0 THEN NULL
          WHEN p % 3 = 0 THEN {strip("d.text")} ELSE repeat('d', CAST(60 + p % 120 AS INT)) END AS description,
-    CASE WHEN p % 12 = 0 THEN 'og:description' WHEN p % 4 = 0 THEN NULL ELSE 'description' END AS description_source,
+    CASE WHEN p % 12 = 0 THEN 'og:description' WHEN p % 12 = 8 THEN 'twitter:description'
+         WHEN p % 4 = 0 THEN NULL ELSE 'description' END AS description_source,
     CASE WHEN p % 12 = 0 THEN 'Open graph description number ' || p END AS og_description,
     CASE WHEN p % 13 = 5 THEN 0 ELSE 1 END + CASE WHEN p % 7 = 0 THEN 1 ELSE 0 END AS h1,
     CASE WHEN p % 6 IN (1, 2) THEN 1 ELSE 0 END AS h2,
     CASE p % 6 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS h3,
     p % 4 AS images, (p % 4) // 2 AS no_alt,
     CASE WHEN p % 3 = 0 THEN o || '/c/' || p END AS canonical,
-    CASE p % 5 WHEN 0 THEN 'NoIndex, nofollow' WHEN 1 THEN 'index' END AS robots,
+    CASE p % 5 WHEN 0 THEN 'NoIndex, nofollow' WHEN 1 THEN 'index' WHEN 2 THEN 'noarchive' END AS robots,
+    CASE WHEN p % 14 = 3 THEN 1 ELSE 0 END AS h4,
     p % 8 IN (0, 1, 2) AS has_json_ld,
     CASE p % 8 WHEN 0 THEN ['Article', 'Person'] WHEN 2 THEN ['Product', 'Thing'] ELSE [] END AS types,
     CASE WHEN p % 10 = 9 THEN [] ELSE links END AS inside,

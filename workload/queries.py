@@ -62,14 +62,15 @@ def rich_facts(spark, d):
     return page_facts(rich_fetches(spark, d))
 
 
-def with_probes(fetches: DataFrame) -> DataFrame:
-    work = stage(CR.external_worklist(fetches), "worklist")
+def with_probes(fetches: DataFrame, facts: DataFrame) -> DataFrame:
+    work = stage(CR.external_worklist(facts), "worklist")
     return fetches.unionByName(CR.broken_probes(work, SN.probes(work)))
 
 
 def rich_audit(spark, d, run_ts="2024-02-01 00:00:00") -> A.AuditResult:
-    fetches = stage(rich_fetches(spark, d), "fetches")
-    return A.audit_sites(with_probes(fetches), run_ts)
+    fetches = rich_fetches(spark, d)
+    facts = stage(page_facts(fetches), "page_facts")
+    return A.audit_sites(with_probes(fetches, facts), run_ts, facts=facts)
 
 
 def plain_audit(spark, d, run_ts="2024-01-01 00:00:00") -> A.AuditResult:
@@ -269,7 +270,13 @@ def render_worklist(spark, d):
 
 @query(
     "SELECT p AS page_id, CAST(length(title) AS INT) AS title_length, CAST(length(description) AS INT) AS"
-    " meta_description_length, CAST(h1 AS INT) AS h1_count, CAST(h1 + h2 + h3 AS INT) AS heading_count,"
+    " meta_description_length, CAST(h1 AS INT) AS h1_count, CAST(h2 AS INT) AS h2_count, CAST(h3 AS INT) AS h3_count,"
+    " CAST(h4 AS INT) AS h4_count, 0 AS h5_count, 0 AS h6_count, CAST(h1 + h2 + h3 + h4 AS INT) AS heading_count,"
+    " CAST(len(inside) AS INT) AS internal_link_occurrences, CAST(ext_n > 0 AS INT) AS unique_external_links,"
+    " true AS has_lang, false AS js_rendered, false AS likely_js_shell,"
+    " array_to_string(list_filter([CASE title_source WHEN 'og:title' THEN 'title_fallback_og' WHEN 'twitter:title' THEN 'title_fallback_twitter' END,"
+    " CASE description_source WHEN 'og:description' THEN 'meta_description_fallback_og' WHEN 'twitter:description' THEN 'meta_description_fallback_twitter' END,"
+    " CASE WHEN p % 8 = 3 THEN 'json_ld_present_but_unparsed' END], lambda w: w IS NOT NULL), '|') AS warnings,"
     " CAST(images AS INT) AS image_count, CAST(no_alt AS INT) AS images_missing_alt,"
     " CAST(len(list_distinct(inside)) AS INT) AS unique_internal_links, CAST(ext_n AS INT) AS external_link_occurrences,"
     " CAST(len(types) AS INT) AS schema_type_count, canonical IS NOT NULL AS has_canonical,"
@@ -282,9 +289,11 @@ def seo_signals(spark, d):
         "title_length", "meta_description_length", "h1_count", "heading_count", "image_count",
         "images_missing_alt", "unique_internal_links", "external_link_occurrences",
         "schema_type_count", "has_canonical", "has_robots_meta", "has_viewport",
+        "h2_count", "h3_count", "h4_count", "h5_count", "h6_count", "internal_link_occurrences",
+        "unique_external_links", "has_lang", "js_rendered", "likely_js_shell",
     )
     return rich_facts(spark, d).filter("not is_broken").selectExpr(
-        "page_ord as page_id", *[f"seo_signals.{n}" for n in names]
+        "page_ord as page_id", *[f"seo_signals.{n}" for n in names], "array_join(extraction_warnings, '|') as warnings"
     )
 
 
@@ -299,9 +308,8 @@ def one_check(spark, d, name, fields=ISSUE_FIELDS):
     facts = page_facts(fetches)
     check = [c for c in default_checks() if c.name == name]
     if check[0].site_issues:
-        fetches = stage(fetches, "fetches")
-        facts = stage(page_facts(fetches), "page_facts")
-        fetches = with_probes(fetches) if name == "links" else fetches
+        facts = stage(facts, "page_facts")
+        fetches = with_probes(fetches, facts) if name == "links" else fetches
     return run_checks(Context(facts, fetches, AuditOptions()), CheckRegistry(check)).select(*fields)
 
 
@@ -460,8 +468,8 @@ def severity_counts(spark, d):
 
 @query(_SCORED, O.ISSUES)
 def site_score(spark, d):
-    fetches = with_probes(stage(rich_fetches(spark, d), "fetches"))
-    return SC.score_sites(page_facts(fetches), fetches.drop("html"))
+    facts = stage(rich_facts(spark, d), "page_facts")
+    return SC.score_sites(facts, with_probes(rich_fetches(spark, d), facts).drop("html"))
 
 
 @query(
@@ -499,12 +507,12 @@ def _live_sum(x):
     f" {_live_sum('len(list_distinct(inside))')} AS total_internal_links_unique,"
     f" {_live_sum('CASE WHEN ext_n > 0 THEN 1 ELSE 0 END')} AS total_external_links_unique,"
     f" {_live_sum('len(inside)')} AS total_internal_link_occurrences,"
-    f" {_live_sum('ext_n')} AS total_external_link_occurrences FROM r GROUP BY 1",
+    f" {_live_sum('ext_n')} AS total_external_link_occurrences, CAST(0 AS BIGINT) AS js_shell_pages, CAST(0 AS BIGINT) AS js_rendered_pages FROM r GROUP BY 1",
     O.RICH,
 )
 def coverage_totals(spark, d):
     return M.structured_totals(rich_facts(spark, d)).drop(
-        "seed_url", "total_word_count", "js_shell_pages", "js_rendered_pages"
+        "seed_url", "total_word_count"
     )
 
 
@@ -610,23 +618,42 @@ _PAGE_FIGURES = (
 @query(
     f"SELECT p AS page_ord, final_url AS url, coalesce(status_code, -1) AS status_code, NOT live AS is_broken, {_PAGE_FIGURES},"
     " CAST(CASE WHEN live THEN len(list_distinct(inside)) ELSE 0 END AS INT) AS internal_links,"
-    " CASE WHEN live THEN array_to_string(types, '|') ELSE '' END AS schema_types FROM r",
+    " CASE WHEN live THEN array_to_string(types, '|') ELSE '' END AS schema_types,"
+    " CASE WHEN live THEN title END AS title, CASE WHEN live THEN title_source END AS title_source,"
+    " CASE WHEN live THEN description END AS meta_description, CASE WHEN live THEN canonical END AS canonical,"
+    " CAST(CASE WHEN live THEN h2 ELSE 0 END AS INT) AS h2_count, CAST(CASE WHEN live THEN h3 ELSE 0 END AS INT) AS h3_count,"
+    " CAST(CASE WHEN live THEN len(inside) ELSE 0 END AS INT) AS internal_link_occurrences,"
+    " CAST(CASE WHEN live AND ext_n > 0 THEN 1 ELSE 0 END AS INT) AS external_links,"
+    " CAST(CASE WHEN live THEN ext_n ELSE 0 END AS INT) AS external_link_occurrences,"
+    " live AND has_json_ld AS has_json_ld, false AS js_rendered FROM r",
     O.RICH,
 )
 def page_overview(spark, d):
     return M.page_overview(rich_facts(spark, d)).selectExpr(
-        "page_ord", "url", "coalesce(status_code, -1) as status_code", "is_broken", "title_length",
+        "title", "title_source", "meta_description", "canonical", "h2_count", "h3_count", "internal_link_occurrences",
+        "external_links", "external_link_occurrences", "has_json_ld", "js_rendered", "page_ord", "url", "coalesce(status_code, -1) as status_code", "is_broken", "title_length",
         "meta_description_length", "h1_count", "image_count", "images_missing_alt", "internal_links",
         "array_join(schema_types, '|') as schema_types",
     )
 
 
 @query(
-    f"SELECT p AS page_ord, url, final_url, NOT live AS is_broken, {_PAGE_FIGURES} FROM r", O.RICH
+    f"SELECT p AS page_ord, url, final_url, NOT live AS is_broken, {_PAGE_FIGURES}, coalesce(status_code, -1) AS status_code,"
+    " CASE WHEN live THEN title END AS title, CASE WHEN live THEN title_source END AS title_source,"
+    " CASE WHEN live THEN description END AS meta_description, CASE WHEN live THEN description_source END AS meta_description_source,"
+    " CASE WHEN live THEN canonical END AS canonical, CASE WHEN live THEN robots END AS robots_meta,"
+    " CAST(CASE WHEN live THEN h2 ELSE 0 END AS INT) AS h2_count, CAST(CASE WHEN live THEN h3 ELSE 0 END AS INT) AS h3_count,"
+    " CAST(CASE WHEN live THEN len(list_distinct(inside)) ELSE 0 END AS INT) AS internal_links_unique,"
+    " CAST(CASE WHEN live THEN len(inside) ELSE 0 END AS INT) AS internal_link_occurrences,"
+    " CAST(CASE WHEN live AND ext_n > 0 THEN 1 ELSE 0 END AS INT) AS external_links_unique,"
+    " CAST(CASE WHEN live THEN ext_n ELSE 0 END AS INT) AS external_link_occurrences,"
+    " live AND has_json_ld AS has_json_ld, live AND p % 2 = 0 AS has_viewport, false AS js_rendered FROM r", O.RICH
 )
 def page_summaries(spark, d):
-    return M.page_summaries(rich_facts(spark, d)).select(
-        "page_ord", "url", "final_url", "is_broken", "title_length", "meta_description_length",
+    return M.page_summaries(rich_facts(spark, d)).selectExpr(
+        "coalesce(status_code, -1) as status_code", "title", "title_source", "meta_description", "meta_description_source", "canonical", "robots_meta",
+        "h2_count", "h3_count", "internal_links_unique", "internal_link_occurrences", "external_links_unique",
+        "external_link_occurrences", "has_json_ld", "has_viewport", "js_rendered", "page_ord", "url", "final_url", "is_broken", "title_length", "meta_description_length",
         "h1_count", "image_count", "images_missing_alt",
     )
 
@@ -1114,7 +1141,7 @@ def broken_probes(spark, d):
     O.RICH,
 )
 def crawl_stats(spark, d):
-    return CR.crawl_stats(stage(rich_fetches(spark, d), "fetches")).drop("seed_url")
+    return CR.crawl_stats(rich_fetches(spark, d)).drop("seed_url")
 
 
 @query(

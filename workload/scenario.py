@@ -38,7 +38,9 @@ _HEAD = """concat(
       else concat('<meta content=''', repeat('d', cast(60 + p % 120 as int)), ''' name=description >') end,
  if(p % 3 = 0, concat('<link rel="alternate canonical" href="/c/', p, '/">'), ''),
  case p % 5 when 0 then '<meta name="robots" content="NoIndex, nofollow">'
-            when 1 then '<META NAME="ROBOTS" CONTENT="index">' else '' end,
+            when 1 then '<META NAME="ROBOTS" CONTENT="index">'
+            when 2 then '<meta name="GoogleBot" content="noarchive">' else '' end,
+ if(p % 12 = 8, concat('<meta name="twitter:description" content="Short &#146;n&#x27; sweet, number ', p, '">'), ''),
  case p % 8 when 0 then '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Article","author":{"@type":"Person"}}</script>'
             when 1 then '<script type="application/ld+json">{"name":"x"}</script>'
             when 2 then '<script type="application/ld+json">[{"@type":["Product","Thing",],/* c */}]</script>'
@@ -54,6 +56,7 @@ _BODY = """concat(
  case p % 6 when 1 then '<h2>Second</h2>' when 2 then '<h2>Second</h2><h3>Third</h3>'
    when 3 then '<h3>Third &amp; last</h3>' when 4 then '<h2> &nbsp; </h2>' when 5 then '<h3>Third</h3><h3>Other</h3>' else '' end,
  if(p % 7 = 0, '<h1>Extra <b>head</b></h1>', ''),
+ if(p % 14 = 3, '<h4>Open &check;<p>not part of it</p>', ''),
  repeat(concat('<a href="https://ext', p % 5, '.example.org/x/">out</a>'), cast(p % 9 as int)),
  '<a href="mailto:a@b.example">m</a><a href="#top">t</a>')"""
 
