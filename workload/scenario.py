@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    """The pages, dealt out evenly: a file holds one row group, and parsing takes far longer than moving a page."""
+    return table(spark, sf_dir, "pages").repartition("page_id")
 
 
 def plain_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ def probes(worklist: DataFrame) -> DataFrame:
 
 def document_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages without headings, images and links; every second has an app root."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     return pages_as_fetches(
         docs.selectExpr(
             "doc_id as page_id",
