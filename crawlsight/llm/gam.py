@@ -62,9 +62,12 @@ class Model:
 
 
 def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
-    """Borders between quantiles; 0 is a bin of its own, as most counts are 0."""
-    marks = np.quantile(values[values > 0], np.arange(1, bins - 1) / (bins - 1)) if (values > 0).any() else []
-    return np.unique(np.concatenate([[0.0], marks]))
+    """Borders between quantiles of the positive values. Most counts are 0, which has a bin
+    of its own that reaches halfway to the smallest value seen."""
+    positive = values[values > 0]
+    if not len(positive):
+        return np.zeros(1)
+    return np.unique(np.concatenate([[positive.min() / 2], np.quantile(positive, np.arange(1, bins - 1) / (bins - 1))]))
 
 
 def _tree(g: np.ndarray, h: np.ndarray, leaves: int, smooth: float) -> np.ndarray:

@@ -14,7 +14,7 @@ The list is one Spark conditional expression, applied to all documents.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +92,24 @@ def learn(stats: DataFrame, labels: DataFrame, options: RuleOptions = RuleOption
         rule = _pruned(open_rows, _grown(open_rows.filter("growing"), cuts, options))
         if rule is None or rule.low < options.min_covered or rule.low < options.min_precision * (rule.low + rule.good):
             break
-        rules.append(rule)
+        rules.append(_centred(open_rows, rule))
     return DecisionList(tuple(rules))
 
 
+def _centred(rows: DataFrame, rule: Rule) -> Rule:
+    """Thresholds halfway between the values on both sides: the same rows are covered, and
+    a text that barely differs from the uncovered ones stays with them."""
+    sides = [f(F.expr(f"if({x.feature} {op} {x.threshold!r}D, {x.feature}, null)")).alias(f"{side}{k}")
+             for k, x in enumerate(rule.literals) for side, op, f in (("a", "<=", F.max), ("b", ">", F.min))]
+    got = rows.agg(*sides).first()
+    moved = []
+    for k, x in enumerate(rule.literals):
+        a, b = got[f"a{k}"], got[f"b{k}"]
+        middle = x.threshold if a is None or b is None else (a + b) / 2
+        moved.append(replace(x, threshold=middle if a is None or b is None or a <= middle < b else x.threshold))
+    return replace(rule, literals=tuple(moved))
+
+
 def _grown(rows: DataFrame, cuts: dict[str, list[float]], options: RuleOptions) -> list[Literal]:
     """Literals of most information gain, one after the other."""
     chosen: list[Literal] = []

@@ -62,6 +62,15 @@ def test_rules_learn_and_leave_clean_rows(corpus):
     assert all(r.kept != (r.base_failed or r.rule is not None) for r in got.values())
 
 
+def test_one_symbol_is_no_reason(spark, corpus):
+    """Thresholds keep their distance from clean rows, which have no symbols at all here."""
+    docs, labels = corpus
+    text = docs.filter("doc_id = 1").first().text.replace(" ", " & ", 1)
+    more = docs.unionByName(spark.createDataFrame([(-1, text, "en", "s", 0)], docs.schema))
+    assert rules.judge(more, labels).filter("doc_id = -1").first().kept
+    assert gam.classify(more, labels).filter("doc_id = -1").first().predicted == 1
+
+
 def test_rules_are_ordered_and_pruned(corpus):
     docs, labels = corpus
     learned = rules.learn(rules.stage(rules.statistics(docs), "t"), labels)
