@@ -80,11 +80,11 @@ def dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def kept_documents(docs: DataFrame, salts: int = SALTS, broadcast_rows: int = 2_000_000) -> DataFrame:
+def kept_documents(docs: DataFrame, salts: int = SALTS, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents that stay, with all their columns, one row per group.
 
     The rows that go are known by id, digest and length. While their list is short (at
-    most ``broadcast_rows`` of 64 bytes) it goes to the documents, else both are shuffled.
+    most ``broadcast_rows``, about 60 MB) it goes to the documents, else both are shuffled.
     """
     key = [F.col("doc_id").alias("_id"), F.expr("cast(length(coalesce(text, '')) as bigint)").alias("_len"), F.expr(normalised("text")).alias("content")]
     mine = docs.select(*key).select("_id", "_len", _digest("content"), F.xxhash64("content").alias("fingerprint"))

@@ -49,7 +49,7 @@ class NearOptions:
     rounds: int = 2  # leaders that members are compared with before the rest of a list
     pair_list: int = 64  # members up to which the rest of a list is paired by a join
     block: int = 250_000  # shingles of a block of a longer list
-    broadcast_rows: int = 2_000_000  # id lists up to this length (32 MB) are broadcast
+    broadcast_rows: int = 500_000  # lists of ids up to this length (about 60 MB) are broadcast
 
 
 # --- Sketches ---------------------------------------------------------------

@@ -140,6 +140,7 @@ def redacted(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
         def one(t):
             if t is None:
                 return None
+            t = bytes(t).decode("utf-8", "replace")
             out, upto = [], 0
             for s in sorted((s for s in spans(t) if s.kind in kinds), key=lambda s: (s.start, -s.end)):
                 if s.start >= upto:
@@ -149,7 +150,7 @@ def redacted(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
 
         return texts.map(one)
 
-    return docs.withColumn("text", run("text"))
+    return docs.withColumn("text", run(F.col("text").cast("binary")))
 
 
 def digest(found: DataFrame) -> DataFrame:
