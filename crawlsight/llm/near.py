@@ -11,7 +11,7 @@ What keeps this complete and still far from all pairs:
   six standard deviations below (exactly where sets fit into sketches). Sketches of s
   values that share c also share one among the rarest s - c + 1 of each (prefix filter),
   so only those are indexed. Any value may be among them; none is dropped for being frequent.
-* Values found in one sketch only bound what a set can share with any other.
+* Pairs are left out before the estimate only if their sizes rule the similarity out.
 * In each list all members are first compared with one leader, the member whose values
   are least its own, then those of other components with further leaders. Members of
   one component need no links among each other.
@@ -129,11 +129,10 @@ def _only(df: DataFrame, ids: DataFrame, on: str, options: NearOptions) -> DataF
 
 
 def _index(nodes: DataFrame, options: NearOptions) -> DataFrame:
-    """Inverted lists: value, id, n, own, m, for the rarer values of each sketch.
+    """Inverted lists: value, id, n, own, for the rarer values of each sketch.
 
-    ``own`` counts values found in no other sketch. ``m`` bounds how much of the set
-    others can share: exact for a set within its sketch, else five standard deviations
-    above the estimate.
+    ``own`` counts values found in no other sketch. Larger sets may still hold them above
+    their sketch, so it says nothing about what whole sets share.
     """
     k, t = options.sketch, options.similarity
     values = nodes.select("id", F.expr("n * 128 + size(sketch)").alias("meta"), F.explode("sketch").alias("value"))
@@ -146,22 +145,13 @@ def _index(nodes: DataFrame, options: NearOptions) -> DataFrame:
         f" floor({t * k}D - 6 * sqrt({t * (1 - t) * k}D * (1 - {k} * {t}D / n))))"
     )
     rows = rows.select("id", "n", "s", (F.col("s") - F.size("v")).alias("own"), "v", F.expr(common).alias("common"))
-    share = "own / s"
-    rows = rows.select(
-        "id",
-        "n",
-        "own",
-        F.expr(
-            f"if(n = s, n - own, n * (1 - greatest(0D, {share} - 5 * sqrt({share} * (1 - {share}) / s * (1 - s / n)))))"
-        ).alias("m"),
-        F.explode(F.expr("slice(v, 1, cast(greatest(0, s - common + 1 - own) as int))")).alias("e"),
-    )
-    return rows.select("id", "n", "own", "m", F.col("e.value").alias("value"))
+    rows = rows.select("id", "n", "own", F.explode(F.expr("slice(v, 1, cast(greatest(0, s - common + 1 - own) as int))")).alias("e"))
+    return rows.select("id", "n", "own", F.col("e.value").alias("value"))
 
 
 def _alike(a: str, b: str, similarity: float) -> str:
-    """SQL: what both sets can share allows the similarity."""
-    return f"{1 + similarity}D * least({a}m, {b}m) >= {similarity}D * ({a}n + {b}n) - 1e-6D"
+    """SQL: the sizes of both sets allow the similarity."""
+    return f"least({a}n, {b}n) >= {similarity}D * greatest({a}n, {b}n) - 1e-6D"
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, options: NearOptions) -> DataFrame:
@@ -310,8 +300,8 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
     # The first leader is the member whose values are least its own.
     leaders = index.groupBy("value").agg(F.min(F.struct("own", "id")).alias("l"), F.count("*").alias("members")).filter("members > 1")
     lists = index.join(leaders.select("value", F.col("l.id").alias("leader")), "value")
-    lists = stage(lists.select("value", "id", "n", "m", "leader"), "near_lists")
-    heads = lists.filter("id = leader").select("value", F.struct("n", "m").alias("l"))
+    lists = stage(lists.select("value", "id", "n", "leader"), "near_lists")
+    heads = lists.filter("id = leader").select("value", F.struct("n").alias("l"))
     to_leader = lists.filter("id <> leader").join(heads, "value").filter(_alike("", "l.", near))
     stars = to_leader.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tested = stage(_verified(_estimated(stars, nodes, options.distance, options), docs, options), "near_stars")
@@ -320,7 +310,7 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
     for turn in range(1, options.rounds):
         # Other leaders, different ones from list to list, for members that aren't in their component yet.
         rooted = _rooted(lists, roots)
-        pick = rooted.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", "value", F.lit(turn)).alias("h"), "id", "n", "m", "root")).alias("l"))
+        pick = rooted.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", "value", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l"))
         pairs = rooted.join(pick, "value").filter(f"root <> l.root and {_alike('', 'l.', near)}")
         pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
         more = _verified(_estimated(pairs, nodes, options.estimate, options), docs, options).filter(F.col("jaccard") >= near)
@@ -333,7 +323,7 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
         _rooted(lists, roots)
         .filter("id <> leader")
         .join(known, F.expr("least(id, leader) = _a and greatest(id, leader) = _b"), "left")
-        .select("value", "id", "n", "m", F.expr("coalesce(d, 1D)").alias("d"), "root")
+        .select("value", "id", "n", F.expr("coalesce(d, 1D)").alias("d"), "root")
     )
     length = placed.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     length = length.filter("r0 <> r1").select("value", "members", "weight")

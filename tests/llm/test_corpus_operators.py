@@ -265,6 +265,20 @@ def test_near_family_with_links_at_the_bound(spark, limit):
     assert got == brute_components(texts, 2)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_isolated_pairs_with_appended_words(spark, size):
+    """Pairs that share nothing with other texts, one of them longer than the other by up to a quarter."""
+    texts, k = {}, 0
+    for n in range(55, 251, 15):
+        for more in (0, 0.05, 0.1, 0.15, 0.2, 0.22, 0.25):
+            words = [f"p{k}w{j}" for j in range(n + size - 1)]
+            added = [f"p{k}a{j}" for j in range(max(1, int(n * more)))]
+            texts[k], texts[k + 1], k = " ".join(words), " ".join(words + added), k + 2
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, near.NearOptions(shingle=size)).collect()}
+    assert got == brute_components(texts, size)
+
+
 def test_near_on_odd_rows(odd, clashing, none, same):
     got = near.near_duplicates(odd)
     same(got, near.near_duplicates(clashing))
