@@ -17,7 +17,8 @@ What keeps this complete and still far from all pairs:
   one component need no links among each other.
 * The rest of a list, the members far from the leader, are compared with each other.
   With members near the leader they can only be linked if the distances differ by at
-  most 0.2 (Jaccard distance is a metric), so only those pairs are compared.
+  most 0.2 (Jaccard distance is a metric), so only those pairs are compared. Where the
+  distance wasn't taken, sizes alone decide.
 
 * NULL, blank text: an empty set, linked with nothing, kept. One word is one shingle.
 * NULL ids: never linked, component_id NULL, kept.
@@ -154,6 +155,11 @@ def _alike(a: str, b: str, similarity: float) -> str:
     return f"least({a}n, {b}n) >= {similarity}D * greatest({a}n, {b}n) - 1e-6D"
 
 
+def _far(a: str, options: NearOptions) -> str:
+    """SQL: not known to be similar to the leader."""
+    return f"({a}d is null or {a}d > {1 - options.similarity}D)"
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, options: NearOptions) -> DataFrame:
     """Pairs (a, b) whose similarity, estimated from the sketch of the union, is at least ``least``."""
     k = options.sketch
@@ -269,7 +275,7 @@ def _long_lists(members: DataFrame, docs: DataFrame, options: NearOptions) -> Da
     texts = _only(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), ids, "doc_id", options)
     sets = texts.mapInArrow(hashed, "_id bigint, hashes array<bigint>")
     blocks = f"cast(ceil(weight / {options.block}D) as int)"
-    rows = members.select("value", "id", "root", F.expr(f"d > {1 - options.similarity}D").alias("far"), F.expr(blocks).alias("parts"))
+    rows = members.select("value", "id", "root", F.expr(_far("", options)).alias("far"), F.expr(blocks).alias("parts"))
     rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
     rows = rows.select("value", "id", "root", "far", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
     rows = rows.join(sets, F.expr("id = _id")).select(
@@ -302,7 +308,7 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
     lists = index.join(leaders.select("value", F.col("l.id").alias("leader")), "value")
     lists = stage(lists.select("value", "id", "n", "leader"), "near_lists")
     heads = lists.filter("id = leader").select("value", F.struct("n").alias("l"))
-    to_leader = lists.filter("id <> leader").join(heads, "value").filter(_alike("", "l.", near))
+    to_leader = lists.filter("id <> leader").join(heads, "value").filter(_alike("", "l.", 1 - 2 * far_apart))
     stars = to_leader.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tested = stage(_verified(_estimated(stars, nodes, options.distance, options), docs, options), "near_stars")
     edges = tested.filter(F.col("jaccard") >= near).select("a", "b")
@@ -317,13 +323,13 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
         edges = stage(edges.unionByName(more.select("a", "b")), "near_edges")
         roots = stage(components(edges), "near_roots")
 
-    # Members of each list with their distance from the leader and their component so far.
+    # Members of each list with their distance from the leader, if it was taken, and their component so far.
     known = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("jaccard")).alias("d"))
     placed = (
         _rooted(lists, roots)
         .filter("id <> leader")
         .join(known, F.expr("least(id, leader) = _a and greatest(id, leader) = _b"), "left")
-        .select("value", "id", "n", F.expr("coalesce(d, 1D)").alias("d"), "root")
+        .select("value", "id", "n", "d", "root")
     )
     length = placed.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     length = length.filter("r0 <> r1").select("value", "members", "weight")
@@ -331,10 +337,9 @@ def links(docs: DataFrame, sketched: DataFrame, options: NearOptions) -> DataFra
     short, long = placed.filter(f"members <= {options.pair_list}"), placed.filter(f"members > {options.pair_list}")
     x, y = short.alias("x"), short.alias("y")
     within = f"x.value = y.value and x.root <> y.root and {_alike('x.', 'y.', near)}"
-    far = f"x.d > {far_apart}D"
-    rest = x.filter(far).join(y.filter(f"y.d > {far_apart}D"), F.expr(f"{within} and x.id < y.id"))
-    middle = x.filter(f"{far} and x.d < {2 * far_apart}D").join(
-        y.filter(f"y.d <= {far_apart}D"), F.expr(f"{within} and x.d - y.d <= {far_apart}D + 1e-9D")
+    rest = x.filter(_far("x.", options)).join(y.filter(_far("y.", options)), F.expr(f"{within} and x.id < y.id"))
+    middle = x.filter(f"{_far('x.', options)} and (x.d is null or x.d <= {2 * far_apart}D + 1e-9D)").join(
+        y.filter(f"not {_far('y.', options)}"), F.expr(f"{within} and (x.d is null or x.d - y.d <= {far_apart}D + 1e-9D)")
     )
     pair = [F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")]
     more = _estimated(rest.select(*pair).unionByName(middle.select(*pair)).distinct(), nodes, options.estimate, options)

@@ -279,6 +279,31 @@ def test_near_isolated_pairs_with_appended_words(spark, size):
     assert got == brute_components(texts, size)
 
 
+def bags_around_a_leader(case, salt):
+    """Word sets: leader 0 and 40 copies of it; 41 near the leader; 42 near 41 only; others that keep all lists but theirs long."""
+    if case == "smaller":  # 42 within 41 within 0: similarity to the leader 41/60, ruled out by size at 0.8
+        a, b, c = range(60), range(50), range(41)
+    else:  # similarity to the leader exactly 0.6, both 0.8 similar to 41
+        a, b, c = range(44), range(55), range(11, 55)
+    frequent = (set(a) | set(b) | set(c)) - (set(a) & set(b) & set(c))
+    sets = {0: set(a), 41: set(b), 42: set(c)}
+    sets |= {k: {*a, f"own{k}"} for k in range(1, 41)}
+    sets |= {k: {*frequent, *(f"other{k}x{j}" for j in range(25))} for k in range(43, 103)}
+    return {k: " ".join(f"{salt}{w}" for w in s) for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("case", ["smaller", "tie"])
+def test_near_member_whose_distance_from_the_leader_is_wide(spark, case):
+    """Several draws, since another leader of a list may find the link by chance."""
+    for salt in "uvw":
+        texts = bags_around_a_leader(case, salt)
+        df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, near.NearOptions(shingle=1)).collect()}
+        want = brute_components(texts, 1)
+        assert want[42] == (len(texts[42].split()), 0)
+        assert got == want
+
+
 def test_near_on_odd_rows(odd, clashing, none, same):
     got = near.near_duplicates(odd)
     same(got, near.near_duplicates(clashing))
