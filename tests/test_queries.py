@@ -37,6 +37,12 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(rows, key=repr) == sorted(expected, key=repr)
 
 
+def test_metric_averages_complete_the_metrics(spark, db):
+    test_query_equals_sql(spark, db, "metric_averages")
+    names = {r.metric for r in entry.queries()["metric_averages"](spark, SF).select("metric").distinct().collect()}
+    assert names == {"avg_title_length", "avg_meta_description_length", "alt_coverage_pct"}
+
+
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -581,7 +581,7 @@ _METRICS = " UNION ALL ".join(
 
 @query(_METRICS, O.RICH + "," + O.EXTERNAL)
 def check_metrics(spark, d):
-    """Rounded averages are left to the unit tests: SQL engines round ties differently."""
+    """Rounded averages are rows of ``metric_averages``: SQL engines round ties differently."""
     result = rich_audit(spark, d)
     return result.metrics().filter(
         "metric not in ('avg_title_length', 'avg_meta_description_length', 'alt_coverage_pct')"
@@ -607,6 +607,35 @@ def metrics_by_check(spark, d):
     ).selectExpr("audit_id", "analyzer", "metric", "case v when 'true' then 1D when 'false' then 0D else cast(v as double) end as value")
 
 
+def _average(analyzer: str, metric: str, value: str) -> str:
+    """One decimal by the exact binary value, ties to even, as formatting does it."""
+    rounded = f"CAST(format('{{:.1f}}', CAST({value} AS DOUBLE)) AS DOUBLE)"
+    return f"SELECT audit_id, '{analyzer}' AS analyzer, '{metric}' AS metric, {rounded} AS value, {rounded} AS json_value FROM r GROUP BY 1"
+
+
+def _mean_length(x: str) -> str:
+    return f"coalesce(sum(length({x})) FILTER (WHERE live AND {x} <> '') / nullif({_n(x + " <> ''")}, 0), 0)"
+
+
+@query(
+    " UNION ALL ".join([
+        _average("title", "avg_title_length", _mean_length("title")),
+        _average("meta_description", "avg_meta_description_length", _mean_length("description")),
+        _average("image_alt", "alt_coverage_pct",
+                 f"coalesce(100 * ({_live_sum('images')} - {_live_sum('no_alt')}) / nullif({_live_sum('images')}, 0), 100)"),
+    ]),
+    O.RICH,
+)
+def metric_averages(spark, d):
+    """The rounded averages that ``check_metrics`` and ``metrics_by_check`` leave out, in long form and from the JSON objects."""
+    result = rich_audit(spark, d)
+    averages = "metric in ('avg_title_length', 'avg_meta_description_length', 'alt_coverage_pct')"
+    cells = result.metrics_json().selectExpr("audit_id", "analyzer", "explode(from_json(metrics, 'map<string,string>')) as (metric, v)")
+    cells = cells.filter(averages).selectExpr("audit_id", "analyzer", "metric", "cast(v as double) as json_value")
+    long = result.metrics().filter(averages).select("audit_id", "analyzer", "metric", "value")
+    return long.join(cells, ["audit_id", "analyzer", "metric"], "full")
+
+
 _PAGE_FIGURES = (
     "CASE WHEN live THEN CAST(length(coalesce(title, '')) AS INT) ELSE 0 END AS title_length,"
     " CASE WHEN live THEN CAST(length(coalesce(description, '')) AS INT) ELSE 0 END AS meta_description_length,"
