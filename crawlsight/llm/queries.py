@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import exact, gam, lattice, mixing, near, packing, pii, rules, shards, urls
+from crawlsight.llm import exact, gam, lattice, mixing, near, packing, periodic, pii, resample, rules, shards, templates, urls
 from crawlsight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,57 @@ def op5_rarest_token_urls(spark, d):
 @query()
 def op6_checked_pii(spark, d):
     return pii.digest(pii.find(table(spark, d, "documents")))
+
+
+@query()
+def op11_periodic_runs(spark, d):
+    return periodic.digest(table(spark, d, "documents"))
+
+
+@query(
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+    b AS (SELECT *, regexp_replace(regexp_replace(a, '</?(p|h1|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS b FROM a),
+    c AS (SELECT *, regexp_replace(replace(replace(replace(b, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS c FROM b),
+    t AS (SELECT page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) AS text FROM c)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+    """
+)
+def op12_template_text(spark, d):
+    return templates.extract(table(spark, d, "pages"))
+
+
+#: DuckDB: unsigned CRC-32 of a text's UTF-8 bytes, by a table that the query makes.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, strlen({x})), lambda i: ('0x' || substr(hex({x}), 2 * i - 1, 2))::BIGINT)),"
+    " lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+)
+_FEATURES = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    f"""
+    WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, generate_series(1, 8)),
+      lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+    e AS (SELECT r, unnest(w) AS w FROM d),
+    b AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+    k AS (SELECT w, {_CRC.format(x="w")} % 10000 AS bucket FROM (SELECT w FROM e UNION SELECT w FROM b), tab),
+    s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (w) GROUP BY 1),
+    t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (w) GROUP BY 1),
+    c AS (SELECT i AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+    g AS (SELECT bucket, floor(1000::DOUBLE * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+      / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+    v AS (SELECT r, sum(gain)::BIGINT AS weight FROM e JOIN k USING (w) JOIN g USING (bucket) GROUP BY 1),
+    h AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+      ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN v USING (r)),
+    x AS (SELECT *, weight + floor(-1000::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+    n AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) END AS place,
+      count(*) FILTER (n_features >= 20) OVER () AS n FROM x)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM n
+    """
+)
+def op13_importance_resample(spark, d):
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
