@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlsight.functions.text import fixed1, signed1
@@ -41,6 +42,41 @@ def key_counts(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def changes(current: DataFrame, previous: DataFrame, pairs: DataFrame) -> DataFrame:
+    """New, resolved and unchanged issues of many comparisons in one shuffle.
+
+    ``pairs`` has current_audit_id and previous_audit_id (NULL: no baseline, no rows); an audit may
+    be the baseline of several others. The issues of both sides are one table, tagged, and a window
+    over each key tells which sides hold it. New and resolved issues keep their repeats; of an
+    unchanged key one row stays. ``side`` says which; keys are compared NULL-safe.
+    """
+    pairs = pairs.filter("previous_audit_id is not null").select("current_audit_id", "previous_audit_id")
+    fields = [c for c in current.columns if c not in ("saved_at", "seed_bucket")]
+    sides = [
+        rows.select(*fields).join(pairs, F.expr(f"audit_id = {of}")).withColumn("is_current", F.lit(is_current))
+        for rows, of, is_current in ((current, "current_audit_id", True), (previous, "previous_audit_id", False))
+    ]
+    key = W.partitionBy("current_audit_id", *KEY).orderBy("is_current")
+    whole = key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = sides[0].unionByName(sides[1]).select(
+        "*",
+        F.max("is_current").over(whole).alias("now"),
+        F.min("is_current").over(whole).alias("never_before"),
+        F.row_number().over(key).alias("nth"),
+    )
+    side = "case when never_before then 'new' when not now then 'resolved' when nth = 1 then 'unchanged' end"
+    return rows.withColumn("side", F.expr(side)).filter("side is not null").drop("is_current", "now", "never_before", "nth")
+
+
+def change_counts(rows: DataFrame) -> DataFrame:
+    """New, resolved and unchanged counts of each comparison in ``changes``."""
+    return rows.groupBy("current_audit_id").agg(
+        F.expr("count_if(side = 'new') as new_issues"),
+        F.expr("count_if(side = 'resolved') as resolved_issues"),
+        F.expr("count_if(side = 'unchanged') as unchanged_issue_count"),
+    )
+
+
 NO_BASELINE = "No previous audit found for this URL."
 
 
@@ -52,14 +88,24 @@ def compare(
     ``previous_audits`` holds the chosen baseline of each site, ``previous`` its issues.
     Sites without a baseline keep zero counts and say so.
     """
-    base = previous_audits.selectExpr(
-        "seed_url", "audit_id as previous_audit_id", "score as previous_score"
-    )
+    base = previous_audits.selectExpr("seed_url", "audit_id as previous_audit_id")
     with_base = current.join(base.select("seed_url"), "seed_url", "left_semi")
+    pairs = current_audits.selectExpr("audit_id as current_audit_id", "seed_url").join(base, "seed_url", "left")
+    counts = pairs.select("current_audit_id", "seed_url").join(key_counts(with_base, previous), "seed_url")
+    return diff_rows(current_audits, previous_audits, pairs, counts.drop("seed_url"))
+
+
+def diff_rows(current_audits: DataFrame, previous_audits: DataFrame, pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """One diff row per current audit, from its baseline in ``pairs`` and its ``change_counts``.
+
+    A baseline that is not among ``previous_audits`` counts as none.
+    """
+    base = previous_audits.selectExpr("audit_id as previous_audit_id", "score as previous_score")
+    chosen = pairs.select("current_audit_id", "previous_audit_id").join(base, "previous_audit_id")
     rows = (
         current_audits.selectExpr("seed_url", "audit_id as current_audit_id", "score as current_score")
-        .join(base, "seed_url", "left")
-        .join(key_counts(with_base, previous), "seed_url", "left")
+        .join(chosen, "current_audit_id", "left")
+        .join(counts, "current_audit_id", "left")
         .selectExpr(
             "seed_url as url",
             "previous_audit_id",

@@ -445,12 +445,11 @@ def document_lines(
 
 def diff_document_lines(diffs: DataFrame, new: DataFrame, resolved: DataFrame) -> DataFrame:
     """A comparison as JSON text in lines, with its new and resolved issues."""
-    ids = diffs.selectExpr("url as seed_url", "current_audit_id")
     head = f"to_json(struct(* except (audit_id, new_issues, resolved_issues)), {_KEEP})"
     rows = diffs.selectExpr("*", "current_audit_id as audit_id").selectExpr("audit_id", f"{head} as head")
 
     def listed(issues: DataFrame, section: int) -> DataFrame:
-        mine = issues.drop("audit_id").join(ids, "seed_url").withColumnRenamed("current_audit_id", "audit_id")
+        mine = issues.drop("audit_id").withColumnRenamed("current_audit_id", "audit_id")
         return _json_items(mine, str(section), ISSUE_ORD, _ISSUE_JSON)
 
     frame = {0: ["concat(rtrim('}', head), ',')", "'\"new_issues\":['"], 2: ["'],\"resolved_issues\":['"], 4: ["']}'"]}
@@ -513,6 +512,42 @@ def bounded_text(content: str) -> str:
     )
 
 
+#: Pages whose lines one task adds up.
+_PAGES = 4096
+
+
+def bounded_lines(lines: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+    """Report lines cut so that a report, its lines joined by line ends, has at most ``limit`` characters.
+
+    The marker follows as lines of its own. Where a line begins is a running total over the report,
+    by chunks of pages: chunks that begin beyond the limit are dropped before their lines are
+    ordered, and no report is gathered in one row or task.
+    """
+    chunk = f"struct(section_ord, item_ord.analyzer_ord, item_ord.phase, item_ord.page_ord div {_PAGES} as pages)"
+    rows = lines.selectExpr("audit_id", "section_ord", "item_ord", "line", f"{chunk} as chunk", "length(line) + 1 as n")
+    every = W.partitionBy("audit_id")
+    earlier = every.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = (
+        rows.groupBy("audit_id", "chunk")
+        .agg(F.sum("n").alias("n"))
+        .select("audit_id", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), (F.sum("n").over(every) - 1).alias("total"))
+        .filter(F.col("before") <= limit)
+    )
+    within = W.partitionBy("audit_id", "chunk").orderBy("item_ord").rowsBetween(W.unboundedPreceding, -1)
+    begins = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    kept = (
+        rows.join(chunks, ["audit_id", "chunk"])
+        .withColumn("begins", begins)
+        .filter(F.col("begins") <= limit)
+        .selectExpr("audit_id", "section_ord", "item_ord", f"if(total > {limit}, left(line, cast({limit} - begins as int)), line) as line")
+    )
+    place = _PLACE.format("0L", "n")
+    marker = f"posexplode(split({lit(TRUNCATED[1:])}, '\\n')) as (n, line)"
+    marked = chunks.filter(f"before = 0 and total > {limit}").selectExpr("audit_id", marker)
+    last = len(SECTIONS) * 100
+    return kept.unionByName(marked.selectExpr("audit_id", f"{last} as section_ord", f"{place} as item_ord", "line"))
+
+
 def audit_rows(summary: DataFrame) -> DataFrame:
     """Short listing row of each audit."""
     return summary.selectExpr(

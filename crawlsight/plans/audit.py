@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsight.config import AuditOptions
@@ -67,8 +68,8 @@ def audit_sites(
 ) -> AuditResult:
     """Audits every site in ``fetches``. Staged page facts of them may be given, so no page is parsed again.
 
-    Facts and issues are staged once because the aggregates, the report and the
-    comparison all read them. Records that belong to no audit are in ``rejected``
+    Facts, issues and the fetch records without their pages are staged once because the
+    aggregates, the report and the comparison all read them. Records that belong to no audit are in ``rejected``
     and nowhere else. ``run_ts`` is given by the caller, so a rerun of the
     same job gives the same rows.
     """
@@ -77,7 +78,7 @@ def audit_sites(
     rejected = rejects(fetches)
     fetches = fetches.filter(USABLE)
     facts = stage(page_facts(fetches), "page_facts") if facts is None else facts.filter(USABLE)
-    narrow = fetches.drop("html")
+    narrow = stage(fetches.drop("html"), "records")
     issues = stage(run_checks(Context(facts, narrow, options), registry, isolate), "issues")
     names = strings(registry.names())
     spine = narrow.select(*AUDIT).distinct()
@@ -97,25 +98,34 @@ def audit_sites(
             f"array({names}) as analyzers_run",
         )
     )
-    return AuditResult(options, registry, fetches, facts, issues, audits, rejected)
+    return AuditResult(options, registry, narrow, facts, issues, audits, rejected)
 
 
 def compare_audits(
-    result: AuditResult, previous_audits: DataFrame, previous_issues: DataFrame
+    result: AuditResult,
+    previous_audits: DataFrame,
+    previous_issues: DataFrame,
+    baselines: DataFrame | None = None,
+    as_of: bool = False,
 ) -> AuditResult:
-    """Adds the comparison with the newest stored audit of each site.
+    """Adds the comparison of each audit with its baseline.
 
-    Read the stored tables before the new run is appended to them.
+    That is the newest other audit of the site among ``previous_audits``, so it is the same before
+    and after the run is saved; with ``as_of`` the newest one before the audit. ``baselines`` (audit_id,
+    previous_audit_id) names them instead; audits that it leaves out have none. Stored issues
+    count only if they belong to the current version of their audit.
     """
-    base = store.latest(previous_audits)
-    ids = base.select("audit_id")
-    before = previous_issues.join(ids, "audit_id", "left_semi")
-    result.diffs = D.compare(result.audits, base, result.issues, before)
-    known = base.select("seed_url")
-    result.new_issues = D.new_issues(result.issues.join(known, "seed_url", "left_semi"), before)
-    result.resolved_issues = D.resolved_issues(
-        result.issues, before.join(result.audits.select("seed_url"), "seed_url", "left_semi")
-    )
+    if "saved_at" in previous_audits.columns and "saved_at" in previous_issues.columns:
+        previous_issues = store.current_rows(previous_issues, previous_audits)
+    if baselines is None:
+        chosen = store.baselines(result.audits, previous_audits, as_of)
+    else:
+        chosen = result.audits.select("audit_id").join(baselines.select("audit_id", "previous_audit_id"), "audit_id", "left")
+    pairs = stage(chosen.selectExpr("audit_id as current_audit_id", "previous_audit_id"), "baselines")
+    rows = stage(D.changes(result.issues, previous_issues, pairs), "changes")
+    result.diffs = D.diff_rows(result.audits, previous_audits, pairs, D.change_counts(rows))
+    result.new_issues = rows.filter("side = 'new'").drop("side")
+    result.resolved_issues = rows.filter("side = 'resolved'").drop("side")
     return result
 
 
@@ -135,14 +145,91 @@ def audit_summary(result: AuditResult) -> DataFrame:
     return rows
 
 
+#: Tables beside the audits of a store, and the part of a result they hold.
+BESIDE = ("issues", "page_facts", "records", "diffs", "new_issues", "resolved_issues", "answers", "statuses")
+
+
+def _parts(result: AuditResult) -> dict[str, DataFrame]:
+    """What belongs to the audits of a run, each row under its audit and site."""
+    parts = {"issues": result.issues, "page_facts": result.facts, "records": result.fetches.drop("html")}
+    if result.diffs is not None:
+        owner = ["current_audit_id as audit_id", "url as seed_url"]
+        parts["diffs"] = result.diffs.selectExpr(*owner, "* except (url, current_audit_id)")
+        for name, rows in (("new_issues", result.new_issues), ("resolved_issues", result.resolved_issues)):
+            parts[name] = rows.selectExpr("current_audit_id as audit_id", "audit_id as issue_audit_id", "* except (audit_id, current_audit_id)")
+    sites = result.audits.select("audit_id", "seed_url")
+    for name, rows in (("answers", result.answers), ("statuses", result.statuses)):
+        if rows is not None:
+            parts[name] = rows.drop("seed_url").join(sites, "audit_id")
+    return parts
+
+
 def persist(result: AuditResult, root: str, saved_at: str) -> None:
-    """Appends a run to the store, if its options ask for saving or comparing."""
+    """Appends a run to the store, if its options ask for saving or comparing.
+
+    The audits come last: until then readers see nothing of the run.
+    """
     if not result.options.persists:
         return
     stamp = F.expr(f"timestamp {lit(saved_at)}")
-    store.save(result.audits.withColumn("saved_at", stamp), f"{root}/audits")
-    store.save(result.issues.withColumn("saved_at", stamp), f"{root}/issues")
-    store.save(result.facts.withColumn("saved_at", stamp), f"{root}/page_facts")
+    for name, rows in _parts(result).items():
+        store.save(rows.withColumn("saved_at", stamp), f"{root}/{name}")
+    store.save_audits(result.audits.withColumn("saved_at", stamp), f"{root}/audits")
+
+
+def delete_audit(spark: SparkSession, root: str, audit_id: str) -> bool:
+    """Removes an audit with all that belongs to it; tells if there was one."""
+    return store.delete(spark, f"{root}/audits", audit_id)
+
+
+def compact_store(spark: SparkSession, root: str, after: Callable[[str], None] = lambda step: None) -> list[int]:
+    """Frees the space of deleted and replaced audits."""
+    return store.compact(spark, f"{root}/audits", [f"{root}/{name}" for name in BESIDE], after)
+
+
+def stored_result(
+    spark: SparkSession, root: str, audit_id: str, options: AuditOptions | None = None, registry: CheckRegistry | None = None
+) -> AuditResult:
+    """One stored audit as its run left it; KeyError if there is none. Only its bucket is read of each table."""
+    audits = store.find(spark, f"{root}/audits", audit_id)
+    if audits.isEmpty():
+        raise KeyError(f"Audit not found: {audit_id}")
+
+    def part(name: str) -> DataFrame | None:
+        path = f"{root}/{name}"
+        if not store.exists(spark, path):
+            return None
+        return store.belonging(spark, path, audits).filter(F.col("audit_id") == audit_id).drop("saved_at", "seed_bucket")
+
+    diffs = part("diffs")
+    if diffs is not None and not diffs.isEmpty():
+        diffs = diffs.selectExpr(
+            "seed_url as url", "previous_audit_id", "audit_id as current_audit_id", "* except (seed_url, previous_audit_id, audit_id)"
+        )
+    else:
+        diffs = None
+    lists = [None, None]
+    if diffs is not None:
+        none = part("issues").filter("false").selectExpr("*", "'' as current_audit_id", "'' as previous_audit_id")
+        names = {"audit_id": "current_audit_id", "issue_audit_id": "audit_id"}
+        found = [part(n) for n in ("new_issues", "resolved_issues")]
+        lists = [none if rows is None else rows.withColumnsRenamed(names) for rows in found]
+    answers, statuses = part("answers"), part("statuses")
+    if statuses is not None and statuses.isEmpty():
+        answers = statuses = None
+    return AuditResult(
+        options or AuditOptions(),
+        registry or CheckRegistry(),
+        part("records"),
+        part("page_facts"),
+        part("issues"),
+        audits.drop("saved_at", "seed_bucket"),
+        None,
+        diffs,
+        *lists,
+        answers,
+        statuses,
+    )
 
 
 def suggestion_requests(result: AuditResult, target_keywords=()) -> DataFrame:
@@ -207,6 +294,14 @@ def report_by_id(result: AuditResult, audit_id: str, fmt: str = "markdown") -> D
     return report(one, fmt)
 
 
+def report_stored(
+    spark: SparkSession, root: str, audit_id: str, fmt: str = "markdown", metrics: bool = False, full_audit: bool = False
+) -> DataFrame:
+    """Report of one stored audit; KeyError if there is none."""
+    R.check_format(fmt)
+    return report(stored_result(spark, root, audit_id), fmt, metrics, full_audit)
+
+
 def change_report(result: AuditResult, fmt: str = "markdown") -> DataFrame:
     if R.check_format(fmt) == "json":
         return R.diff_document_lines(result.diffs, result.new_issues, result.resolved_issues)
@@ -218,6 +313,7 @@ JOBS = {
     "audit_sites": audit_sites,
     "crawl_stats": crawl_stats,
     "generate_report": report,
+    "stored_report": report_stored,
     "suggestion_requests": suggestion_requests,
     "compare_audits": compare_audits,
     "list_history": store.history,

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlsight.config import AuditOptions
@@ -765,7 +766,10 @@ _REPORT_ISSUES = (
 @query(_REPORT_ISSUES, O.ISSUES)
 def report_lines(spark, d):
     """Lines of all reports with their number; the frame lines checked are those with figures."""
-    lines = A.report(rich_audit(spark, d))
+    return report_bag(A.report(rich_audit(spark, d)))
+
+
+def report_bag(lines: DataFrame) -> DataFrame:
     shown = (
         "line rlike '^- (\\\\[|None|Critical issues|Warnings:|Suggestions:|Pages analyzed|`)'"
         " or line rlike '^[*][*](Pages|Overall|URL|Audit|Created|[0-9])'"
@@ -852,6 +856,67 @@ def bounded_text(spark, d):
     return SN.table(spark, d, "documents").selectExpr("doc_id", f"{R.bounded_text('text')} as content")
 
 
+# The markdown reports of the first crawl: every line in its place. p is the page, w its words.
+_OLD_SCORED = (
+    "SELECT audit_id, count_if(severity = 'critical') AS critical, count_if(severity = 'warning') AS warning,"
+    " count_if(severity = 'info') AS info, CAST(greatest(0, least(100, 100 - sum(CASE severity WHEN 'critical' THEN 8"
+    " WHEN 'warning' THEN 3 ELSE 1 END))) AS DOUBLE) AS score FROM old GROUP BY 1"
+)
+_OLD_PLACE = (
+    "CASE WHEN code LIKE '%title%' THEN 0 WHEN code LIKE '%description' THEN 1 WHEN code = 'missing_canonical' THEN 5"
+    " WHEN code = 'sitemap_not_checked' THEN 8 ELSE 9 END AS a, CASE WHEN code IN ('duplicate_title', 'sitemap_not_checked') THEN 1 ELSE 0 END AS ph"
+)
+REPORT_TEXT = f"""{O.PAGES},{O.PLAIN_ISSUES},
+placed AS (SELECT *, {_OLD_PLACE} FROM old),
+tops AS (SELECT audit_id, string_agg(code, ', ' ORDER BY n DESC, first) AS codes FROM (SELECT *, row_number() OVER
+    (PARTITION BY audit_id ORDER BY n DESC, first) AS k FROM (SELECT audit_id, code, count(*) AS n, min((a, ph, page_ord)) AS first
+    FROM placed GROUP BY 1, 2)) WHERE k <= 5 GROUP BY 1),
+site AS (SELECT * FROM ({_OLD_SCORED}) JOIN (SELECT 'a:' || seed AS audit_id, seed, count(*) AS pages FROM b GROUP BY ALL) USING (audit_id)
+    LEFT JOIN tops USING (audit_id)),
+words AS (SELECT p, len(regexp_extract_all({O.node_text(O.NO_SCRIPTS)}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM b),
+lines AS (
+    SELECT audit_id, 0 AS s, 0 AS a, 0 AS ph, 0 AS pg, unnest(generate_series(0, 15)) AS n, unnest(['# SEO Audit Report', '', '**URL:** ' || seed,
+        '**Audit ID:** ' || audit_id, '**Overall SEO Score:** ' || score || '/100', '**Pages analyzed:** ' || pages,
+        '**Created:** 2024-01-01T00:00:00+00:00', '', '## Summary', '', '- Overall SEO Score: **' || score || '/100**', '- Pages analyzed: ' || pages,
+        '- Critical issues: ' || critical, '- Warnings: ' || warning, '- Suggestions: ' || info, '- Top issue codes: ' || codes]) AS line FROM site
+    UNION ALL SELECT audit_id, unnest([2, 2, 2, 4, 4, 4, 6, 6, 6]), 0, 0, 0, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]),
+        unnest(['', '## Critical Issues', '', '', '## Warnings', '', '', '## Suggestions', '']) FROM site
+    UNION ALL SELECT audit_id, s, 0, 0, 0, 3, '- None' FROM (SELECT audit_id, unnest([2, 4, 6]) AS s, unnest([critical, warning, info]) AS n FROM site) WHERE n = 0
+    UNION ALL SELECT audit_id, CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 5 ELSE 7 END, a, ph, page_ord, 0, {_BULLET} FROM placed
+    UNION ALL SELECT audit_id, unnest([11, 11, 13, 15, 15, 15, 15]), 0, 0, 0, unnest([0, 1, 0, 0, 1, 2, 3]),
+        unnest(['## Page Overview', '', '', '## Overall SEO Score', '', '**' || score || ' / 100**', '']) FROM site
+    UNION ALL SELECT audit_id, 12, 0, 0, p, unnest([0, 1]), unnest(['- `' || url || '` — ' || coalesce(title, '(no title)') || ' [200]',
+        '  - title_len=' || length(coalesce(title, '')) || ', meta_len=0, h1=' || CASE WHEN raw_h1 = '' THEN 0 ELSE 1 END || ', h2=0, h3=0, images=0, missing_alt=0, internal_links='
+        || len(list_distinct(links)) || ', words=' || w || ', schema=none']) FROM q JOIN words USING (p)),
+report AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY s, a, ph, pg, n) AS place FROM lines)"""
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """audit_id, place in the report, line."""
+    order = W.partitionBy("audit_id").orderBy("section_ord", "item_ord")
+    return lines.select("audit_id", F.row_number().over(order).alias("place"), "line")
+
+
+@query("SELECT audit_id, CAST(place AS INT) AS place, line FROM report", REPORT_TEXT)
+def report_text(spark, d):
+    """The whole markdown of every report, line by line."""
+    return placed_lines(A.report(plain_audit(spark, d)))
+
+
+REPORT_LIMIT = 1500
+
+
+@query(
+    "SELECT audit_id, CAST(unnest(generate_series(1, len(x))) AS INT) AS place, unnest(x) AS line FROM (SELECT audit_id,"
+    f" string_split(CASE WHEN length(t) > {REPORT_LIMIT} THEN left(t, {REPORT_LIMIT}) || chr(10) || chr(10) || '…[truncated]' ELSE t END, chr(10)) AS x"
+    " FROM (SELECT audit_id, string_agg(line, chr(10) ORDER BY place) AS t FROM report GROUP BY 1))",
+    REPORT_TEXT,
+)
+def report_bounded(spark, d):
+    """Reports cut after so many characters, within a line, and marked."""
+    return placed_lines(R.bounded_lines(A.report(plain_audit(spark, d)), REPORT_LIMIT))
+
+
 # --- history ---------------------------------------------------------------
 
 EVENTS = (
@@ -1023,6 +1088,74 @@ def change_report_lines(spark, d):
     )
 
 
+def saved_runs(spark, d) -> tuple[str, A.AuditResult, A.AuditResult]:
+    """A store that holds both crawls."""
+    root = f"{staging_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    runs = plain_audit(spark, d), rich_audit(spark, d)
+    for result, at in zip(runs, ("2024-01-01 01:00:00", "2024-02-01 01:00:00")):
+        result.options = AuditOptions(save=True)
+        A.persist(result, root, at)
+    return root, *runs
+
+
+def diff_of(result: A.AuditResult, audits: DataFrame, issues: DataFrame, **more) -> DataFrame:
+    return A.compare_audits(result, audits, issues, **more).diffs
+
+
+@query(ORACLES["diff_summary"])
+def diff_after_save(spark, d):
+    """Compared with the store only after the run itself was saved there."""
+    root, _, now = saved_runs(spark, d)
+    return diff_of(now, store.load(spark, f"{root}/audits"), spark.read.parquet(f"{root}/issues"))
+
+
+@query(ORACLES["diff_summary"])
+def diff_given_baseline(spark, d):
+    """The first crawl is named as baseline, though an audit in between is newer."""
+    before, now = plain_audit(spark, d), rich_audit(spark, d)
+    between = before.audits.selectExpr(
+        "* except (audit_id, created_at, score)", "concat('m', audit_id) as audit_id", "timestamp '2024-01-15 00:00:00' as created_at", "1D as score"
+    )
+    given = now.audits.selectExpr("audit_id", "concat('a:', seed_url) as previous_audit_id")
+    return diff_of(now, before.audits.unionByName(between), before.issues, baselines=given)
+
+
+@query(ORACLES["previous_in_time"], None)
+def baseline_as_of(spark, d):
+    """What each audit is compared with if audits of any age are: all of them, against a history that holds them."""
+    audits = SN.event_audits(spark, d)
+    return store.baselines(audits, audits, as_of=True)
+
+
+@query(
+    "SELECT 'audits' AS part, 'a:' || seed AS audit_id, 1 AS n FROM (SELECT DISTINCT seed FROM b)"
+    " UNION ALL SELECT 'audits', 'b:' || seed, 1 FROM (SELECT DISTINCT seed FROM b) WHERE length(seed) % 3 <> 0"
+    " UNION ALL SELECT 'issues', audit_id, count(*) FROM old GROUP BY ALL"
+    " UNION ALL SELECT 'issues', audit_id, count(*) FROM issues WHERE length(audit_id) % 3 <> 2 GROUP BY ALL"
+    " UNION ALL SELECT 'page_facts', 'a:' || seed, count(*) FROM b GROUP BY ALL"
+    " UNION ALL SELECT 'page_facts', 'b:' || seed, count(*) FROM b WHERE length(seed) % 3 <> 0 GROUP BY ALL",
+    BOTH,
+)
+def store_deleted(spark, d):
+    """What a store holds after some audits were deleted and their space was freed."""
+    root, _, now = saved_runs(spark, d)
+    path = f"{root}/audits"
+    store.delete_all(spark, path, now.audits.filter("length(seed_url) % 3 = 0"))
+    A.compact_store(spark, root)
+    audits = store.load(spark, path)
+    parts = [("audits", audits)] + [(n, store.belonging(spark, f"{root}/{n}", audits)) for n in ("issues", "page_facts")]
+    counts = [rows.groupBy("audit_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "audit_id", "n") for n, rows in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(f"SELECT * FROM ({_REPORT_ISSUES}) WHERE audit_id = (SELECT min(audit_id) FROM r)", O.ISSUES)
+def stored_report_lines(spark, d):
+    """The report of one stored audit, looked up by its id."""
+    root, _, now = saved_runs(spark, d)
+    first = now.audits.agg(F.min("audit_id")).first()[0]
+    return report_bag(A.report_stored(spark, root, first))
+
+
 # --- crawl -----------------------------------------------------------------
 
 CRAWL_PAGES, CRAWL_DEPTH = 20, 4
