@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences that training reads."""
-    return packing.pieces(docs)
+    """Pieces of the sequences that training reads: their ids, little-endian 32 bits, and a checksum."""
+    return packing.packed(docs)
 
 
 STAGES = [

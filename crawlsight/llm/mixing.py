@@ -8,7 +8,11 @@ document is taken at most ``CAP`` times.
 
 * NULL text has size 0; documents of size 0 cost nothing and follow their place.
 * NULL source is a source of its own, ordered last.
-* Repeated rows with one id and size share a place and are taken alike.
+* Rows that share an id (NULL ids too) are numbered, and each copy has a place of its own, so
+  no id weighs more than a row. Which copy of one id is taken may depend on the order of the files;
+  all else is the same on every run.
+* Very long texts count whole; the last document that fits ends the mix, so the words taken
+  fall short of the budget by less than one document.
 * An empty table gives no rows. Further columns are ignored, or kept by ``mixed``.
 """
 
@@ -35,15 +39,29 @@ class MixOptions:
     buckets: int = 100_000  # at most, so that the totals of all buckets stay a small table
 
 
-def _sized(seed: str, row: str = "") -> list:
-    """Size and place of each document; the place is a digest, so any run gives the same."""
-    text_id = F.coalesce(F.col(f"{row}doc_id").cast("string"), F.lit(""))
-    return [
-        F.col(f"{row}doc_id").alias("doc_id"),
-        F.col(f"{row}source").alias("source"),
-        F.expr(n_words(f"{row}text")).alias("size"),
-        F.md5(F.concat(text_id, F.lit(":" + seed)).cast("binary")).alias("place"),
-    ]
+_ID = "coalesce(cast({}doc_id as string), '')"
+
+
+def _sized(row: str = "") -> list:
+    return [F.col(f"{row}doc_id").alias("doc_id"), F.col(f"{row}source").alias("source"), F.expr(n_words(f"{row}text")).alias("size")]
+
+
+def _place(seed: str, row: str = "", copy: str | None = None):
+    """The place of a document is a digest of its id, and from the second copy on of the copy's number."""
+    more = "''" if copy is None else f"if({copy} = 0, '', concat(':', {copy}))"
+    return F.expr(f"md5(cast(concat({_ID.format(row)}, ':{seed}', {more}) as binary))").alias("place")
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Staged: ids of more than one row, as text."""
+    ids = docs.select(F.expr(_ID.format("")).alias("again")).groupBy("again").agg(F.count("*").alias("n"))
+    return stage(ids.filter("n > 1").select("again"), "mix_repeated")
+
+
+def _numbered(rows: DataFrame, options: MixOptions) -> DataFrame:
+    """Rows with ``copy``, their number among those of one id. Counted by ranges of ``row``, so an id may hold any share of them."""
+    keyed = rows.select("*", F.expr(_ID.format("")).alias("again"), F.expr(f"row div {options.bucket_rows}").alias("range"), F.lit(1).alias("one"))
+    return running(keyed, ["again"], "range", ["row"], {"upto": "one"}).withColumn("copy", F.col("upto") - 1).drop("again", "range", "one", "upto")
 
 
 def targets(sizes: DataFrame, options: MixOptions) -> DataFrame:
@@ -119,16 +137,28 @@ def _copies() -> str:
     return " + ".join(f"if(coalesce({key} <= last{p}, false), 1, 0)" for p in range(CAP))
 
 
-def _plan(docs: DataFrame, options: MixOptions) -> tuple[DataFrame, DataFrame]:
-    """Staged sizes, and sources with their last places."""
-    sizes = stage(docs.select(*_sized(options.seed)), "mix_sizes")
-    cuts = stage(_cuts(sizes, targets(sizes, options), options), "mix_cuts")
-    return sizes, cuts.withColumnRenamed("source", "_source")
+def _sizes(docs: DataFrame, options: MixOptions, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Staged sizes with places; the ids of more than one row; and if there are any their rows with places, ``whole`` ones as ``_row``."""
+    again = _repeated(docs)
+    if again.isEmpty():
+        return stage(docs.select(*_sized(), _place(options.seed)), "mix_sizes"), again, None
+    rows = docs.select(F.struct("*").alias("_row"), F.expr(_ID.format("")).alias("_again"))
+    same_id = F.col("_again") == F.col("again")
+    kept = ["_row"] if whole else []
+    copies = rows.join(again, same_id, "left_semi").select(*kept, *_sized("_row."), F.monotonically_increasing_id().alias("row"))
+    copies = stage(copies, "mix_copies")
+    numbers = _numbered(copies.drop(*kept), options)
+    numbers = stage(numbers.select("*", _place(options.seed, copy="copy")), "mix_numbers")
+    single = docs.select(*_sized(), F.expr(_ID.format("")).alias("_again")).join(again, same_id, "left_anti")
+    fields = ["doc_id", "source", "size", "place"]
+    sizes = single.select("doc_id", "source", "size", _place(options.seed)).unionByName(numbers.select(*fields))
+    return stage(sizes, "mix_sizes"), again, copies.join(numbers.select("row", "place"), "row")
 
 
 def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, copies counted)."""
-    sizes, cuts = _plan(docs, options)
+    sizes, _, _ = _sizes(docs, options, False)
+    cuts = stage(_cuts(sizes, targets(sizes, options), options), "mix_cuts").withColumnRenamed("source", "_source")
     return sizes.join(cuts, F.expr("source <=> _source")).select(
         "doc_id", "size", "source_size", "target", F.expr(f"cast(size * ({_copies()}) as bigint)").alias("taken")
     )
@@ -137,13 +167,17 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
 def mixed(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The documents of the mix with all their columns, repeated as often as taken.
 
-    What is taken is known from each source's last place, so texts aren't shuffled.
+    What is taken is known from each source's last place, so texts aren't shuffled, but for those of repeated ids.
     """
-    _, cuts = _plan(docs, options)
-    rows = docs.select(F.struct("*").alias("row"))
-    return (
-        rows.select("row", *_sized(options.seed, "row."))
-        .join(cuts.drop("source_rank", "source_size", "target", "budget"), F.expr("source <=> _source"))
-        .select("row", F.explode(F.expr(f"array_repeat(0, {_copies()})")).alias("_"))
-        .select("row.*")
-    )
+    sizes, again, copies = _sizes(docs, options, True)
+    cuts = stage(_cuts(sizes, targets(sizes, options), options), "mix_cuts").withColumnRenamed("source", "_source")
+    cuts = cuts.drop("source_rank", "source_size", "target", "budget")
+    rows = docs.select(F.struct("*").alias("_row"))
+    if copies is not None:
+        rows = rows.select("_row", F.expr(_ID.format("_row.")).alias("_again")).join(again, F.col("_again") == F.col("again"), "left_anti")
+    fields = ["_row", "doc_id", "source", "size", "place"]
+    rows = rows.select("_row", *_sized("_row."), _place(options.seed, "_row."))
+    if copies is not None:
+        rows = rows.unionByName(copies.select(*fields))
+    taken = rows.join(cuts, F.expr("source <=> _source")).select("_row", F.explode(F.expr(f"array_repeat(0, {_copies()})")).alias("_"))
+    return taken.select("_row.*")

@@ -7,6 +7,7 @@ leaves one piece in each window. Only the last window is padded.
 
 * NULL text is empty and leaves only its end id.
 * Bytes that aren't UTF-8 are read as replacement characters.
+* A text of any length is cut into as many pieces as it needs; one document's ids are in memory at a time.
 * Repeated rows are packed as often as they occur. An empty table gives no rows.
 * Further columns are ignored.
 """
@@ -105,6 +106,11 @@ def pack(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
+    """``pack`` with the checksum of the ids beside them."""
+    return pack(docs, options).select("*", F.crc32("ids").alias("ids_crc32"))
+
+
 def pieces(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
     """``pack`` with the checksum of the ids in their place."""
     return pack(docs, options).select(

@@ -9,6 +9,11 @@ Listed rules (a host with its subdomains, and the beginning of a path) come firs
 those that fit the longest decides. Else a pattern rule that fits decides, in the order
 given, else the URL is allowed.
 
+Only A-Z are lower-cased, in urls and rules alike: letters that a full lower-casing folds to
+ASCII (such as the KELVIN SIGN) stay what they are and separate tokens, as they do for the patterns.
+
+* Of two listed rules of one length, and of two pattern rules that fit, the first given decides.
+* A url of any length is judged whole; each of its tokens is looked up once.
 * NULL urls and urls without ``://`` have empty host and path, and are allowed.
 * Repeated rows are judged each. An empty table gives no rows; further columns are ignored.
 """
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ASCII = str.maketrans(_UPPER, _LOWER)
 
 
 @dataclass(frozen=True)
@@ -40,8 +46,8 @@ def listed(action: str, name: str) -> Rule:
     """The rule for ``host/path``. A path's last token may go on in a URL, so it's no literal."""
     host, slash, rest = name.partition("/")
     path = slash + rest
-    whole = re.findall(r"[a-z0-9]+", host.lower()) + re.findall(r"[a-z0-9]+(?=[^A-Za-z0-9])", path.lower())
-    return Rule(name, action, rf"\A(?:[^/]*\.)?{re.escape(host.lower())}{re.escape(path)}", tuple(dict.fromkeys(whole)), True)
+    whole = re.findall(r"[a-z0-9]+", host.translate(_ASCII)) + re.findall(r"[a-z0-9]+(?=[^A-Za-z0-9])", path.translate(_ASCII))
+    return Rule(name, action, rf"\A(?:[^/]*\.)?{re.escape(host.translate(_ASCII))}{re.escape(path)}", tuple(dict.fromkeys(whole)), True)
 
 
 def on_host(action: str, *words: str) -> Rule:
@@ -83,7 +89,7 @@ def frequencies(parts: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
     if not literals:
         return {}
     wanted = F.broadcast(spark.createDataFrame([(x,) for x in literals], "token string"))  # no more than the rules have
-    tokens = F.array_distinct(F.expr("regexp_extract_all(lower(concat(host, path)), '[a-z0-9]+', 0)"))
+    tokens = F.array_distinct(F.expr(f"regexp_extract_all(translate(concat(host, path), '{_UPPER}', '{_LOWER}'), '[a-z0-9]+', 0)"))
     rows = parts.select(F.explode(tokens).alias("token")).join(wanted, "token").groupBy("token").count().collect()
     return {x: 0 for x in literals} | {r.token: r["count"] for r in rows}
 
@@ -103,7 +109,7 @@ class Index:
     def judge(self, host: str, path: str) -> tuple[str | None, str, str | None]:
         """Listed rule that decides, verdict, pattern rule that decides."""
         text = host + path
-        found = [e for t in set(re.findall(r"[a-z0-9]+", text.lower())) for e in self.by_token.get(t, ())] + self.always
+        found = [e for t in set(re.findall(r"[a-z0-9]+", text.translate(_ASCII))) for e in self.by_token.get(t, ())] + self.always
         fits = [(place, rule) for place, rule, pattern in found if pattern.search(text)]
         named = [(len(rule.name), -place, rule) for place, rule in fits if rule.listed]
         if named:
