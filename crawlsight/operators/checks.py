@@ -239,6 +239,13 @@ def _description_metrics(options: AuditOptions) -> dict[str, str]:
     }
 
 
+#: What the two averages are made of besides the number of pages: lengths, as aggregates over page facts.
+LENGTH_SUMS = {
+    "title": f"coalesce(sum(if({_live(f'{TITLE} <> {lit(str())}')}, {_TITLE_LEN}, 0)), 0)",
+    "meta_description": f"coalesce(sum(if({_live(f'{_DESC} <> {lit(str())}')}, {_DESC_LEN}, 0)), 0)",
+}
+
+
 # --- headings --------------------------------------------------------------
 
 

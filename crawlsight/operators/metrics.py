@@ -70,7 +70,10 @@ def _metric_columns(wide: DataFrame) -> list[str]:
 
 def check_metrics(ctx: Context, registry: CheckRegistry | None = None) -> DataFrame:
     """Long form: one row per audit, check and metric; flags are 0 or 1."""
-    wide = wide_metrics(ctx, registry)
+    return long_metrics(wide_metrics(ctx, registry))
+
+
+def long_metrics(wide: DataFrame) -> DataFrame:
     cells = ", ".join(
         "named_struct('analyzer', {}, 'metric', {}, 'value', cast({} as double))".format(
             *(lit(part) for part in c.split(_SEP, 1)), c
@@ -102,6 +105,11 @@ def metrics_by_check(ctx: Context, registry: CheckRegistry | None = None) -> Dat
 
 def structured_totals(facts: DataFrame) -> DataFrame:
     """Page counts, coverage, totals and rendering figures of each audit."""
+    return facts.groupBy(*AUDIT).agg(*[F.expr(sql).alias(name) for name, sql in total_figures().items()])
+
+
+def total_figures() -> dict[str, str]:
+    """The structured totals by name, as aggregates over page facts; all are sums over pages."""
 
     def live(condition: str) -> str:
         return f"count_if(not is_broken and {condition})"
@@ -109,7 +117,7 @@ def structured_totals(facts: DataFrame) -> DataFrame:
     def total(value: str) -> str:
         return f"coalesce(sum(if(is_broken, 0, {value})), 0)"
 
-    figures = {
+    return {
         "pages_total": "count(*)",
         "pages_live": "count_if(not is_broken)",
         "pages_broken": "count_if(is_broken)",
@@ -130,7 +138,6 @@ def structured_totals(facts: DataFrame) -> DataFrame:
         "js_shell_pages": live("likely_js_shell"),
         "js_rendered_pages": live("js_rendered"),
     }
-    return facts.groupBy(*AUDIT).agg(*[F.expr(sql).alias(name) for name, sql in figures.items()])
 
 
 def _length(c: str) -> str:

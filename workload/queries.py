@@ -33,6 +33,7 @@ from crawlsight.plans import audit as A
 from crawlsight.session import stage, staging_dir
 from crawlsight.sources import store
 from crawlsight.sources.fetches import pages_as_fetches, rejects
+from crawlsight.streaming import figures as FG
 from workload import oracle as O
 from workload import scenario as SN
 
@@ -701,6 +702,34 @@ def audit_rows(spark, d):
     )
 
 
+# --- figures kept while pages arrive -----------------------------------------
+
+
+def kept_figures(spark, d) -> dict[str, DataFrame]:
+    """The second crawl in four batches: one comes twice, and some are folded before the last."""
+    root = f"{staging_dir(spark).rstrip('/')}/figures-{uuid.uuid4().hex}"
+    fetches = rich_fetches(spark, d)
+    work = stage(CR.external_worklist(page_facts(fetches)), "worklist")
+    batches = [fetches.filter(f"page_ord % 3 = {k}") for k in range(3)] + [CR.broken_probes(work, SN.probes(work))]
+    for number in (0, 1, 1, 2):
+        FG.write_batch(batches[number], number, root)
+    FG.fold(spark, root)
+    for number in (1, 3):
+        FG.write_batch(batches[number], number, root)
+    return FG.current(spark, root)
+
+
+@query(_SCORED, O.ISSUES)
+def running_scores(spark, d):
+    return FG.scores(kept_figures(spark, d))
+
+
+@query(_METRICS, O.RICH + "," + O.EXTERNAL)
+def running_metrics(spark, d):
+    rows = FG.check_metrics(kept_figures(spark, d))
+    return rows.filter("metric not in ('avg_title_length', 'avg_meta_description_length', 'alt_coverage_pct')").drop("seed_url")
+
+
 # --- reports ---------------------------------------------------------------
 
 _ORD = "analyzer_ord, phase, page_ord"
