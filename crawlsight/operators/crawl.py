@@ -13,7 +13,7 @@ from crawlsight.functions.sql import lit
 from crawlsight.operators.facts import page_links
 from crawlsight.operators.robots import BLOCKED, gate
 from crawlsight.schema import HOPS
-from crawlsight.session import stage
+from crawlsight.session import stage, stage_clustered
 from crawlsight.sources.fetches import BROKEN
 
 SITE = ("audit_id", "seed_url")
@@ -97,7 +97,8 @@ def frontier(
     rules allow it and whether the page is in ``fetches``; pages allowed but not
     fetched are the worklist of the fetcher. A page is queued at its first sight,
     keyed by requested address. Each level is one join of the frontier with the
-    link table, written to the staging folder, so at most ``max_depth`` rounds.
+    link table, written to the staging folder, so at most ``max_depth`` rounds. The link table is
+    clustered by linking page once, so a level moves its own pages only, never the links.
 
     The queue order of a level is the place of the linking page and the position of
     the link on it; a page linked several times keeps the first.
@@ -106,8 +107,8 @@ def frontier(
     known = stage(_chosen(fetches, shared), "known")
     of_chosen = F.expr("src_audit = from_audit and src = url and src_ord = from_ord")
     mine = known.select("url", "from_audit", "from_ord")
-    edges = stage(link_edges(fetches).withColumnRenamed("audit_id", "src_audit").join(mine, of_chosen, "left_semi"), "edges")
-    linked = F.expr("url = src" if shared else "url = src and audit_id = src_audit")
+    found = link_edges(fetches).withColumnRenamed("audit_id", "src_audit").join(mine, of_chosen, "left_semi")
+    edges = stage_clustered(found, "edges", ["src"] if shared else ["src_audit", "src"])
     level = seeds.selectExpr(
         "audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "struct(0L as parent_ord, 0 as pos) as ord"
     )
@@ -130,13 +131,7 @@ def frontier(
         records = done if records is None else records.unionByName(done)
         if depth == options.max_depth or done.isEmpty():
             break
-        found = (
-            done.filter("allowed")
-            .join(edges, linked)
-            .selectExpr(*SITE, "dst as url", "struct(page_ord as parent_ord, pos) as ord")
-        )
-        if options.same_host_only:
-            found = found.filter(U.same_host("seed_url", "url"))
+        found = expanded(done, edges, options, shared)
         queued = level.select(*SITE, "url")
         seen = queued if seen is None else seen.unionByName(queued)
         level = stage(
@@ -148,6 +143,17 @@ def frontier(
     )
 
 
+def expanded(level: DataFrame, edges: DataFrame, options: AuditOptions, shared: bool = False) -> DataFrame:
+    """The links of a level's pages with their place in the queue; ``edges`` is clustered by linking page."""
+    linked = F.expr("url = src" if shared else "url = src and audit_id = src_audit")
+    found = (
+        level.filter("allowed")
+        .join(edges, linked)
+        .selectExpr(*SITE, "dst as url", "struct(page_ord as parent_ord, pos) as ord")
+    )
+    return found.filter(U.same_host("seed_url", "url")) if options.same_host_only else found
+
+
 def crawl_records(frontier_rows: DataFrame, fetches: DataFrame, shared: bool = False) -> DataFrame:
     """Fetch records of a crawl, one per frontier row: blocked pages get their synthetic record.
 

@@ -164,3 +164,24 @@ def test_unusable_robots_files_allow_all(spark):
     rules = RB.rules_for_agent(RB.robots_rules(files), "x")
     df = spark.createDataFrame([(f"https://{h}.com/z",) for h in "abc"], "url string")
     assert [r.allowed for r in RB.gate(df, rules).collect()] == [True] * 3
+
+
+def test_a_level_does_not_move_the_links(spark):
+    """Without broadcasts a level's own rows are shuffled to the buckets of the links, which stay in place."""
+    from crawlsight.config import AuditOptions
+    from crawlsight.session import release, stage_clustered
+
+    links = spark.range(5000).selectExpr("concat('a', id % 3) as src_audit", "id % 100 as src_ord", "concat('u', id % 100) as src", "0 as pos", "concat('u', id) as dst")
+    edges = stage_clustered(links, "edges", ["src_audit", "src"])
+    level = spark.range(90).selectExpr("concat('a', id % 3) as audit_id", "'u0' as seed_url", "concat('u', id) as url", "true as allowed", "id as page_ord")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = CR.expanded(level, edges, AuditOptions(same_host_only=False))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+        assert found.count() == sum(1 for i in range(90) for j in range(5000) if j % 3 == i % 3 and j % 100 == i)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        release(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]
