@@ -11,6 +11,8 @@ from crawlsight.functions import url as U
 from crawlsight.functions.sql import lit
 
 BLOCKED = "Blocked by robots.txt"
+# Rules of a host that each of its URLs goes through; the rules of larger hosts are looked up.
+SCANNED = 64
 _DIRECTIVES = r"^(user-agent|allow|disallow|crawl-delay|request-rate)$"
 
 
@@ -90,20 +92,45 @@ def rules_for_agent(rules: DataFrame, user_agent: str) -> DataFrame:
     )
 
 
-def gate(urls: DataFrame, host_rules: DataFrame, column: str = "url") -> DataFrame:
+def gate(urls: DataFrame, host_rules: DataFrame, column: str = "url", scan: int = SCANNED) -> DataFrame:
     """``urls`` with a column ``allowed``: the first rule whose prefix fits decides.
 
-    The rules of a host are one array, so a host with many rules never multiplies
-    its rows.
+    The rules of a host with at most ``scan`` of them are one array, which each of its URLs goes
+    through, so they never multiply its rows. The rules of larger hosts are a table by host and
+    prefix: a path looks up its own beginnings, of the lengths that its host's rules have, so
+    its cost doesn't grow with the number of rules. Equal paths of a host are looked up once.
+
+    A URL without a host, and a host without rules, is allowed. Equal prefixes of a host count as the first.
     """
     target = f"regexp_replace(regexp_replace({unquote(column)}, '^[^:/?#]+://[^/?#]*', ''), '[?]$', '')"
     path = f"coalesce(nullif({quote(target)}, ''), '/')"
     names = urls.columns
+    hosts = host_rules.selectExpr(
+        "host as _host",
+        f"if(size(rules) <= {scan}, rules, null) as _few",
+        f"if(size(rules) > {scan}, array_distinct(transform(rules, r -> length(r.prefix))), null) as _lengths",
+    )
+    rows = urls.selectExpr("*", f"{U.host(column)} as _host", f"{path} as _path").join(hosts, "_host", "left")
+    decided = _looked_up(rows, host_rules.filter(f"size(rules) > {scan}"))
+    return rows.join(decided, ["_host", "_path"], "left").selectExpr(
+        *(f"`{n}`" for n in names),
+        "coalesce(_decision, get(filter(_few, r -> startswith(_path, r.prefix)), 0).allow, true) as allowed",
+    )
+
+
+def _looked_up(rows: DataFrame, host_rules: DataFrame) -> DataFrame:
+    """Decision for each path of the hosts with ``_lengths``, where a rule fits."""
+    prefixes = (
+        host_rules.selectExpr("host as _host", "posexplode(rules) as (pos, rule)")
+        .groupBy("_host", F.col("rule.prefix").alias("_prefix"))
+        .agg(F.min(F.struct("pos", "rule.allow")).alias("_rule"))
+    )
+    paths = rows.filter("_lengths is not null").groupBy("_host", "_path").agg(F.first("_lengths").alias("_lengths"))
     return (
-        urls.selectExpr("*", f"{U.host(column)} as _host", f"{path} as _path")
-        .join(host_rules.withColumnRenamed("host", "_host"), "_host", "left")
-        .selectExpr(
-            *names,
-            "coalesce(get(filter(rules, r -> startswith(_path, r.prefix)), 0).allow, true) as allowed",
-        )
+        paths.selectExpr("_host", "_path", "explode(filter(_lengths, n -> n <= length(_path))) as n")
+        .selectExpr("_host", "_path", "substr(_path, 1, n) as _prefix")
+        .join(prefixes, ["_host", "_prefix"])
+        .groupBy("_host", "_path")
+        .agg(F.min("_rule").alias("_rule"))
+        .selectExpr("_host", "_path", "_rule.allow as _decision")
     )

@@ -1,3 +1,4 @@
+import random
 from collections import deque
 from urllib.robotparser import RobotFileParser
 
@@ -156,6 +157,38 @@ def test_robots_match_the_stdlib(spark):
                 assert got[url] == parser.can_fetch(agent, url), (agent, url)
 
 
+@pytest.mark.parametrize("scan", [0, 3, 1000])
+def test_looked_up_rules_equal_scanned_ones(spark, scan):
+    """Random rules against the first one that fits, in plain Python."""
+    rng = random.Random(7)
+
+    def piece():
+        return "/" + "".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+
+    rules = {f"h{n}.com": [(rng.random() < 0.5, "".join(piece() for _ in range(rng.randrange(4)))) for _ in range(n * n)] for n in range(8)}
+    urls = [f"https://h{rng.randrange(9)}.com" + "".join(piece() for _ in range(rng.randrange(1, 5))) for _ in range(400)] + [None, "nothing"]
+    df = spark.createDataFrame([(u, n) for n, u in enumerate(urls + urls[:50])], "url string, `rank of url` int")
+    table = spark.createDataFrame(list(rules.items()), "host string, rules array<struct<allow:boolean,prefix:string>>")
+    got = RB.gate(df, table, scan=scan)
+    assert got.columns == ["url", "rank of url", "allowed"]
+    rows = got.collect()
+    assert len(rows) == len(urls) + 50
+    for r in rows:
+        host, _, path = (r.url or "").removeprefix("https://").partition("/")
+        fits = [allow for allow, prefix in rules.get(host, []) if ("/" + path).startswith(prefix)]
+        assert r.allowed == (fits[0] if fits else True), r
+
+
+def test_a_host_with_many_rules_multiplies_urls_by_lengths_only(spark):
+    rules = [(n % 2 == 0, f"/p{n:05d}") for n in range(20_000)]
+    table = spark.createDataFrame([("big.com", rules)], "host string, rules array<struct<allow:boolean,prefix:string>>")
+    df = spark.range(20_000).selectExpr("concat('https://big.com/p', lpad(id, 5, '0'), '/x') as url", "id")
+    got = RB.gate(df, table)
+    assert got.filter("allowed <> (id % 2 = 0)").count() == 0 and got.count() == 20_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_unusable_robots_files_allow_all(spark):
     files = spark.createDataFrame(
         [("a.com", 404, None, "User-agent: *\nDisallow: /"), ("b.com", 200, "timeout", "User-agent: *\nDisallow: /")],
