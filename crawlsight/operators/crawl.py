@@ -109,25 +109,10 @@ def frontier(
     mine = known.select("url", "from_audit", "from_ord")
     found = link_edges(fetches).withColumnRenamed("audit_id", "src_audit").join(mine, of_chosen, "left_semi")
     edges = stage_clustered(found, "edges", ["src"] if shared else ["src_audit", "src"])
-    level = seeds.selectExpr(
-        "audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "struct(0L as parent_ord, 0 as pos) as ord"
-    )
+    level = seed_queue(seeds)
     seen = records = None
     for depth in range(options.max_depth + 1):
-        ranked = _numbered(level, "ord", "ord.parent_ord", options.max_pages)
-        if records is not None:
-            used = records.groupBy(*SITE).agg(F.count("*").alias("used"))
-            ranked = ranked.join(used, [*SITE], "left")
-        else:
-            ranked = ranked.withColumn("used", F.lit(0))
-        ranked = ranked.filter(f"rank + coalesce(used, 0) <= {options.max_pages}").selectExpr(
-            *SITE, "url", f"{depth} as depth", "cast(rank + coalesce(used, 0) - 1 as bigint) as page_ord"
-        )
-        if options.respect_robots and host_rules is not None:
-            ranked = gate(ranked, host_rules)
-        else:
-            ranked = ranked.withColumn("allowed", F.lit(True))
-        done = stage(ranked, f"level-{depth}")
+        done = stage(admitted(level.withColumn("depth", F.lit(depth)), records, options, host_rules), f"level-{depth}")
         records = done if records is None else records.unionByName(done)
         if depth == options.max_depth or done.isEmpty():
             break
@@ -143,6 +128,30 @@ def frontier(
     )
 
 
+def admitted(queue: DataFrame, records: DataFrame | None, options: AuditOptions, host_rules: DataFrame | None) -> DataFrame:
+    """The rows of a queue that the page budget still admits after ``records``, with their place and the robots gate.
+
+    ``queue`` has one depth per site and the place ``ord`` in it.
+    """
+    ranked = _numbered(queue, "ord", "ord.parent_ord", options.max_pages)
+    if records is not None:
+        used = records.groupBy(*SITE).agg(F.count("*").alias("used"))
+        ranked = ranked.join(used, [*SITE], "left")
+    else:
+        ranked = ranked.withColumn("used", F.lit(0))
+    ranked = ranked.filter(f"rank + coalesce(used, 0) <= {options.max_pages}").selectExpr(
+        *SITE, "url", "depth", "cast(rank + coalesce(used, 0) - 1 as bigint) as page_ord"
+    )
+    if options.respect_robots and host_rules is not None:
+        return gate(ranked, host_rules)
+    return ranked.withColumn("allowed", F.lit(True))
+
+
+def seed_queue(seeds: DataFrame) -> DataFrame:
+    """The queue that a crawl begins with."""
+    return seeds.selectExpr("audit_id", "seed_url", f"{U.normalize_url('seed_url')} as url", "struct(0L as parent_ord, 0 as pos) as ord")
+
+
 def expanded(level: DataFrame, edges: DataFrame, options: AuditOptions, shared: bool = False) -> DataFrame:
     """The links of a level's pages with their place in the queue; ``edges`` is clustered by linking page."""
     linked = F.expr("url = src" if shared else "url = src and audit_id = src_audit")

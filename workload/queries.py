@@ -31,9 +31,10 @@ from crawlsight.operators.checks import (
 from crawlsight.operators.facts import page_facts
 from crawlsight.plans import audit as A
 from crawlsight.session import stage, staging_dir
-from crawlsight.sources import store
+from crawlsight.sources import sinks, store
 from crawlsight.sources.fetches import pages_as_fetches, rejects
 from crawlsight.streaming import figures as FG
+from crawlsight.streaming import frontier as FR
 from workload import oracle as O
 from workload import scenario as SN
 
@@ -242,6 +243,29 @@ def jsonld_types(spark, d):
     )
 
 
+@query(
+    "SELECT page_id, unnest(['/i/' || page_id || '.png', '/w/' || page_id || '.webp', '/v/' || page_id % 2]) AS src,"
+    " unnest(['seen', NULL, NULL]) AS alt, unnest([0, 1, 2]) AS pos FROM pages WHERE page_id % 3 = 0"
+    " UNION ALL SELECT page_id, '/i/' || page_id || '.png', 'seen', 0 FROM pages WHERE page_id % 3 = 1"
+)
+def picture_images(spark, d):
+    """Sources of picture elements among a page's images: direct children only, and none of other elements."""
+    own = (
+        """concat('<picture><source media="all" srcset="/w/', page_id, '.webp 1x, /w2.webp 2x"><div><source srcset="/inside.webp"></div>"""
+        """<img src="/i/', page_id, '.png" alt=seen></picture><picture><SOURCE srcset="/v/', page_id % 2, '"></picture>')"""
+    )
+    other = """concat('<video><source srcset="/film.webp"></video><img alt=seen src="/i/', page_id, '.png">')"""
+    rows = SN.pages(spark, d).selectExpr(
+        "page_id", "url", f"concat('<body>', case page_id % 3 when 0 then {own} when 1 then {other} else '' end, '</body>') as html"
+    )
+    return (
+        page_facts(pages_as_fetches(rows))
+        .selectExpr("page_ord as page_id", "posexplode_outer(images) as (pos, i)")
+        .filter("i is not null")
+        .selectExpr("page_id", "regexp_replace(i.src, '^https?://[^/]+', '') as src", "i.alt", "pos")
+    )
+
+
 DOC_WORDS = (
     "WITH w AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INT) AS n,"
     f" CAST(length({O.strip('text')}) AS INT) AS t FROM documents) "
@@ -270,6 +294,43 @@ def render_worklist(spark, d):
     )
 
 
+def rendered_documents(spark, d):
+    """Documents as pages after a renderer answered for every third one, and for every sixth with nothing."""
+    fetches = SN.document_fetches(spark, d)
+    rendered = "concat('<html><title>Rendered ', page_ord, '</title><main>', repeat('word ', 90), '</main></html>')"
+    answers = fetches.filter("page_ord % 3 = 0").selectExpr("audit_id", "url", f"if(page_ord % 6 = 3, ' ', {rendered}) as html")
+    return RE.with_rendered(fetches, answers)
+
+
+_RENDERED = (
+    DOC_WORDS + ", x AS (SELECT w.*, source, text, (t < 200 OR doc_id % 2 = 0) AND doc_id % 6 = 0 AS rendered,"
+    " CASE WHEN doc_id % 2 = 0 THEN '\"App\"' ELSE 'main' END AS root FROM w JOIN documents USING (doc_id)) "
+)
+
+
+@query(
+    _RENDERED + "SELECT doc_id AS page_id, rendered AS js_rendered, CASE WHEN rendered THEN 'Rendered ' || doc_id END AS title,"
+    " CASE WHEN rendered THEN length('<html><title>Rendered </title><main></main></html>') + length(CAST(doc_id AS VARCHAR)) + 450"
+    " ELSE length('<html><body><div id=></div></body></html>') + length(root)"
+    " + strlen(replace(replace(replace(text, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;')) END AS content_length FROM x"
+)
+def rendered_pages(spark, d):
+    """Pages with what a renderer returned for them."""
+    return page_facts(rendered_documents(spark, d)).selectExpr("page_ord as page_id", "js_rendered", "title", "content_length")
+
+
+@query(
+    _RENDERED + "SELECT 'd:https://' || source || '.docs.example/' AS audit_id, count(*) FILTER (WHERE rendered) AS js_rendered_pages,"
+    " count(*) FILTER (WHERE NOT rendered AND (n < 40 OR (n < 80 AND doc_id % 2 = 0))) AS js_shell_pages,"
+    " CAST(sum(CASE WHEN rendered THEN 92 ELSE n END) AS BIGINT) AS total_word_count FROM x GROUP BY 1"
+)
+def rendering_totals(spark, d):
+    """Rendered pages, pages that are still shells, and words of each site."""
+    return M.structured_totals(page_facts(rendered_documents(spark, d))).select(
+        "audit_id", "js_rendered_pages", "js_shell_pages", "total_word_count"
+    )
+
+
 @query(
     "SELECT p AS page_id, CAST(length(title) AS INT) AS title_length, CAST(length(description) AS INT) AS"
     " meta_description_length, CAST(h1 AS INT) AS h1_count, CAST(h2 AS INT) AS h2_count, CAST(h3 AS INT) AS h3_count,"
@@ -946,6 +1007,37 @@ def report_bounded(spark, d):
     return placed_lines(R.bounded_lines(A.report(plain_audit(spark, d)), REPORT_LIMIT))
 
 
+@query(
+    f"SELECT audit_id, seed_url, score, pages, critical + warning + info AS issues, critical, warning, info FROM ({_SCORED})", O.ISSUES
+)
+def audit_summary_rows(spark, d):
+    """The short rows that list the second crawl's audits."""
+    result = rich_audit(spark, d)
+    return R.audit_rows(R.report_summary(result.audits, result.issues, result.facts)).select("*", "severity.*").drop("severity")
+
+
+@query("SELECT audit_id, CAST(place AS INT) AS place, line FROM report", REPORT_TEXT)
+def report_files(spark, d):
+    """The reports written as a table in reading order, and read back."""
+    path = f"{staging_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    sinks.write_lines(A.report(plain_audit(spark, d)), path)
+    return placed_lines(spark.read.parquet(path))
+
+
+@query(
+    "SELECT audit_id, line, count(*) AS n FROM report WHERE audit_id IN"
+    " (SELECT min(audit_id) FROM report UNION SELECT max(audit_id) FROM report) GROUP BY 1, 2",
+    REPORT_TEXT,
+)
+def report_text_files(spark, d):
+    """The lines of two reports that were written as text files; their order in the files is tested apart."""
+    path = f"{staging_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    result = plain_audit(spark, d)
+    sinks.write_text(A.report(result), path, sorted(set(result.audits.agg(F.min("audit_id"), F.max("audit_id")).first())))
+    lines = spark.read.text(path).withColumnsRenamed({"audit": "audit_id", "value": "line"})
+    return lines.groupBy("audit_id", "line").agg(F.count("*").alias("n"))
+
+
 # --- history ---------------------------------------------------------------
 
 EVENTS = (
@@ -1268,6 +1360,31 @@ def crawl_records(spark, d):
     )
 
 
+@query(ORACLES["bfs_levels"])
+def bfs_arrivals(spark, d):
+    """The limited crawl again, its pages landing in three batches, the last ones first; one batch comes twice."""
+    fetches = SN.linked_fetches(spark, d)
+    options = AuditOptions().overlay(max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH)
+    root = f"{staging_dir(spark).rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    for batch, third in ((0, 2), (1, 1), (1, 1), (2, 0)):
+        FR.write_batch(fetches.filter(f"page_ord % 3 = {third}"), SN.link_seeds(fetches), batch, root, options)
+    return FR.frontier_so_far(spark, root, options).select("audit_id", "url", "depth", "page_ord", "fetched")
+
+
+@query(
+    "SELECT 'c:https://site' || k || '.example/' AS audit_id, 'https://site' || k || '.example/' || n AS url,"
+    " CASE n WHEN 0 THEN 0 ELSE 1 END AS depth, n AS page_ord FROM (SELECT unnest(generate_series(0, 4)) AS k),"
+    " (SELECT unnest([0, 1, 2]) AS n) WHERE k <= (SELECT max(page_id) FROM pages) AND CASE WHEN k % 2 = 0 THEN n > 0 ELSE n = 0 END"
+)
+def crawl_worklist(spark, d):
+    """What to fetch next when the roots of every second site are answered."""
+    fetches = SN.linked_fetches(spark, d)
+    options = AuditOptions().overlay(max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH)
+    root = f"{staging_dir(spark).rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    FR.write_batch(fetches.filter("page_ord in (0, 2, 4)"), SN.link_seeds(fetches), 0, root, options)
+    return FR.worklist(spark, root).select("audit_id", "url", "depth", "page_ord")
+
+
 @query("SELECT 'no usable address' AS reason, count(*) AS records FROM pages WHERE page_id % 10 = 0 HAVING count(*) > 0")
 def rejected_records(spark, d):
     """Every tenth page under an address without a scheme."""
@@ -1290,6 +1407,21 @@ def robots_gate(spark, d):
     return RB.gate(urls, rules).select("page_id", "allowed")
 
 
+@query(
+    "WITH rules AS (SELECT 200 * l.pos + n AS pos, '/' || l.lang || '/' || n AS prefix, n % 2 = 0 AS blocks"
+    " FROM (VALUES (0, 'en'), (1, 'de'), (2, 'fr'), (3, 'es')) l(pos, lang), generate_series(0, 199) g(n)),"
+    f"{O.PAGES} SELECT p AS page_id, NOT coalesce(arg_min(blocks, pos), false) AS allowed"
+    " FROM (SELECT p, substr(url, length(o) + 1) AS path FROM b) LEFT JOIN rules ON starts_with(path, prefix) GROUP BY p"
+)
+def robots_many_rules(spark, d):
+    """Files of 800 rules each: one for every number up to 199 in four languages, even ones forbidden."""
+    rule = "concat(if(n % 2 = 0, 'Disallow', 'Allow'), ': /', l, '/', n)"
+    rules = f"flatten(transform(array('en', 'de', 'fr', 'es'), l -> transform(sequence(0, 199), n -> {rule})))"
+    files = SN.robots_files(spark, d).selectExpr("host", "200 as status_code", "error", f"concat_ws('\\n', 'User-agent: *', {rules}) as body")
+    host_rules = RB.rules_for_agent(RB.robots_rules(files), "crawlsight/0.1")
+    return RB.gate(SN.plain_fetches(spark, d).selectExpr("page_ord as page_id", "url"), host_rules).select("page_id", "allowed")
+
+
 @query(
     "SELECT host, group_ord, is_default, agents, prefixes FROM (SELECT DISTINCT regexp_extract(o, '//(.*)$', 1) AS host FROM b)"
     " JOIN (VALUES (0, 1, false, 'crawlsight', '+/fr/1|-/fr/'), (0, 3, true, '*', '-/'),"
@@ -1423,6 +1555,39 @@ def suggest_parse(spark, d):
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "SELECT audit_id, p AS page_ord, CAST(unnest([0, 1]) AS INT) AS place, unnest(['system', 'user']) AS role,"
+    f" unnest([{_quoted(S.SYSTEM_TEXT)}, {_quoted(S.USER_HEAD + '{}' + S.USER_TAIL)}]) AS content"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY p) AS rn FROM r WHERE live) WHERE rn <= 5",
+    O.RICH,
+)
+def suggest_messages(spark, d):
+    """The messages around the payloads; ``suggest_request_facts`` compares these."""
+    rows = suggest_requests(spark, d).selectExpr("audit_id", "page_ord", "payload", "posexplode(messages) as (place, m)")
+    return rows.selectExpr("audit_id", "page_ord", "place", "m.role", "if(place = 1, replace(m.content, payload, '{}'), m.content) as content")
+
+
+@query(
+    "SELECT audit_id, final_url AS url, CASE WHEN NOT live OR length(final_url) % 3 = 1 THEN 'error' ELSE 'ok' END AS status,"
+    " CASE WHEN p % 19 = 0 THEN 'timeout' WHEN NOT live THEN 'Page could not be fetched' WHEN length(final_url) % 3 = 1"
+    " THEN 'Answer is not valid JSON of the requested form' ELSE 'Optimization suggestions generated' END AS message"
+    " FROM r WHERE NOT live OR length(final_url) % 3 <> 2",
+    O.RICH,
+)
+def suggest_page_status(spark, d):
+    """Outcome of the pages: broken ones, and answers that are right, malformed or missing by the length of the address."""
+    facts = stage(rich_facts(spark, d), "page_facts")
+    raw = """if(length(final_url) % 3 = 0, '{"improved_h1":"x"}', '[oops') as raw"""
+    answers = facts.select("audit_id", "final_url").distinct().filter("length(final_url) % 3 <> 2").selectExpr(
+        "audit_id", "final_url as url", "0 as page_ord", raw, "cast(null as string) as error"
+    )
+    return S.page_status(facts, S.parse_answers(answers))
+
+
 @query(
     "SELECT audit_id, CASE WHEN bad = 0 THEN 'ok' WHEN good > 0 THEN 'partial' ELSE 'error' END AS status,"
     " 'Optimization suggestions generated' || CASE WHEN bad > 0 THEN '; ' || bad || ' page(s) failed' ELSE '' END AS message"
@@ -1458,3 +1623,16 @@ def stored_audits(spark, d):
     store.save(again.withColumn("score", F.col("score") + 1).withColumn("saved_at", F.expr("timestamp '2024-01-02 00:00:00'")), path)
     store.delete(spark, path, "5")
     return store.load(spark, path).select("audit_id", "seed_url", "score")
+
+
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS audit_id, 'https://user' || user_id || '.example/' AS seed_url, value AS score FROM events"
+    " WHERE event_id = (SELECT max(event_id) FROM events)"
+)
+def stored_audit_by_id(spark, d):
+    """One audit of a store, by the table of ids: its bucket alone is read."""
+    path = f"{staging_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    audits = SN.event_audits(spark, d).withColumn("saved_at", F.expr("timestamp '2024-01-01 00:00:00'"))
+    store.save_audits(audits, path)
+    wanted = SN.table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    return store.find(spark, path, str(wanted)).select("audit_id", "seed_url", "score")
