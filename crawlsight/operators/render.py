@@ -60,7 +60,7 @@ def render_worklist(fetches: DataFrame) -> DataFrame:
 
 
 def with_rendered(fetches: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Fetches with the HTML that a renderer returned for ``(audit_id, url)``; blank results are ignored.
+    """Fetches with the HTML that a renderer returned for ``(audit_id, url)``; empty results are ignored.
 
     Only pages of the worklist can have been rendered. Their keys are staged, so each page
     is parsed once; the page sources themselves meet the few rendered pages by key.

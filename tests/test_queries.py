@@ -13,6 +13,7 @@ QUICK = (
     "url_normalize", "link_resolve", "title_facts", "visible_words", "page_scores", "issues_meta", "image_dedupe",
     "jsonld_types", "history_topn", "previous_audit", "audit_upsert", "robots_gate", "suggest_parse", "bfs_levels", "diff_summary",
     "crawl_records", "bfs_two_audits", "issue_url_lists", "rejected_records", "issues_faulty_metrics", "metrics_by_check", "stored_audits",
+    "robots_many_rules", "picture_images", "rendered_pages", "suggest_messages", "suggest_page_status", "crawl_worklist",
 )
 
 

@@ -298,7 +298,7 @@ def rendered_documents(spark, d):
     """Documents as pages after a renderer answered for every third one, and for every sixth with nothing."""
     fetches = SN.document_fetches(spark, d)
     rendered = "concat('<html><title>Rendered ', page_ord, '</title><main>', repeat('word ', 90), '</main></html>')"
-    answers = fetches.filter("page_ord % 3 = 0").selectExpr("audit_id", "url", f"if(page_ord % 6 = 3, ' ', {rendered}) as html")
+    answers = fetches.filter("page_ord % 3 = 0").selectExpr("audit_id", "url", f"if(page_ord % 6 = 3, '', {rendered}) as html")
     return RE.with_rendered(fetches, answers)
 
 
@@ -1573,7 +1573,7 @@ def suggest_messages(spark, d):
 
 @query(
     "SELECT audit_id, final_url AS url, CASE WHEN NOT live OR length(final_url) % 3 = 1 THEN 'error' ELSE 'ok' END AS status,"
-    " CASE WHEN p % 19 = 0 THEN 'timeout' WHEN NOT live THEN 'Page could not be fetched' WHEN length(final_url) % 3 = 1"
+    " CASE WHEN p % 19 = 0 THEN 'timeout' WHEN NOT live THEN 'HTTP ' || CASE WHEN p % 11 = 0 THEN 404 ELSE 200 END WHEN length(final_url) % 3 = 1"
     " THEN 'Answer is not valid JSON of the requested form' ELSE 'Optimization suggestions generated' END AS message"
     " FROM r WHERE NOT live OR length(final_url) % 3 <> 2",
     O.RICH,
