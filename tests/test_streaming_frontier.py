@@ -34,7 +34,7 @@ def crawl(spark):
     return seeds, pages, RB.rules_for_agent(RB.robots_rules(files), "crawlsight/0.1")
 
 
-@pytest.mark.parametrize("max_pages, max_depth, robots", [(50, 9, True), (6, 3, False)])
+@pytest.mark.parametrize("max_pages, max_depth, robots", [(50, 5, True), (6, 3, False)])
 def test_batches_in_any_order(spark, crawl, tmp_path, max_pages, max_depth, robots):
     seeds, pages, rules = crawl
     rules = rules if robots else None
