@@ -110,9 +110,11 @@ def gate(urls: DataFrame, host_rules: DataFrame, column: str = "url", scan: int
         f"if(size(rules) <= {scan}, rules, null) as _few",
         f"if(size(rules) > {scan}, array_distinct(transform(rules, r -> length(r.prefix))), null) as _lengths",
     )
+    # One key of host and path: rows grouped by host alone would keep a large host in one task.
     rows = urls.selectExpr("*", f"{U.host(column)} as _host", f"{path} as _path").join(hosts, "_host", "left")
+    rows = rows.withColumn("_at", F.expr("struct(_host, _path)"))
     decided = _looked_up(rows, host_rules.filter(f"size(rules) > {scan}"))
-    return rows.join(decided, ["_host", "_path"], "left").selectExpr(
+    return rows.join(decided, "_at", "left").selectExpr(
         *(f"`{n}`" for n in names),
         "coalesce(_decision, get(filter(_few, r -> startswith(_path, r.prefix)), 0).allow, true) as allowed",
     )
@@ -125,12 +127,12 @@ def _looked_up(rows: DataFrame, host_rules: DataFrame) -> DataFrame:
         .groupBy("_host", F.col("rule.prefix").alias("_prefix"))
         .agg(F.min(F.struct("pos", "rule.allow")).alias("_rule"))
     )
-    paths = rows.filter("_lengths is not null").groupBy("_host", "_path").agg(F.first("_lengths").alias("_lengths"))
+    paths = rows.filter("_lengths is not null").groupBy("_at").agg(F.first("_lengths").alias("_lengths"))
     return (
-        paths.selectExpr("_host", "_path", "explode(filter(_lengths, n -> n <= length(_path))) as n")
-        .selectExpr("_host", "_path", "substr(_path, 1, n) as _prefix")
+        paths.selectExpr("_at", "explode(filter(_lengths, n -> n <= length(_at._path))) as n")
+        .selectExpr("_at", "_at._host as _host", "substr(_at._path, 1, n) as _prefix")
         .join(prefixes, ["_host", "_prefix"])
-        .groupBy("_host", "_path")
+        .groupBy("_at")
         .agg(F.min("_rule").alias("_rule"))
-        .selectExpr("_host", "_path", "_rule.allow as _decision")
+        .selectExpr("_at", "_rule.allow as _decision")
     )
