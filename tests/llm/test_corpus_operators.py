@@ -223,6 +223,59 @@ def test_a_third_of_equal_rows_is_split(spark):
     assert max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def plain_tree(rows, leaves):
+    """Leaf of every row by exact weighted medians; rows are dicts of the metadata."""
+    wide = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in shards.DIMENSIONS}
+
+    def cut(part, share):
+        if share == 1 or not part:
+            return [part]
+        d = max(shards.DIMENSIONS, key=lambda d: (max(r[d] for r in part) - min(r[d] for r in part)) / wide[d])
+        goal = sum(r["size"] for r in part) * (share // 2) / share
+        weight = 0
+        for key, group in itertools.groupby(sorted(part, key=lambda r: (r[d], r["tie"])), key=lambda r: (r[d], r["tie"])):
+            own = sum(r["size"] for r in group)
+            if weight + own >= goal:
+                break
+            weight += own
+        nearer_with = weight + own - goal <= goal - weight
+        left = [r for r in part if (r[d], r["tie"]) < key or (nearer_with and (r[d], r["tie"]) == key)]
+        right = [r for r in part if not ((r[d], r["tie"]) < key or (nearer_with and (r[d], r["tie"]) == key))]
+        return cut(left, share // 2) + cut(right, share - share // 2)
+
+    return cut(rows, leaves)
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 16])
+def test_shards_equal_a_plain_tree(documents, leaves):
+    meta = [r.asDict() for r in documents.select(*shards._metadata()).collect()]
+    wanted = [sorted(r["doc_id"] for r in part) for part in plain_tree(meta, leaves)]
+    got = defaultdict(list)
+    for r in shards.assign(documents, shards.ShardOptions(leaves=leaves, tolerance=0.0, bins=16)).collect():
+        got[r.shard].append(r.doc_id)
+    assert [sorted(got[k]) for k in range(leaves)] == wanted
+
+
+def test_leaves_reach_the_target_bytes(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "concat(id, repeat('y', cast(id * 7 % 90 as int))) as text")
+    total = sum(r["size"] for r in df.select(*shards._metadata()).collect())
+    options = shards.ShardOptions(target_bytes=total // 200)
+    sizes = Counter()
+    for r in shards.assign(df, options).collect():
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == -(-total // options.target_bytes)
+    # A cut misses its goal by half a text at most, and by its tolerance.
+    assert max(sizes.values()) <= 1.01 * options.target_bytes + 2 * 95
+    assert Counter(r.shard for r in shards.sharded(df, options).collect()).keys() == sizes.keys()
+
+
+def test_a_text_beyond_the_target_and_empty_tables(spark, none):
+    df = spark.createDataFrame([(1, "z" * 5000), (2, "a"), (3, "b"), (4, "c")], "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in shards.assign(df, shards.ShardOptions(target_bytes=1000)).collect()}
+    assert len(got) == 4 and got[1] not in {got[k] for k in (2, 3, 4)}
+    assert shards.assign(none, shards.ShardOptions(target_bytes=1000)).count() == 0
+
+
 def test_shards_on_odd_rows(odd, clashing, none, same):
     same(shards.assign(odd), shards.assign(clashing))
     assert shards.assign(none).count() == 0 and shards.sharded(none).count() == 0
