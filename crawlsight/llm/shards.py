@@ -76,7 +76,9 @@ def _metadata() -> list:
 
 def _look_up(rows: DataFrame, columns: str, values: list[tuple], how: str = "inner") -> DataFrame:
     """``rows`` with the columns that ``values`` give their node. The table has at most a row per leaf."""
-    names = [c.split()[0] for c in columns.split(", ")]
+    names, types = zip(*(c.split() for c in columns.split(", ")))
+    if [v[0] for v in values] == [1]:  # the root, where every row is as long as it is asked for
+        return rows.select("*", *(F.lit(v).cast(t).alias(n) for n, t, v in zip(names[1:], types[1:], values[0][1:])))
     text = json.dumps([dict(zip(names, v)) for v in values])
     given = rows.sparkSession.sql(f"select inline(from_json(:given, 'array<struct<{columns}>>'))", args={"given": text})
     return rows.join(F.broadcast(given) if len(values) <= BROADCAST_NODES else given, "node", how)

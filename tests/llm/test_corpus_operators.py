@@ -259,7 +259,7 @@ def test_shards_equal_a_plain_tree(documents, leaves):
 def test_leaves_reach_the_target_bytes(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "concat(id, repeat('y', cast(id * 7 % 90 as int))) as text")
     total = sum(r["size"] for r in df.select(*shards._metadata()).collect())
-    options = shards.ShardOptions(target_bytes=total // 200)
+    options = shards.ShardOptions(target_bytes=total // 40)
     sizes = Counter()
     for r in shards.assign(df, options).collect():
         sizes[r.shard] += r["size"]
