@@ -14,6 +14,7 @@ QUICK = (
     "jsonld_types", "history_topn", "previous_audit", "audit_upsert", "robots_gate", "suggest_parse", "bfs_levels", "diff_summary",
     "crawl_records", "bfs_two_audits", "issue_url_lists", "rejected_records", "issues_faulty_metrics", "metrics_by_check", "stored_audits",
     "robots_many_rules", "picture_images", "rendered_pages", "suggest_messages", "suggest_page_status", "crawl_worklist",
+    "heading_details", "unlinked_details",
 )
 
 

@@ -156,6 +156,30 @@ def heading_issues() -> list[str]:
     ]
 
 
+# The same with all details but the word count, which is 0 here.
+_NOT_RENDERED = "'word_count': 0, 'js_rendered': false, 'likely_js_shell': false"
+
+
+def heading_details() -> list[str]:
+    h1 = (
+        "list_concat(CASE WHEN p % 13 = 5 OR coalesce(raw_h1, '') = '' THEN [] ELSE [raw_h1] END,"
+        " CASE WHEN p % 7 = 0 THEN ['Extra head'] ELSE [] END)"
+    )
+    h3 = "CASE p % 6 WHEN 2 THEN ['Third'] WHEN 3 THEN ['Third & last'] WHEN 5 THEN ['Third', 'Other'] ELSE [] END"
+    return [
+        issue("missing_h1", "", "''", "live AND h1 = 0",
+              f"to_json({{'h2_count': h2, 'h3_count': h3, {_NOT_RENDERED}}})::VARCHAR"),
+        issue("multiple_h1", "", "''", "live AND h1 > 1", f"to_json({{'h1': {h1}}})::VARCHAR"),
+        issue("skipped_heading_level", "", "''", "live AND h1 > 0 AND h2 = 0 AND h3 > 0",
+              f"to_json({{'h1': {h1}, 'h3': {h3}}})::VARCHAR"),
+    ]
+
+
+def unlinked_details() -> str:
+    order = "'word_count': 0, 'likely_js_shell': false, 'js_rendered': false"
+    return issue("no_internal_links", "", "''", "live AND len(inside) = 0", f"to_json({{{order}}})::VARCHAR")
+
+
 def image_issues() -> list[str]:
     source = "(SELECT r.*, unnest(generate_series(1, no_alt)) AS k FROM r WHERE no_alt > 0)"
     return [

@@ -391,6 +391,37 @@ def issues_headings(spark, d):
     return one_check(spark, d, "headings", [f for f in ISSUE_FIELDS if f != "details"])
 
 
+def with_words_checked(issues: DataFrame, facts: DataFrame) -> DataFrame:
+    """Details with the word count taken out, and whether it is the page's own."""
+    words = facts.selectExpr("audit_id as a", "page_ord as o", "word_count")
+    counted = F.expr("get_json_object(details, '$.word_count')")
+    return issues.join(words, F.expr("audit_id = a and page_ord = o")).select(
+        "audit_id", "code", "page_ord",
+        F.regexp_replace("details", '"word_count":[0-9]+', '"word_count":0').alias("details"),
+        (counted.isNull() | (counted.cast("bigint") == F.col("word_count"))).alias("own_words"),
+    )
+
+
+@query(
+    f"SELECT audit_id, code, page_ord, details, true AS own_words FROM ({O.union(O.heading_details())})", O.RICH
+)
+def heading_details(spark, d):
+    facts = stage(rich_facts(spark, d), "page_facts")
+    check = [c for c in default_checks() if c.name == "headings"]
+    return with_words_checked(run_checks(Context(facts, rich_fetches(spark, d), AuditOptions()), CheckRegistry(check)), facts)
+
+
+@query(
+    f"SELECT audit_id, code, page_ord, details, true AS own_words FROM ({O.unlinked_details()})", O.RICH
+)
+def unlinked_details(spark, d):
+    fetches = rich_fetches(spark, d)
+    facts = stage(page_facts(fetches), "page_facts")
+    check = [c for c in default_checks() if c.name == "links"]
+    issues = run_checks(Context(facts, with_probes(fetches, facts), AuditOptions()), CheckRegistry(check))
+    return with_words_checked(issues.filter("code = 'no_internal_links'"), facts)
+
+
 @query(O.union(O.CHECKS["image_alt"]), O.RICH)
 def issues_images(spark, d):
     return one_check(spark, d, "image_alt")
