@@ -15,6 +15,7 @@ from crawlsight.functions import url as U
 from crawlsight.functions.jsonld import json_ld_types
 from crawlsight.functions.sql import NO_STRINGS, lit
 from crawlsight.schema import HOPS
+from crawlsight.session import stage
 from crawlsight.sources.fetches import BROKEN, page_fetches
 
 KEYS = ("audit_id", "seed_url", "page_ord", "depth")
@@ -74,13 +75,14 @@ def page_links(fetches: DataFrame) -> DataFrame:
     )
 
 
-def _tags(df: DataFrame) -> DataFrame:
+def _tags(df: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Tags and texts. Of broken pages with a body only the tags are read, for their links."""
-    df = df.selectExpr(*CARRIED, f"{LIVE} as live", f"if({X.filled('html')}, {H.source_text('html')}, null) as page")
+    carried = (*CARRIED, *kept)
+    df = df.selectExpr(*carried, f"{LIVE} as live", f"if({X.filled('html')}, {H.source_text('html')}, null) as page")
     df = df.selectExpr("*", f"{H.dom('page')} as page_dom")
     df = df.selectExpr("*", "if(live, page, null) as src", "if(live, page_dom, null) as dom")
     df = df.selectExpr(
-        *CARRIED,
+        *carried,
         "live",
         "dom",
         *_named(
@@ -252,7 +254,7 @@ def _warnings() -> str:
     ) + "))"
 
 
-def _final(df: DataFrame) -> DataFrame:
+def _final(df: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     computed = {
         "content_length": "if(live, greatest(coalesce(content_length, 0), src_bytes), coalesce(content_length, 0))",
         "redirect_chain": f"transform(coalesce(redirect_chain, cast(array() as {HOPS})), h -> h.url)",
@@ -263,10 +265,23 @@ def _final(df: DataFrame) -> DataFrame:
         "seo_signals": f"if(live, {_signals()}, null)",
     }
     return df.selectExpr(
-        *KEYS, *[f"{computed.get(f, f)} as {f}" for f in PAGE_FIELDS], *HELPERS
+        *KEYS, *[f"{computed.get(f, f)} as {f}" for f in PAGE_FIELDS], *HELPERS, *kept
     )
 
 
-def page_facts(fetches: DataFrame) -> DataFrame:
-    """All facts of every page. Broken and empty pages keep their fetch fields only."""
-    return _final(_decisions(_values(_elements(_tags(page_fetches(fetches))))))
+def page_facts(fetches: DataFrame, *kept: str) -> DataFrame:
+    """All facts of every page, and the columns ``kept`` of its record. Broken and empty pages keep their fetch fields only."""
+    return _final(_decisions(_values(_elements(_tags(page_fetches(fetches), kept)))), kept)
+
+
+def staged_pages(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page facts, and the fetch records without the page source, from one pass over the pages.
+
+    Records of pages are written beside their facts, so whoever reads them later does not build the
+    page sources again; those of external probes are no pages and stay as they are.
+    """
+    fields = [c for c in fetches.columns if c != "html"]
+    with_record = fetches.withColumn("record", F.struct(*fields))
+    staged = stage(page_facts(with_record, "record"), "page_facts")
+    others = fetches.filter("not coalesce(depth >= 0, false)").select(*fields)
+    return staged.drop("record"), staged.select("record.*").unionByName(others)

@@ -17,7 +17,7 @@ from crawlsight.operators import report as R
 from crawlsight.operators import suggest as S
 from crawlsight.operators.checks import AUDIT, CheckRegistry, Context, run_checks
 from crawlsight.operators.crawl import crawl_stats
-from crawlsight.operators.facts import page_facts
+from crawlsight.operators.facts import staged_pages
 from crawlsight.operators.score import score_audits
 from crawlsight.session import stage
 from crawlsight.sources import store
@@ -26,7 +26,7 @@ from crawlsight.sources.fetches import USABLE, rejects
 
 @dataclass
 class AuditResult:
-    """Tables of one audit run; all share audit_id and seed_url."""
+    """Tables of one audit run; all share audit_id and seed_url. ``fetches`` are its records without the page source."""
 
     options: AuditOptions
     registry: CheckRegistry
@@ -66,7 +66,8 @@ def audit_sites(
     isolate: bool = False,
     facts: DataFrame | None = None,
 ) -> AuditResult:
-    """Audits every site in ``fetches``. Staged page facts of them may be given, so no page is parsed again.
+    """Audits every site in ``fetches``. Staged page facts of them may be given, so no page is parsed again;
+    the records need no page source then (``staged_pages`` gives both).
 
     Facts and issues are staged once because the aggregates, the report and the
     comparison all read them. Records that belong to no audit are in ``rejected``
@@ -77,8 +78,7 @@ def audit_sites(
     registry = registry or CheckRegistry()
     rejected = rejects(fetches)
     fetches = fetches.filter(USABLE)
-    facts = stage(page_facts(fetches), "page_facts") if facts is None else facts.filter(USABLE)
-    narrow = fetches.drop("html")
+    facts, narrow = staged_pages(fetches) if facts is None else (facts.filter(USABLE), fetches.drop("html"))
     issues = stage(run_checks(Context(facts, narrow, options), registry, isolate), "issues")
     names = strings(registry.names())
     spine = narrow.select(*AUDIT).distinct()
@@ -98,7 +98,7 @@ def audit_sites(
             f"array({names}) as analyzers_run",
         )
     )
-    return AuditResult(options, registry, fetches, facts, issues, audits, rejected)
+    return AuditResult(options, registry, narrow, facts, issues, audits, rejected)
 
 
 def compare_audits(
@@ -151,7 +151,7 @@ BESIDE = ("issues", "page_facts", "records", "diffs", "new_issues", "resolved_is
 
 def _parts(result: AuditResult) -> dict[str, DataFrame]:
     """What belongs to the audits of a run, each row under its audit and site."""
-    parts = {"issues": result.issues, "page_facts": result.facts, "records": result.fetches.drop("html")}
+    parts = {"issues": result.issues, "page_facts": result.facts, "records": result.fetches}
     if result.diffs is not None:
         owner = ["current_audit_id as audit_id", "url as seed_url"]
         parts["diffs"] = result.diffs.selectExpr(*owner, "* except (url, current_audit_id)")

@@ -5,7 +5,7 @@ import pytest
 from helpers import PLAIN_PAGE, SHARED_PAGE, TIDES_PAGE, fetch, fetches, html_page, tag
 
 from crawlsight.functions.jsonld import _parse, _types
-from crawlsight.operators.facts import page_facts, page_links
+from crawlsight.operators.facts import page_facts, page_links, staged_pages
 from crawlsight.operators.render import render_flags, render_worklist, with_rendered
 from crawlsight.sources.fetches import normalize_fetches, pages_as_fetches
 
@@ -220,3 +220,18 @@ def test_render_selection(spark):
     after = {r.url: r for r in with_rendered(df, rendered).collect()}
     assert after["u/thin"].html == "<h1>new</h1>" and after["u/thin"].js_rendered and after["u/thin"].content_length == 12
     assert not after["u/root"].js_rendered and len(after) == len(rows)
+
+
+def test_facts_and_records_in_one_pass(spark):
+    rows = [
+        fetch("https://ex.com/tides", TIDES_PAGE, 0, redirect_chain=[("http://old/", 301)], elapsed_ms=2.5),
+        fetch("https://ex.com/gone", "<h1>x</h1>", 1, 404, content_length=7),
+        fetch("https://ex.com/failed", None, 2, None, error="timeout"),
+        fetch("https://ex.com/probe", None, 3, 0, depth=-1, error="x"),
+        fetch("https://ex.com/nowhere", "<h1>y</h1>", 4, depth=None),
+    ]
+    df = fetches(spark, rows)
+    facts, records = staged_pages(df)
+    assert facts.columns == page_facts(df).columns and records.columns == [c for c in df.columns if c != "html"]
+    assert sorted(map(str, facts.collect())) == sorted(map(str, page_facts(df).collect()))
+    assert sorted(map(str, records.collect())) == sorted(map(str, df.drop("html").collect()))

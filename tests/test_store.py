@@ -12,6 +12,7 @@ from crawlsight.config import AuditOptions
 from crawlsight.operators import suggest as S
 from crawlsight.plans import audit as A
 from crawlsight.sources import store
+from workload.queries import rich_audit
 
 SITE, OTHER = "https://ex.com/", "https://other.com/"
 
@@ -260,3 +261,9 @@ def test_lookups_by_id_read_one_bucket(spark, root):
     assert "PartitionFilters: [isnotnull(seed_bucket" in plan or "PartitionFilters: [(seed_bucket" in plan, plan
     issues = store.belonging(spark, f"{root}/issues", found)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(seed_bucket" in issues or "PartitionFilters: [(seed_bucket" in issues, issues
+
+
+def test_records_of_a_run_do_not_read_the_pages_again(spark):
+    records = rich_audit(spark, "/root/testdata/sf0.001").fetches
+    assert "html" not in records.columns
+    assert records.inputFiles() and all("/staged-" in file for file in records.inputFiles())

@@ -28,7 +28,7 @@ from crawlsight.operators.checks import (
     issue_urls,
     run_checks,
 )
-from crawlsight.operators.facts import page_facts
+from crawlsight.operators.facts import page_facts, staged_pages
 from crawlsight.plans import audit as A
 from crawlsight.session import stage, staging_dir
 from crawlsight.sources import sinks, store
@@ -67,13 +67,12 @@ def rich_facts(spark, d):
 
 def with_probes(fetches: DataFrame, facts: DataFrame) -> DataFrame:
     work = stage(CR.external_worklist(facts), "worklist")
-    return fetches.unionByName(CR.broken_probes(work, SN.probes(work)))
+    return fetches.unionByName(CR.broken_probes(work, SN.probes(work)).select(*fetches.columns))
 
 
 def rich_audit(spark, d, run_ts="2024-02-01 00:00:00") -> A.AuditResult:
-    fetches = rich_fetches(spark, d)
-    facts = stage(page_facts(fetches), "page_facts")
-    return A.audit_sites(with_probes(fetches, facts), run_ts, facts=facts)
+    facts, records = staged_pages(rich_fetches(spark, d))
+    return A.audit_sites(with_probes(records, facts), run_ts, facts=facts)
 
 
 def plain_audit(spark, d, run_ts="2024-01-01 00:00:00") -> A.AuditResult:

@@ -62,8 +62,13 @@ _BODY = """concat(
 
 
 def rich_raw_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second crawl of the same pages, as a fetcher would hand it over."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as page_id", "text", "lang")
+    """Second crawl of the same pages, as a fetcher would hand it over.
+
+    Only descriptions of the third kind in ``_HEAD`` hold a document, so no other text goes to the join.
+    """
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as page_id", "if(doc_id % 3 = 0 and doc_id % 4 <> 0, text, null) as text", "lang"
+    )
     rows = (
         pages(spark, sf_dir)
         .join(docs, "page_id", "left")
