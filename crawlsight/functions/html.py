@@ -7,7 +7,7 @@ one pass stays linear and cannot exhaust the regex stack on hostile pages.
 from __future__ import annotations
 
 from crawlsight.functions.sql import NO_STRINGS, let, lit, strings
-from crawlsight.functions.text import SPACE, decode_entities
+from crawlsight.functions.text import SPACE, decode_entities, strip
 
 # Marks a place where markup stood; removed from the source beforehand.
 MARK = "\x01"
@@ -18,13 +18,6 @@ _MARKUP = rf"(?:{_START}|[/!?][^>]*+)(?:>|\z)"
 _ANY_MARKUP = rf"<{_MARKUP}"
 
 
-# Blanks around marks. A blank run is only followed from its first character, so
-# long runs stay linear.
-_AFTER_MARK = rf"{MARK}[{SPACE}{MARK}]*+"
-_BEFORE_MARK = rf"[{SPACE}](?<![{SPACE}][{SPACE}])[{SPACE}]*+{MARK}"
-_INNER = rf"(?s)^[{SPACE}{MARK}]*+(.*[^{SPACE}{MARK}])"
-
-
 def _element(names: str) -> str:
     """An element, after its ``<``, up to its end tag or the end of the page; ``/>`` ends it at once.
 
@@ -53,7 +46,6 @@ _VOID_NAMES = "area|base|br|col|embed|hr|img|input|link|meta|param|picture|sourc
 _INSIDE = rf"(?i)<(?!(?:{_VOID_NAMES})[\s/>]){_element('[A-Za-z][A-Za-z0-9-]*+')}"
 _TITLE = rf"(?i)<title(?=[\s/>]){_ATTRS}>((?s:.*?))(?:</title|\z)"
 _ATTR = r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
-_UNQUOTE = r"""(?s)^(["']?)(.*)\1$"""
 
 # Where an image address may be, in order of preference.
 IMAGE_SOURCES = (
@@ -84,7 +76,7 @@ def _values(tag: str) -> str:
     """Attribute values without quotes, references not yet decoded; empty if there is none."""
     return (
         f"transform(regexp_extract_all({tag}, {lit(_ATTR)}, 2),"
-        f" v -> regexp_extract(v, {lit(_UNQUOTE)}, 2))"
+        """ v -> if(substr(v, 1, 1) in ('"', "'"), substr(v, 2, length(v) - 2), v))"""
     )
 
 
@@ -150,11 +142,15 @@ def json_ld_texts(src: str) -> str:
 
 
 def _text(fragment: str, joiner: str, cut: str = _ANY_MARKUP) -> str:
-    """Stripped, non-empty text nodes of a fragment, joined."""
+    """Stripped, non-empty text nodes of a fragment, joined.
+
+    Nearly all nodes begin and end with a printable ASCII character, which is told without a pattern.
+    """
     decoded = let("mk", _cut(fragment, cut), decode_entities("mk"))
-    after = f"regexp_replace({decoded}, {lit(_AFTER_MARK)}, {lit(MARK)})"
-    runs = f"regexp_replace({after}, {lit(_BEFORE_MARK)}, {lit(MARK)})"
-    return f"replace(regexp_extract({runs}, {lit(_INNER)}, 1), {lit(MARK)}, '{joiner}')"
+    nodes = f"filter(split({decoded}, {lit(MARK)}), n -> n <> '')"
+    tight = "substr(n, 1, 1) between '!' and '~' and substr(n, -1, 1) between '!' and '~'"
+    stripped = f"transform({nodes}, n -> if({tight}, n, {strip('n')}))"
+    return f"array_join(filter({stripped}, n -> n <> ''), '{joiner}')"
 
 
 def node_text(fragment: str) -> str:

@@ -167,10 +167,12 @@ def _parts(result: AuditResult) -> dict[str, DataFrame]:
 def persist(result: AuditResult, root: str, saved_at: str) -> None:
     """Appends a run to the store, if its options ask for saving or comparing.
 
-    The audits come last: until then readers see nothing of the run.
+    The audits come last: until then readers see nothing of the run. They are staged, since the
+    store, a comparison and a report read them several times.
     """
     if not result.options.persists:
         return
+    result.audits = stage(result.audits, "audits")
     stamp = F.expr(f"timestamp {lit(saved_at)}")
     for name, rows in _parts(result).items():
         store.save(rows.withColumn("saved_at", stamp), f"{root}/{name}")

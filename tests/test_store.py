@@ -267,3 +267,13 @@ def test_records_of_a_run_do_not_read_the_pages_again(spark):
     records = rich_audit(spark, "/root/testdata/sf0.001").fetches
     assert "html" not in records.columns
     assert records.inputFiles() and all("/staged-" in file for file in records.inputFiles())
+
+
+def test_audits_of_a_saved_run_are_staged(spark, tmp_path):
+    """Looking up an id, comparing and reporting after a save do not count the issues again."""
+    result = run_of(spark, "s1", "short", "2024-05-01 10:00:00")
+    want = result.audits.collect()
+    A.persist(result, str(tmp_path / "store"), "2024-05-01 11:00:00")
+    files = result.audits.inputFiles()
+    assert files and all("/audits-" in file for file in files)
+    assert result.audits.collect() == want
